@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.functions.numbers import fixed
+
 # Lengths and formats of the evidence block.
 EVIDENCE_ROWS = 10
 SNIPPET_CHARS = 600
@@ -126,8 +128,7 @@ def answer_prompt(question: Column, evidence: Column, graph: Column, reasoning:
 
 def score_display(score: Column) -> Column:
     """A percentage up to 1, two decimals above."""
-    percent = F.concat(F.bround(score * 100, 0).cast("long").cast("string"), F.lit("%"))
-    return F.when(score <= 1, percent).otherwise(F.format_string("%.2f", score))
+    return F.when(score <= 1, F.concat(fixed(score * 100, 0), F.lit("%"))).otherwise(fixed(score, 2))
 
 
 def hit_summary(hits: DataFrame, shown: int = 5) -> DataFrame:
