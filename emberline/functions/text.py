@@ -16,7 +16,7 @@ SENTENCE_END = r"[。！？.!?]\s*$"
 CLAUSE_BREAK = r"(?<=[。！？.!?；;，,])"
 CLAUSE_CHARS = 6
 #: Whitespace as Unicode sees it, at both ends.
-OUTER_SPACE = r"(?U)^\s+|\s+$"
+OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def strip(text: Column) -> Column:
