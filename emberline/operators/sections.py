@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions.binding import let
 from emberline.functions.text import strip
 
 # Headings, shortest usable text and preamble, and chunk sizes.
@@ -28,7 +29,7 @@ PARAGRAPH_BREAK, SENTENCE_BREAK = "\n\n", ". "
 #: d: only \n ends a line; U: Unicode classes and case, as the headings were defined with.
 FLAGS = "(?imdU)"
 #: Marks a heading while the text is cut; private-use characters that text does not hold.
-CUT = ""
+CUT = "\ue000\ue001"
 
 
 def full_text(pages: Column) -> Column:
@@ -127,21 +128,27 @@ def chunk_text(text: Column, max_tokens: int = MAX_TOKENS, overlap_tokens: int =
         return F.locate(pattern[::-1], F.reverse(zone))
 
     def step(state: Column, _: Column) -> Column:
+        def end_in(zone: Column) -> Column:
+            blank, stop = last_in(PARAGRAPH_BREAK, zone), last_in(SENTENCE_BREAK, zone)
+            return (
+                F.when(state["left"] <= size, F.lit(size))
+                .when(blank > 0, size + 1 - blank - len(PARAGRAPH_BREAK))
+                .when(stop > 0, size - stop)
+                .otherwise(F.lit(size))
+            )
+
+        def move(end: Column) -> Column:
+            def keep(piece: Column) -> Column:
+                return F.when(piece != "", F.concat(state["out"], F.array(piece))).otherwise(state["out"])
+
+            return F.struct(
+                F.substring(state["rest"], end - overlap + 1, state["left"]).alias("rest"),
+                (state["left"] - end + overlap).alias("left"),
+                let(strip(F.substring(state["rest"], F.lit(1), end)), keep).alias("out"),
+            )
+
         zone = F.substring(state["rest"], half + 1, size - half)
-        blank, stop = last_in(PARAGRAPH_BREAK, zone), last_in(SENTENCE_BREAK, zone)
-        end = (
-            F.when(state["left"] <= size, F.lit(size))
-            .when(blank > 0, size + 1 - blank - len(PARAGRAPH_BREAK))
-            .when(stop > 0, size - stop)
-            .otherwise(F.lit(size))
-        )
-        piece = strip(F.substring(state["rest"], F.lit(1), end))
-        moved = F.struct(
-            F.substring(state["rest"], end - overlap + 1, state["left"]).alias("rest"),
-            (state["left"] - end + overlap).alias("left"),
-            F.when(piece != "", F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"),
-        )
-        return F.when(state["left"] > 0, moved).otherwise(state)
+        return F.when(state["left"] > 0, let(let(zone, end_in), move)).otherwise(state)
 
     start = F.struct(text.alias("rest"), length.alias("left"), F.array().cast("array<string>").alias("out"))
     steps = F.sequence(F.lit(1), F.floor(length / (half - overlap)).cast("int") + 2)
