@@ -207,9 +207,10 @@ SELECT doc_id, CASE WHEN t <> '' AND NOT regexp_matches(t, '[。！？!?]$') AND
     "replaced_terms": """
 WITH r AS (SELECT doc_id, replace(regexp_replace(regexp_replace(text, '(th)(e)', '\\1a', 'g'), '&+', '$', 'g'), 'é', 'e') AS t FROM documents),
 -- no lookaround here: a boundary is a kept neighbour, so neighbours are doubled first
-s AS (SELECT doc_id, regexp_replace(t, '([^A-Za-z0-9])', '\\1' || chr(1) || '\\1', 'g') AS t FROM r),
-b AS (SELECT doc_id, regexp_replace(t, '(?i)(^|\\x01[^A-Za-z0-9])and([^A-Za-z0-9]\\x01|$)', '\\1&\\2', 'g') AS t FROM s)
-SELECT doc_id, regexp_replace(t, '(?s)(.)\\x01.', '\\1', 'g') AS text FROM b""",
+s AS (SELECT doc_id, regexp_replace(t, '([^A-Za-z0-9])', '\\1' || chr(1) || chr(1) || '\\1', 'g') AS t FROM r),
+o AS (SELECT doc_id, regexp_replace(t, '(?i)(^|\\x01[^A-Za-z0-9])of(?:[\\s_./-]\\x01\\x01[\\s_./-])*the([^A-Za-z0-9]\\x01|$)', '\\1OF-THE\\2', 'g') AS t FROM s),
+b AS (SELECT doc_id, regexp_replace(t, '(?i)(^|\\x01[^A-Za-z0-9])and([^A-Za-z0-9]\\x01|$)', '\\1&\\2', 'g') AS t FROM o)
+SELECT doc_id, regexp_replace(t, '(?s)(.)\\x01\\x01.', '\\1', 'g') AS text FROM b""",
     "glossary_entries": """
 WITH b AS (SELECT DISTINCT p_brand AS b FROM part)
 SELECT 'rule' AS kind, b AS key, 'r' AS value, '' AS variants, '' AS contexts FROM b
