@@ -5,7 +5,7 @@ Event time is ``ts``; rows more than ``LATE`` behind the newest are dropped by t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -43,7 +43,7 @@ def idle_transcripts(segments: DataFrame) -> DataFrame:
     """Transcripts of sessions that end after five seconds without a result.
 
     ``segments`` is (session, seg_id, t_us, frame_id, text).  The latest text per segment is kept by
-    keyed maxima inside the session window, segments are joined in numeric order.
+    sorting inside the closed window, segments are joined in numeric order.
     """
     place = F.coalesce(F.col("seg_id").try_cast("long"), F.lit(10**9))
     rows = event_time(segments).withColumn("place", place)
@@ -51,13 +51,9 @@ def idle_transcripts(segments: DataFrame) -> DataFrame:
         F.collect_list(F.struct("place", "t_us", "frame_id", "text")).alias("got")
     )
 
-    def is_latest(all_rows: Column):
-        return lambda x: ~F.exists(
-            all_rows,
-            lambda y: (y["place"] == x["place"]) & (F.struct(y["t_us"], y["frame_id"]) > F.struct(x["t_us"], x["frame_id"])),
-        )
-
-    latest = F.array_sort(F.filter("got", is_latest(F.col("got"))))
+    ordered = F.array_sort("got")
+    # sorted by segment and arrival, the latest text of a segment is the one before another segment
+    latest = F.filter(ordered, lambda x, i: ~F.get(ordered, i + 1)["place"].eqNullSafe(x["place"]))
     return pieces.select(
         "session", F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"),
         F.trim(F.array_join(F.transform(latest, lambda x: x["text"]), "")).alias("transcript"),
