@@ -78,7 +78,7 @@ def sentence_rows(messages: DataFrame) -> DataFrame:
     )
     split = messages.select("session_id", "turn", F.expr(f"turn div {SLICE_ROWS}").alias("slice"), all_parts.alias("_parts"))
     counted = carry(split, ["session_id"], "slice", ["turn"], {"_through": ("sum", F.size("_parts"))})
-    rows = counted.select("session_id", "turn", (F.col("_through") - F.size("_parts")).alias("_before"), F.posexplode("_parts").alias("_at", "sentence"))
+    rows = counted.select("session_id", "turn", (F.col("_through") - F.size("_parts")).alias("_before"), F.posexplode_outer("_parts").alias("_at", "sentence")).where("_at IS NOT NULL")
     return rows.select("session_id", "turn", (F.col("_before") + F.col("_at") + 1).alias("sentence_id"), "sentence")
 
 

@@ -78,7 +78,7 @@ def build_edges(entities: DataFrame) -> DataFrame:
         F.transform("properties", lambda p: edge("Paper", paper, "MEASURES_PROPERTY", "Property", p["name"])),
         F.transform("relations", lambda p: edge("Concept", p["a"], "RELATED_TO", "Concept", p["b"])),
     )
-    rows = entities.select(F.explode(every).alias("e")).select("e.*").distinct()
+    rows = entities.select(F.explode_outer(every).alias("e")).where("e IS NOT NULL").select("e.*").distinct()
     return rows.withColumn("edge_id", edge_id(*[F.col(c) for c in ("src_label", "src", "rel", "dst_label", "dst")]))
 
 
@@ -102,7 +102,7 @@ def build_nodes(entities: DataFrame) -> DataFrame:
         F.transform("properties", lambda p: node("Property", p["name"], unit=p["unit"])),
         F.flatten(F.transform("relations", lambda p: F.array(node("Concept", p["a"]), node("Concept", p["b"])))),
     )
-    rows = entities.select("paper", F.explode(every).alias("n")).select("paper", "n.*")
+    rows = entities.select("paper", F.explode_outer(every).alias("n")).where("n IS NOT NULL").select("paper", "n.*")
     latest = F.max_by(F.struct("title", "year", "unit"), F.struct(F.length("paper"), "paper"))
     return rows.groupBy("label", "key").agg(latest.alias("p")).select(
         "label", "key", F.when(F.col("label") != "Paper", F.col("key")).alias("name"), "p.title", "p.year", "p.unit"

@@ -168,7 +168,12 @@ def with_chunks(papers: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens:
 
 
 def chunk_rows(papers: DataFrame, *keep: str) -> DataFrame:
-    """One row per chunk with its index within the paper."""
-    return papers.select(*keep, F.posexplode("chunks").alias("chunk_index", "c")).select(
+    """One row per chunk with its index within the paper.
+
+    The outer form keeps the optimizer from computing the chunks a second time in a filter on their
+    number, which it would push below the sections.
+    """
+    rows = papers.select(*keep, F.posexplode_outer("chunks").alias("chunk_index", "c")).where("chunk_index IS NOT NULL")
+    return rows.select(
         *keep, F.col("chunk_index").cast("long").alias("chunk_index"), "c.section", "c.text"
     )

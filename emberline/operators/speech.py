@@ -6,6 +6,8 @@ Frames carry (session, frame_id, t_us); order is (t_us, frame_id).  Rules on tim
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -202,57 +204,80 @@ def throttled(frames: DataFrame, every_ms: int = EMIT_EVERY_MS, slice_us: int =
     from its real entry.  An entry lies within one interval of the slice start, or is the first row.
     """
     step_us = max(EMIT_FLOOR_MS, every_ms) * 1000
+    keys = ["session", "slice"]
     rows = sliced(frames, slice_us)
-    exits = rows.select("session", "slice", *ORDER).groupBy("session", "slice").applyInPandas(
-        _slice_exits(step_us, slice_us), "session bigint, slice bigint, entry_us bigint, ready_us bigint"
-    )
-    entries = exits.groupBy("session").applyInPandas(_chain_entries, "session bigint, slice bigint, ready_us bigint")
-    return rows.join(entries, ["session", "slice"]).groupBy("session", "slice").applyInPandas(
-        _walk(step_us), rows.schema
-    ).drop("slice")
+    times = rows.select(*keys, "t_us").repartition(*keys).sortWithinPartitions(*keys, "t_us")
+    exits = times.mapInPandas(_slice_exits(step_us, slice_us), "session bigint, slice bigint, entry_us bigint, ready_us bigint")
+    ordered = exits.repartition("session").sortWithinPartitions("session", "slice", "entry_us")
+    entries = ordered.mapInPandas(_chain_entries, "session bigint, slice bigint, ready_us bigint")
+    placed = rows.join(entries, keys).repartition(*keys).sortWithinPartitions(*keys, *ORDER)
+    return placed.mapInPandas(_walk(step_us), rows.schema).drop("slice")
+
+
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Groups of a stream that is sorted by ``keys``; a group may go on in the next batch."""
+    rest = None
+    for batch in batches:
+        frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if not len(frame):
+            continue
+        values = frame[keys].to_numpy()
+        starts = np.flatnonzero(np.append(True, (values[1:] != values[:-1]).any(axis=1)))
+        for begin, end in zip(starts[:-1], starts[1:]):
+            yield tuple(values[begin]), frame.iloc[begin:end]
+        rest = frame.iloc[starts[-1] :]
+    if rest is not None:
+        yield tuple(rest[keys].to_numpy()[0]), rest
 
 
 def _slice_exits(step_us: int, slice_us: int):
-    def exits(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
-        session, slice_no = key
-        t = np.unique(frames["t_us"].to_numpy())
-        following = np.searchsorted(t, t + step_us)
-        ready = np.empty(len(t), dtype=np.int64)
-        for i in range(len(t) - 1, -1, -1):
-            ready[i] = ready[following[i]] if following[i] < len(t) else t[i] + step_us
-        # the chain enters before one interval is over, or at the first row after that; of entries
-        # that leave alike only the last is needed
-        many = min(np.searchsorted(t, slice_no * slice_us + step_us) + 1, len(t))
-        t, ready = t[:many], ready[:many]
-        needed = np.append(ready[1:] != ready[:-1], True)
-        return pd.DataFrame({"session": session, "slice": slice_no, "entry_us": t[needed], "ready_us": ready[needed]})
+    """For every time at which the chain could enter a slice, from when it may emit after the slice."""
+
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (session, slice_no), frames in _runs(batches, ["session", "slice"]):
+            t = np.unique(frames["t_us"].to_numpy())
+            following = np.searchsorted(t, t + step_us)
+            ready = np.empty(len(t), dtype=np.int64)
+            for i in range(len(t) - 1, -1, -1):
+                ready[i] = ready[following[i]] if following[i] < len(t) else t[i] + step_us
+            # the chain enters before one interval is over, or at the first row after that; of entries
+            # that leave alike only the last is needed
+            many = min(np.searchsorted(t, slice_no * slice_us + step_us) + 1, len(t))
+            t, ready = t[:many], ready[:many]
+            needed = np.append(ready[1:] != ready[:-1], True)
+            yield pd.DataFrame({"session": session, "slice": slice_no, "entry_us": t[needed], "ready_us": ready[needed]})
 
     return exits
 
 
-def _chain_entries(exits: pd.DataFrame) -> pd.DataFrame:
-    """The time from which each slice may emit, following the chain slice by slice."""
-    out = []
-    ready = -(2**62)
-    for slice_no, part in exits.sort_values(["slice", "entry_us"]).groupby("slice", sort=True):
-        out.append((part["session"].iloc[0], slice_no, ready))
+def _chain_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The time from which each slice may emit, following the chain slice by slice.
+
+    Works through the sorted stream with one number per session; nothing is gathered.
+    """
+    current, ready = None, 0
+    for (session, slice_no), part in _runs(batches, ["session", "slice"]):
+        if session != current:
+            current, ready = session, -(2**62)
+        yield pd.DataFrame({"session": [session], "slice": [slice_no], "ready_us": [ready]})
         times = part["entry_us"].to_numpy()
         at = np.searchsorted(times, ready)
         if at < len(times):
             ready = int(part["ready_us"].to_numpy()[at])
-    return pd.DataFrame(out, columns=["session", "slice", "ready_us"])
 
 
 def _walk(step_us: int):
-    def walk(frames: pd.DataFrame) -> pd.DataFrame:
-        frames = frames.sort_values(ORDER)
-        t = frames["t_us"].to_numpy()
-        picked = []
-        at = np.searchsorted(t, frames["ready_us"].iloc[0])
-        while at < len(t):
-            picked.append(at)
-            at = np.searchsorted(t, t[at] + step_us)
-        return frames.iloc[picked].drop(columns="ready_us")
+    """Emit from the entry of each slice."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, frames in _runs(batches, ["session", "slice"]):
+            t = frames["t_us"].to_numpy()
+            picked = []
+            at = np.searchsorted(t, frames["ready_us"].iloc[0])
+            while at < len(t):
+                picked.append(at)
+                at = np.searchsorted(t, t[at] + step_us)
+            yield frames.iloc[picked].drop(columns="ready_us")
 
     return walk
 

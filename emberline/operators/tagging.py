@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions.binding import let
 from emberline.functions.text import strip
 from emberline.session import rows_within
 
@@ -38,18 +39,20 @@ def vocabulary(terms: DataFrame) -> list[str]:
 
 
 def occurrences(text: Column, term: Column) -> Column:
-    """Non-overlapping occurrences, both sides in lower case."""
-    low, part = F.lower(text), F.lower(term)
-    return F.floor((F.length(low) - F.length(F.replace(low, part, F.lit("")))) / F.length(part)).cast("int")
+    """Non-overlapping occurrences of a term."""
+    return F.floor((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("int")
 
 
 def tags(text: Column, terms: list[str] | tuple[str, ...], most: int = MOST_TAGS) -> Column:
     """The terms found most often, ties in alphabetical order."""
-    counted = F.transform(
-        F.array(*[F.lit(t) for t in terms]), lambda t: F.struct((-occurrences(text, t)).alias("n"), t.alias("term"))
-    )
-    found = F.slice(F.array_sort(F.filter(counted, lambda x: x["n"] < 0)), 1, most)
-    return F.transform(found, lambda x: x["term"])
+    given = F.array(*[F.struct(F.lit(t.lower()).alias("low"), F.lit(t).alias("term")) for t in terms])
+
+    def in_text(low: Column) -> Column:
+        held = F.filter(given, lambda t: F.contains(low, t["low"]))
+        counted = F.transform(held, lambda t: F.struct((-occurrences(low, t["low"])).alias("n"), t["term"].alias("term")))
+        return F.slice(F.array_sort(counted), 1, most)
+
+    return F.transform(let(F.lower(text), in_text), lambda x: x["term"])
 
 
 def merge_tags(chosen: Column, new: Column) -> Column:
@@ -60,10 +63,13 @@ def merge_tags(chosen: Column, new: Column) -> Column:
 
 def mentioned(text: Column, terms: list[str]) -> Column:
     """Terms in the text by first position."""
-    placed = F.transform(
-        F.array(*[F.lit(t) for t in terms]), lambda t: F.struct(F.call_function("locate", F.lower(t), F.lower(text)).alias("at"), t.alias("term"))
-    )
-    return F.transform(F.array_sort(F.filter(placed, lambda x: x["at"] > 0)), lambda x: x["term"])
+    given = F.array(*[F.struct(F.lit(t.lower()).alias("low"), F.lit(t).alias("term")) for t in terms])
+
+    def in_text(low: Column) -> Column:
+        placed = F.transform(given, lambda t: F.struct(F.call_function("locate", t["low"], low).alias("at"), t["term"].alias("term")))
+        return F.array_sort(F.filter(placed, lambda x: x["at"] > 0))
+
+    return F.transform(let(F.lower(text), in_text), lambda x: x["term"])
 
 
 def dictionary_entities(papers: DataFrame, text: str, families: dict[str, list[str]]) -> DataFrame:

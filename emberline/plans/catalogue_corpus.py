@@ -9,7 +9,7 @@ from emberline.operators import sections as sc
 from emberline.operators import tagging as tg
 from emberline.plans import ingest as ing
 from emberline.sources import catalog as ct
-from emberline.sources.tables import papers, table
+from emberline.sources.tables import documents, papers, table
 
 
 def corpus_files(spark, d):
@@ -40,7 +40,7 @@ def page_offsets(spark, d):
 
 
 def paper_sections(spark, d):
-    rows = sc.with_sections(papers(spark, d)).select("paper_id", F.posexplode("sections").alias("section_no", "s"))
+    rows = sc.with_sections(papers(spark, d)).select("paper_id", F.posexplode_outer("sections").alias("section_no", "s")).where("section_no IS NOT NULL")
     return rows.select(
         "paper_id", F.col("section_no").cast("long").alias("section_no"), "s.title", "s.text",
         *[F.col(f"s.{c}").cast("long").alias(c) for c in ("page_start", "page_end", "start", "stop")],
@@ -48,7 +48,7 @@ def paper_sections(spark, d):
 
 
 def document_chunks(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(sc.chunk_text(F.col("text"))).alias("chunk_index", "chunk"))
+    docs = documents(spark, d).select("doc_id", F.posexplode_outer(sc.chunk_text(F.col("text"))).alias("chunk_index", "chunk")).where("chunk_index IS NOT NULL")
     return docs.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk")
 
 
@@ -106,7 +106,7 @@ def catalog_upsert(spark, d):
 def catalog_lists(spark, d):
     """JSON lists written and parsed again, cut to the first authors and keywords."""
     words = F.split(F.left("text", F.lit(200)), " ", -1)
-    rows = table(spark, d, "documents").select(
+    rows = documents(spark, d).select(
         "doc_id", F.to_json(words).alias("authors"), F.to_json(F.slice(words, 2, 100)).alias("keywords"), F.lit(None).cast("string").alias("auto_topics")
     )
     lists = ct.catalog_lists(rows)
@@ -117,7 +117,7 @@ def catalog_lists(spark, d):
 
 
 def text_measures(spark, d):
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", tx.token_estimate(F.col("text")).alias("tokens"), tx.has_cjk(F.col("text")).alias("cjk"), tx.is_ascii(F.col("text")).alias("ascii")
     )
 
@@ -130,19 +130,19 @@ def _terms(spark, d):
 def document_tags(spark, d):
     found = tg.tags(F.col("text"), _terms(spark, d))
     merged = tg.merge_tags(found, F.array(F.concat(F.lit(" "), F.upper("lang")), F.lit("  ")))
-    return table(spark, d, "documents").select("doc_id", F.array_join(merged, ",").alias("tags"))
+    return documents(spark, d).select("doc_id", F.array_join(merged, ",").alias("tags"))
 
 
 def topic_tags(spark, d):
     """The controlled vocabulary over documents: counts per topic."""
     found = tg.tags(F.concat_ws(" ", "text", F.when(F.col("lang") == "de", F.lit("Pyrolysis, porosity, CSR and csr"))), tg.COKING_TOPICS)
-    return table(spark, d, "documents").select(F.explode(found).alias("topic")).groupBy("topic").agg(F.count("*").alias("documents"))
+    return documents(spark, d).select(F.explode_outer(found).alias("topic")).where("topic IS NOT NULL").groupBy("topic").agg(F.count("*").alias("documents"))
 
 
 def document_entities(spark, d):
     terms = _terms(spark, d)
     families = {"concepts": terms[::2], "methods": terms[1::2]}
-    rows = tg.dictionary_entities(table(spark, d, "documents").select("doc_id", "text"), "text", families)
+    rows = tg.dictionary_entities(documents(spark, d).select("doc_id", "text"), "text", families)
     return rows.select(
         "doc_id", F.array_join("concepts", ",").alias("concepts"), F.array_join("methods", ",").alias("methods"),
         F.array_join(F.transform("concept_relations", lambda p: F.array_join(p, "-")), ",").alias("relations"),

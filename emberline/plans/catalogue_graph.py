@@ -8,7 +8,7 @@ from emberline.operators import graph as gr
 from emberline.operators import retrieval as rt
 from emberline.plans.catalogue_retrieval import SQL_SCORED
 from emberline.plans.graph_build import build_graph, read_graph, stored_graph, write_graph
-from emberline.session import fresh_path
+from emberline.session import fresh_path, written
 from emberline.sources.entities import append_entities, order_entities, pending, read_entities
 from emberline.sources.tables import chunks, question_vectors, table
 
@@ -17,6 +17,11 @@ def _graph(spark, d):
     return build_graph(order_entities(spark, d))
 
 
+def _graph_twice(spark, d):
+    """For queries on both tables: the entity rows are computed once and written."""
+    return build_graph(written(order_entities(spark, d), "entities"))
+
+
 def entity_hygiene(spark, d):
     rows = gr.clean_entities(order_entities(spark, d))
     return rows.select(
@@ -46,13 +51,13 @@ def graph_edges(spark, d):
 
 
 def graph_counts(spark, d):
-    return gr.graph_counts(*_graph(spark, d))
+    return gr.graph_counts(*_graph_twice(spark, d))
 
 
 def graph_written_counts(spark, d):
     """The graph sink: written partitioned, read back, counted."""
     path = fresh_path(spark, "graph")
-    write_graph(_graph(spark, d), path)
+    write_graph(_graph_twice(spark, d), path)
     return gr.graph_counts(*read_graph(spark, path))
 
 
@@ -65,7 +70,7 @@ def graph_key_check(spark, d):
 
 
 def related_papers(spark, d):
-    return gr.related_papers(*_graph(spark, d), "promo", 10).withColumn("year", F.col("year").cast("long"))
+    return gr.related_papers(*_graph_twice(spark, d), "promo", 10).withColumn("year", F.col("year").cast("long"))
 
 
 def paper_methods(spark, d):
@@ -74,7 +79,7 @@ def paper_methods(spark, d):
 
 
 def materials_with_property(spark, d):
-    graph = _graph(spark, d)
+    graph = _graph_twice(spark, d)
     return gr.materials_with_property(graph.nodes, gr.material_properties(graph.edges), "Flag r")
 
 
@@ -107,12 +112,12 @@ def _key_concepts(spark, d):
 
 
 def concept_fan_in(spark, d):
-    rows = gr.concept_fan_in(_key_concepts(spark, d), *_graph(spark, d))
+    rows = gr.concept_fan_in(_key_concepts(spark, d), *_graph_twice(spark, d))
     return rows.withColumn("year", F.col("year").cast("long"))
 
 
 def graph_context(spark, d):
-    return gr.graph_context(gr.concept_fan_in(_key_concepts(spark, d), *_graph(spark, d)))
+    return gr.graph_context(gr.concept_fan_in(_key_concepts(spark, d), *_graph_twice(spark, d)))
 
 
 def knowledge_requests(spark, d):
@@ -126,7 +131,7 @@ def knowledge_requests(spark, d):
         F.concat(F.lit("chunk "), F.col("paper_id").cast("string"), F.lit("_"), F.col("chunk_index").cast("string")).alias("text"),
     )
     requests = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("question_id")).distinct().select(asked.alias("request"))
-    return gr.knowledge_extract(requests, *_graph(spark, d), hits)
+    return gr.knowledge_extract(requests, *_graph_twice(spark, d), hits)
 
 
 QUERIES = {

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from emberline.functions import transcript as tr
 from emberline.functions.jsontext import harvested_text, transcript_text
-from emberline.session import fresh_path
+from emberline.session import fresh_path, spread
 from emberline.sources import glossary as gl
-from emberline.sources.tables import table
+from emberline.sources.tables import documents, table
 
 GLOSSARY = gl.Glossary(
     rules=(("NaCl", "氯化钠"), ("CO2", "二氧化碳")),
@@ -62,7 +62,7 @@ def chinese_numeral(number):
 
 def _events(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, d, "events").select("event_id", "event_type", "user_id", "value", k.alias("k"))
+    return spread(table(spark, d, "events")).select("event_id", "event_type", "user_id", "value", k.alias("k"))
 
 
 def _spoken(spark, d):
@@ -99,17 +99,17 @@ def spoken_numbers(spark, d):
 
 
 def spaced_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", tr.normal_spaces(F.col("text")).alias("text"))
+    return documents(spark, d).select("doc_id", tr.normal_spaces(F.col("text")).alias("text"))
 
 
 def punctuated_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", tr.normal_marks(F.col("text")).alias("text"))
+    return documents(spark, d).select("doc_id", tr.normal_marks(F.col("text")).alias("text"))
 
 
 def replaced_terms(spark, d):
     """Terms of the data as a glossary: a rule, a name with separators, a literal name."""
     glossary = gl.Glossary(rules=(("(th)(e)", r"\1a"), ("&+", "$")), names=(("é", "e"),), ascii_names=(("of the", "OF-THE"), ("and", "&")))
-    return table(spark, d, "documents").select("doc_id", tr.replace_terms(F.col("text"), glossary).alias("text"))
+    return documents(spark, d).select("doc_id", tr.replace_terms(F.col("text"), glossary).alias("text"))
 
 
 def glossary_entries(spark, d):

@@ -26,7 +26,7 @@ def stored_graph(entities: DataFrame) -> Graph:
 
     Pattern queries then prune to the relationship they need, and self-joins do not rebuild the graph.
     """
-    plan = build_graph(entities)
+    plan = build_graph(written(entities, "entities"))
     return Graph(written(plan.nodes, "nodes", "label"), written(plan.edges, "edges", "rel"))
 
 

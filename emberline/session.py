@@ -78,3 +78,12 @@ def rows_within(df: DataFrame, limit: int) -> list[Row] | None:
     """
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input of few splits over all cores before heavy row-wise work.
+
+    Large inputs have more splits than cores and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

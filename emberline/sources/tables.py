@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, spread over the cores when they come in few splits: text work is heavy."""
+    return spread(table(spark, folder, "documents"))
+
+
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:
     """The same table as a file stream; the table may be one file or a folder of files."""
     path = f"{folder}/{name}.parquet"
@@ -74,7 +81,7 @@ def blends(spark: SparkSession, folder: str) -> DataFrame:
 
 def papers(spark: SparkSession, folder: str) -> DataFrame:
     """Papers made from documents: headings, blank lines and page breaks set at fixed words."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     text = F.col("text")
     for word, put in (
         ("\nThe ", "\nResults and Discussion\nThe "),
