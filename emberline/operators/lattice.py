@@ -106,7 +106,8 @@ def cheapest_on_lattice(scenarios: DataFrame, max_components: int, steps: int =
         share = F.col("_s") / F.lit(float(steps))
         value = F.get("values", F.lit(level))
         frontier = (
-            frontier.withColumn("_s", F.explode(choices))
+            frontier.withColumn("_s", F.explode_outer(choices))
+            .where("_s IS NOT NULL")
             .select(
                 *fixed,
                 (F.col("left") - F.col("_s")).alias("left"),
