@@ -16,7 +16,7 @@ from emberline.sources.tables import documents, table
 
 GLOSSARY = gl.Glossary(
     rules=(("NaCl", "氯化钠"), ("CO2", "二氧化碳")),
-    names=(("科大巡飞", "科大讯飞"),),
+    names=(("焦媒", "焦煤"),),
     ascii_names=(("carbon steel", "CarbonSteel"), ("coke oven", "CokeOven")),
     hotwords=("焦炭", "焦化", "煤焦油", "炼焦", "配煤", "高炉", "干熄焦", "捣固焦炉"),
     confusions=(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.operators import evidence as ev
 from emberline.operators import retrieval as rt
+from emberline.session import written
 from emberline.sources.tables import table
 
 
@@ -27,7 +28,12 @@ def question_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_metadata(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Text and paper metadata for ranked hits; joined after ranking, when few rows are left."""
+    """Text and paper metadata for ranked hits.
+
+    The hits are ten per question.  They are written first, so that the planner knows their size and
+    does not shuffle the texts to meet them; with very many questions it still may.
+    """
+    hits = written(hits, "hits")
     chunk = chunks.select("vec_id", "paper_id", "chunk_index", "section", "category")
     doc = documents.select(
         F.col("doc_id").alias("vec_id"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.text import guess_title, guess_year, normalise_path, path_category
 from emberline.operators.sections import chunk_rows, full_text, usable, with_chunks, with_sections
+from emberline.session import written
 from emberline.sources.catalog import catalog_rows
 
 SUCCESS, FAILED, SKIPPED = "success", "failed", "skipped"
@@ -40,14 +41,17 @@ def parsed_papers(papers: DataFrame) -> DataFrame:
     )
 
 
-def ingest(papers: DataFrame, seen: DataFrame) -> Ingested:
+def ingest(papers: DataFrame, seen: DataFrame, store: bool = False) -> Ingested:
     """Ingest the papers whose path is not in ``seen`` (file_path); the others are skipped.
 
-    One join marks what is known, so that the outcome report and the ingest share one pass.
+    One join marks what is known.  With ``store`` the parsed papers are written once and all three
+    results read them; without it each result is a plan of its own over the input columns it needs.
     """
     known = seen.select("file_path").distinct().withColumn("_known", F.lit(True))
     marked = papers.withColumn("file_path", normalise_path(F.col("raw_path"))).join(known, "file_path", "left")
     fresh = parsed_papers(marked.where("_known IS NULL").drop("_known", "file_path"))
+    if store:
+        fresh = written(fresh.drop("pages", "sections"), "parsed")
     good = fresh.where(F.col("status") == SUCCESS)
     empty = F.array().cast("array<string>")
     catalog = catalog_rows(

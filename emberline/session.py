@@ -42,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master, where one machine is all there is, may fall back to a temporary folder.
     """
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if root:
         return root
     if not context.master.startswith("local"):

@@ -44,3 +44,23 @@ def test_plans_push_filters_and_avoid_cartesian_joins(spark):
     for name in ("concept_connections", "concept_fan_in", "blend_features", "knowledge_requests", "barge_ins"):
         text = entry_module.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_stored_ingest_equals_the_plans(spark):
+    from emberline.plans import ingest as ing
+
+    schema = "paper_id long, raw_path string, pages array<string>, source string, lang string"
+    rows = [
+        (1, "C:\\Coal blend paper\\CSR\\a.pdf", ["Abstract\n" + "x " * 80, "Results\nfine"], "s", "en"),
+        (2, "C:\\b.pdf", ["too short"], "s", "en"),
+        (3, "C:\\c.pdf", ["y" * 200], "s", "en"),
+    ]
+    papers = spark.createDataFrame(rows, schema)
+    seen = spark.createDataFrame([("C:/c.pdf",)], "file_path string")
+    plain, stored = ing.ingest(papers, seen), ing.ingest(papers, seen, store=True)
+    assert sorted(map(tuple, plain.outcomes.collect())) == [(1, "success", 2), (2, "failed", 1), (3, "skipped", 0)]
+    for a, b in zip(plain, stored):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert [(r["file_path"], r["category"], r["chunk_count"]) for r in stored.catalog.collect()] == [("C:/Coal blend paper/CSR/a.pdf", "CSR", 2)]
+    audit = spark.createDataFrame([("success", 2.0), ("failed", 4.0)], "status string, seconds double")
+    assert tuple(ing.progress(audit, 5).first()) == (2, 3.0, 9.0)
