@@ -83,30 +83,31 @@ def build_edges(entities: DataFrame) -> DataFrame:
 
 
 def build_nodes(entities: DataFrame) -> DataFrame:
-    """One node per (label, key); the last paper that set a property wins."""
+    """One node per (label, key); the last paper that set a property wins.
 
-    def node(label: str, key: Column, title: Column | None = None, year: Column | None = None, unit: Column | None = None) -> Column:
-        return F.struct(
-            F.lit(label).alias("label"), key.alias("key"),
-            (F.lit(None).cast("string") if title is None else title).alias("title"),
-            (F.lit(None).cast("int") if year is None else year.cast("int")).alias("year"),
-            (F.lit(None).cast("string") if unit is None else unit).alias("unit"),
-        )
+    Most nodes have no properties and are plain distinct pairs, which hash and combine map-side; only
+    papers and measured properties need the ordered maximum.
+    """
 
+    def named(label: str, names: Column) -> Column:
+        return F.transform(names, lambda x: F.struct(F.lit(label).alias("label"), x.alias("key")))
+
+    related = F.flatten(F.transform("relations", lambda p: F.array(p["a"], p["b"])))
     every = F.concat(
-        F.array(node("Paper", F.col("paper"), F.col("title"), F.col("year"))),
-        F.transform("authors", lambda x: node("Author", x)),
-        F.transform("concepts", lambda x: node("Concept", x)),
-        F.transform("methods", lambda x: node("Method", x)),
-        F.transform("materials", lambda x: node("Material", x)),
-        F.transform("properties", lambda p: node("Property", p["name"], unit=p["unit"])),
-        F.flatten(F.transform("relations", lambda p: F.array(node("Concept", p["a"]), node("Concept", p["b"])))),
+        named("Author", F.col("authors")), named("Concept", F.col("concepts")), named("Concept", related),
+        named("Method", F.col("methods")), named("Material", F.col("materials")),
+    )
+    plain = entities.select(F.explode_outer(every).alias("n")).where("n IS NOT NULL").select("n.*").distinct()
+    order = F.struct(F.length("paper"), F.col("paper"))
+    papers = entities.groupBy("paper").agg(F.max_by(F.struct("title", "year"), order).alias("p")).select(
+        F.lit("Paper").alias("label"), F.col("paper").alias("key"), "p.title", F.col("p.year").cast("int").alias("year")
     )
-    rows = entities.select("paper", F.explode_outer(every).alias("n")).where("n IS NOT NULL").select("paper", "n.*")
-    latest = F.max_by(F.struct("title", "year", "unit"), F.struct(F.length("paper"), "paper"))
-    return rows.groupBy("label", "key").agg(latest.alias("p")).select(
-        "label", "key", F.when(F.col("label") != "Paper", F.col("key")).alias("name"), "p.title", "p.year", "p.unit"
+    measured = entities.select("paper", F.explode_outer("properties").alias("m")).where("m IS NOT NULL")
+    properties = measured.groupBy(F.col("m.name").alias("key")).agg(F.max_by("m.unit", order).alias("unit")).select(
+        F.lit("Property").alias("label"), "key", "unit"
     )
+    rows = plain.unionByName(papers, allowMissingColumns=True).unionByName(properties, allowMissingColumns=True)
+    return rows.select("label", "key", F.when(F.col("label") != "Paper", F.col("key")).alias("name"), "title", "year", "unit")
 
 
 def key_violations(nodes: DataFrame) -> DataFrame:
