@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,12 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # The JVM does not compile methods above this size; longer stages run better operator by operator.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Texts may be very long, so that batches for Python are small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
+# All intermediates of one process lie under one folder, which a retention rule of the store can drop.
+RUN = f"emberline-{uuid.uuid4().hex[:12]}"
+_shipped: set[str] = set()
 
 
 def build_session(name: str = "emberline", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,14 +33,26 @@ def build_session(name: str = "emberline", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Hand the package to the executors' Python, wherever the driver was started from; once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        with tempfile.TemporaryDirectory() as folder:  # Spark copies the archive and serves it itself
+            package = os.path.dirname(os.path.abspath(__file__))
+            archive = shutil.make_archive(f"{folder}/{os.path.basename(package)}", "zip", os.path.dirname(package), os.path.basename(package))
+            context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return spark
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Bring a session that somebody else made to the same settings."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
-    return spark
+    return ship(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,7 +72,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{RUN}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
