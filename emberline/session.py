@@ -23,7 +23,7 @@ SETTINGS = {
 }
 # All intermediates of one process lie under one folder, which a retention rule of the store can drop.
 RUN = f"emberline-{uuid.uuid4().hex[:12]}"
-_shipped: set[str] = set()
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(name: str = "emberline", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,11 +40,11 @@ def ship(spark: SparkSession) -> SparkSession:
     """Hand the package to the executors' Python, wherever the driver was started from; once per application."""
     context = spark.sparkContext
     if context.applicationId not in _shipped:
-        with tempfile.TemporaryDirectory() as folder:  # Spark copies the archive and serves it itself
-            package = os.path.dirname(os.path.abspath(__file__))
-            archive = shutil.make_archive(f"{folder}/{os.path.basename(package)}", "zip", os.path.dirname(package), os.path.basename(package))
-            context.addPyFile(archive)
-        _shipped.add(context.applicationId)
+        # the driver's own folder will do: Spark serves the archive from there; it goes when the process ends
+        folder = tempfile.TemporaryDirectory(prefix="emberline-")
+        package = os.path.dirname(os.path.abspath(__file__))
+        context.addPyFile(shutil.make_archive(f"{folder.name}/package", "zip", os.path.dirname(package), os.path.basename(package)))
+        _shipped[context.applicationId] = folder
     return spark
 
 
