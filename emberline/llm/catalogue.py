@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontaminate, mixing, placement, records, wordpiece
+from emberline.llm import decontaminate, mixing, placement, records, toxicity, wordpiece
 from emberline.llm.common import table
 from emberline.session import apply_settings
 
@@ -33,6 +33,11 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, folder, "documents"), starts, goes_on)
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit_labels(docs, table(spark, folder, "labels")))
+
+
 def op6_placement(spark: SparkSession, folder: str) -> DataFrame:
     return placement.place(table(spark, folder, "documents").select("doc_id"))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_records": op2_records,
     "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op6_placement": op6_placement,
     "op9_mixture": op9_mixture,
 }
