@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontaminate, mixing, placement, records, toxicity, wordpiece
+from emberline.llm import decontaminate, imatch, mixing, placement, records, toxicity, wordpiece
 from emberline.llm.common import table
 from emberline.session import apply_settings
 
@@ -42,6 +42,11 @@ def op6_placement(spark: SparkSession, folder: str) -> DataFrame:
     return placement.place(table(spark, folder, "documents").select("doc_id"))
 
 
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return imatch.with_neighbours(docs, imatch.lexicon(docs))
+
+
 def op9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op6_placement": op6_placement,
+    "op8_fingerprints": op8_fingerprints,
     "op9_mixture": op9_mixture,
 }
 ORACLES = {"op6_placement": placement.OP6_SQL, "op9_mixture": mixing.OP9_SQL}
