@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontaminate, imatch, mixing, placement, records, toxicity, wordpiece
+from emberline.llm import cotrain, decontaminate, imatch, mixing, placement, records, toxicity, wordpiece
 from emberline.llm.common import table
 from emberline.session import apply_settings
 
@@ -38,6 +38,10 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit_labels(docs, table(spark, folder, "labels")))
 
 
+def op5_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    return cotrain.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_placement(spark: SparkSession, folder: str) -> DataFrame:
     return placement.place(table(spark, folder, "documents").select("doc_id"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op2_records": op2_records,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
+    "op5_cotraining": op5_cotraining,
     "op6_placement": op6_placement,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixture": op9_mixture,
