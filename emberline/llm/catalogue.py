@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import cotrain, decontaminate, imatch, mixing, placement, records, toxicity, wordpiece
+from emberline.llm import cotrain, decontaminate, imatch, mixing, placement, records, roles, toxicity, wordpiece
 from emberline.llm.common import table
 from emberline.session import apply_settings
 
@@ -55,6 +55,10 @@ def op9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_roles(spark: SparkSession, folder: str) -> DataFrame:
+    return roles.repaired(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_records": op2_records,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op6_placement": op6_placement,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixture": op9_mixture,
+    "op10_roles": op10_roles,
 }
 ORACLES = {"op6_placement": placement.OP6_SQL, "op9_mixture": mixing.OP9_SQL}
 
