@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import cotrain, decontaminate, imatch, mixing, placement, records, roles, toxicity, wordpiece
+from emberline.llm import cotrain, decontaminate, imatch, mixing, placement, records, roles, sigtree, toxicity, wordpiece
 from emberline.llm.common import table
 from emberline.session import apply_settings
 
@@ -46,6 +46,10 @@ def op6_placement(spark: SparkSession, folder: str) -> DataFrame:
     return placement.place(table(spark, folder, "documents").select("doc_id"))
 
 
+def op7_similar(spark: SparkSession, folder: str) -> DataFrame:
+    return sigtree.similar(table(spark, folder, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return imatch.with_neighbours(docs, imatch.lexicon(docs))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_cotraining": op5_cotraining,
     "op6_placement": op6_placement,
+    "op7_similar": op7_similar,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixture": op9_mixture,
     "op10_roles": op10_roles,
