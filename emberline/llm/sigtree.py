@@ -122,7 +122,7 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return top["key"].to_numpy("i8").view("u8")[order], top["n"].to_numpy("i8")[order]
 
 
-MARKS = "doc_id long, n long, class long, check long, keys array<long>, bits binary"
+MARKS = "doc_id long, text_hash long, n long, class long, check long, keys array<long>, bits binary"
 
 
 def marks(docs: DataFrame) -> DataFrame:
@@ -147,9 +147,9 @@ def marks(docs: DataFrame) -> DataFrame:
                     keys = found[np.lexsort((found, weight))[: prefix_length(len(found))]].view("i8")
                     bits = bitmap(found).tobytes()
                 rows.append((len(found), digest[0], digest[1], keys, bits))
-            yield pd.concat([batch[["doc_id"]], pd.DataFrame(rows, columns=["n", "class", "check", "keys", "bits"])], axis=1)
+            yield pd.concat([batch[["doc_id", "text_hash"]], pd.DataFrame(rows, columns=["n", "class", "check", "keys", "bits"])], axis=1)
 
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     return written(rows.mapInPandas(run, MARKS), "marks")
 
 
@@ -428,14 +428,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("class"), F.col("b").alias("label"))
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles and component_id."""
-    found = marks(docs)
+def linked_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """class and label of all classes that are linked with another one."""
     buckets = members(found)
     first = tree_pairs(buckets, found)
     pairs = first.select("a", "b").distinct()
-    classes = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "candidates")
-    sets = sets_of(docs, classes)
+    sets = sets_of(docs, written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "candidates"))
     links = verified(pairs, sets)
     labels = components(links.filter("links"))
     refuted = links.filter("not links")
@@ -443,16 +441,49 @@ def similar(docs: DataFrame) -> DataFrame:
         open_buckets = first.join(refuted, ["a", "b"], "left_semi").select("bucket").distinct()
         second = tree_pairs(buckets.join(open_buckets, "bucket", "left_semi"), found, labels)
         more = second.select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
-        links = links.unionByName(verified(more, sets))
-        labels = components(links.filter("links"))
-    return with_components(found, labels)
+        labels = components(links.unionByName(verified(more, sets)).filter("links"))
+    return labels
 
 
-def with_components(found: DataFrame, labels: DataFrame) -> DataFrame:
-    classes = found.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+def per_row(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """The marks' rows with the least row of their component, by id (null last) and text; null for empty sets."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    classes = found.filter("n > 0").groupBy("class").agg(F.min(row).alias("least"))
     classes = classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_class = written(classes.join(least, "label").select("class", "component_id"), "components")
-    rows = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
-    rows = rows.join(of_class, "class", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = classes.groupBy("label").agg(F.min("least").alias("least"))
+    of_class = written(classes.drop("least").join(least, "label").select("class", "least"), "components")
+    rows = found.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    return rows.join(of_class, "class", "left").drop("class")
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles and component_id."""
+    found = marks(docs)
+    rows = per_row(found, linked_classes(docs, found))
+    component = F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that are linked to a kept one: of each component one row stays, its least.
+
+    The rows that go are written as ids and hashes of texts.  Rows that are repeated as a whole are told
+    apart by nothing, so that only these, where there are any, are brought together to keep one.
+    """
+    found = marks(docs)
+    rows = written(per_row(found, linked_classes(docs, found)).filter("n > 0"), "linked-rows")
+    key = {"_doc_id": F.col("doc_id"), "_text_hash": F.col("text_hash")}
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    goes = written(rows.filter(~stays).select(*(c.alias(n) for n, c in key.items())).distinct(), "linked-away")
+    repeats = rows.filter(stays).groupBy("doc_id", "text_hash").count().filter("count > 1")
+    repeats = written(repeats.select(*(c.alias(n) for n, c in key.items())), "repeats")
+
+    def same(df: DataFrame, other: DataFrame):
+        text = F.xxhash64(F.coalesce(df["text"].cast("string"), F.lit("")))
+        return df["doc_id"].cast("long").eqNullSafe(other["_doc_id"]) & (text == other["_text_hash"])
+
+    kept = docs.join(goes, same(docs, goes), "left_anti")
+    if repeats.isEmpty():
+        return kept
+    whole = kept.join(repeats, same(kept, repeats), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeats, same(kept, repeats), "left_anti").unionByName(whole)
