@@ -8,11 +8,12 @@ documents have; it is fitted on counts, and only speed depends on it.  Buckets w
 In a bucket a tree is built over its classes in the order of size.  A node holds the OR of its members'
 bitmaps and their range of sizes, and two trees are traversed together: a pair of nodes whose sizes or
 largest possible overlap cannot reach the threshold is dropped with all its pairs.  What remains at the
-leaves is plausible.  Large groups of near copies are all plausible pairs, so that a first round takes from each
-bucket only a spanning forest of its plausible pairs.  These are verified on the exact sets.  Where all of
-a bucket's forest holds, all its plausible pairs are connected and nothing else can change components; in
-the other buckets a second round takes every plausible pair across components.  Components are then
-those of all links, though not all links are listed.
+leaves is plausible.  Large groups of near copies are all plausible pairs, so that only a spanning forest
+of its plausible pairs is taken from each bucket, and verified on the exact sets.  The forests connect all
+that is plausible; where all edges of such a group hold, nothing else can change components.  In the other
+groups trees are traversed once more, over the exact sets of the group's classes and only across
+components found so far; what links is joined at once, so that pairs are tried until two components meet.
+Components are then those of all links, though not all links are listed.
 
 Buckets of more bytes than a task should hold are cut in blocks, and pairs of blocks are traversed.
 Documents without words, and null texts, have empty sets and are alone.  Rows with equal texts are linked,
@@ -271,7 +272,7 @@ def plausible(a: Tree, b: Tree) -> Iterator[np.ndarray]:
             todo += [(level - 1, x, y) for x, y in found[::-1].tolist()]
 
 
-def octaves(classes: np.ndarray, sizes: np.ndarray, bits: list[bytes], tags: np.ndarray):
+def octaves(classes: np.ndarray, sizes: np.ndarray, bits: list[bytes]):
     """Members by length of their bitmaps: length to (members, tree, tree of half the length)."""
     order = np.lexsort((classes, sizes))
     lengths = np.array([len(bits[i]) for i in order])
@@ -283,11 +284,14 @@ def octaves(classes: np.ndarray, sizes: np.ndarray, bits: list[bytes], tags: np.
     return out
 
 
-def bucket_pairs(classes: np.ndarray, sizes: np.ndarray, bits: list[bytes], labels: np.ndarray | None, sides: np.ndarray | None) -> list[tuple[int, int]]:
-    """Without labels a spanning forest of the plausible pairs, with them all plausible pairs across labels.
+def bucket_pairs(classes: np.ndarray, sizes: np.ndarray, bits: list[bytes], labels: np.ndarray | None, sides: np.ndarray | None, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the plausible pairs or, with sets, of the links; members of equal labels count as connected.
     ``sides`` restricts pairs to those of a member of block 0 and one of block 1."""
-    trees, pairs = octaves(classes, sizes, bits, labels), []
+    trees, pairs = octaves(classes, sizes, bits), []
     parent = list(range(len(classes)))
+    if labels is not None:
+        parent = np.unique(labels, return_index=True, return_inverse=True)
+        parent = parent[1][parent[2]].tolist()
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -304,31 +308,28 @@ def bucket_pairs(classes: np.ndarray, sizes: np.ndarray, bits: list[bytes], labe
                 for x, y in zip(left[found[:, 0]].tolist(), right[found[:, 1]].tolist()):
                     if sides is not None and sides[x] == sides[y]:
                         continue
-                    if labels is None:
-                        p, q = root(x), root(y)
-                        if p == q:
-                            continue
-                        parent[q] = p
-                    elif labels[x] == labels[y]:
+                    p, q = root(x), root(y)
+                    if p == q or sets is not None and not linked(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), sizes[x], sizes[y]):
                         continue
+                    parent[q] = p
                     pairs.append((min(classes[x], classes[y]), max(classes[x], classes[y])))
     return pairs
 
 
-def tree_pairs(buckets: DataFrame, found: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Written: bucket, a and b of the pairs that the trees leave (see ``bucket_pairs``)."""
-    shape = found.filter("bits is not null").select("class", "n", "bits")
-    rows = buckets.join(shape, "class")
-    label = F.lit(None).cast("long").alias("label")
-    if labels is not None:
-        rows, label = rows.join(labels, "class", "left"), F.coalesce("label", "class").alias("label")
+def tree_pairs(rows: DataFrame, exact: bool) -> DataFrame:
+    """Written: bucket, a and b of the pairs that the trees leave (see ``bucket_pairs``).
+
+    ``rows`` has bucket, class, n and bits or, for links on exact sets, bucket, class, n, shingles and label.
+    """
+    carried = ["shingles", "label"] if exact else ["bits"]
     # a bitmap has at most as many bytes as its set has shingles
-    sizes = buckets.join(shape.select("class", "n"), "class").groupBy("bucket").agg(F.sum(F.greatest("n", F.lit(64))).alias("bytes"))
+    sizes = rows.groupBy("bucket").agg(F.sum(F.greatest("n", F.lit(64)) * (8 if exact else 1)).alias("bytes"))
     large = written(sizes.select("bucket", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks")).filter("blocks > 1"), "large-buckets")
     rows = rows.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
-    rows = rows.withColumn("side", own).withColumn("pair", F.explode(pair)).select("bucket", "pair.i", "pair.j", "side", "class", "n", "bits", label)
+    rows = rows.withColumn("side", own).withColumn("pair", F.explode(pair)).select("bucket", "pair.i", "pair.j", "side", "class", "n", *carried)
+    names = ("side", "class", "n", *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -338,14 +339,15 @@ def tree_pairs(buckets: DataFrame, found: DataFrame, labels: DataFrame | None =
             first = np.unique(np.array(held["class"]), return_index=True)[1]
             column = {name: [values[i] for i in first] for name, values in held.items()}
             sides = None if now[1] == now[2] else np.array(column["side"])
-            given = None if column["label"][0] is None else np.array(column["label"])
-            pairs = bucket_pairs(np.array(column["class"]), np.array(column["n"]), column["bits"], given, sides)
+            sets = [x.view("u8") for x in column["shingles"]] if exact else None
+            bits = [bitmap(x).tobytes() for x in sets] if exact else column["bits"]
+            pairs = bucket_pairs(np.array(column["class"]), np.array(column["n"]), bits, np.array(column["label"]) if exact else None, sides, sets)
             a, b = ([p[k] for p in pairs] for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(pairs), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["bucket", "a", "b"])
 
-        names = ("side", "class", "n", "bits", "label")
         for batch in batches:
-            columns = {name: batch.column(batch.schema.get_field_index(name)).to_pylist() for name in ("bucket", "i", "j", *names)}
+            columns = {name: batch.column(batch.schema.get_field_index(name)) for name in ("bucket", "i", "j", *names)}
+            columns = {name: [x.values.to_numpy() for x in c] if name == "shingles" else c.to_pylist() for name, c in columns.items()}
             groups = list(zip(columns["bucket"], columns["i"], columns["j"]))
             start = 0
             for stop in [*(k for k in range(1, len(groups)) if groups[k] != groups[k - 1]), len(groups)]:
@@ -362,7 +364,7 @@ def tree_pairs(buckets: DataFrame, found: DataFrame, labels: DataFrame | None =
             yield finish()
 
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return written(dealt.mapInArrow(run, "bucket long, a long, b long"), "plausible-pairs")
+    return written(dealt.mapInArrow(run, "bucket long, a long, b long"), "tree-pairs")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -430,19 +432,22 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """class and label of all classes that are linked with another one."""
-    buckets = members(found)
-    first = tree_pairs(buckets, found)
-    pairs = first.select("a", "b").distinct()
-    sets = sets_of(docs, written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "candidates"))
+    shape = found.filter("bits is not null").select("class", "n", "bits")
+    pairs = tree_pairs(members(found).join(shape, "class"), exact=False).select("a", "b").distinct()
+    candidates = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "candidates")
+    sets = sets_of(docs, candidates)
     links = verified(pairs, sets)
     labels = components(links.filter("links"))
-    refuted = links.filter("not links")
-    if not refuted.isEmpty():
-        open_buckets = first.join(refuted, ["a", "b"], "left_semi").select("bucket").distinct()
-        second = tree_pairs(buckets.join(open_buckets, "bucket", "left_semi"), found, labels)
-        more = second.select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
-        labels = components(links.unionByName(verified(more, sets)).filter("links"))
-    return labels
+    refuted = links.filter("not links").select(F.col("a").alias("class"))
+    if refuted.isEmpty():
+        return labels
+    # the groups that the forests connect, where one of their edges failed; each class is in one of them
+    groups = components(links).withColumnRenamed("label", "bucket")
+    groups = groups.unionByName(groups.select(F.col("bucket").alias("class"), "bucket").distinct())
+    groups = groups.join(groups.join(refuted, "class", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
+    rows = groups.join(sets, "class").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    more = tree_pairs(rows.withColumn("n", F.size("shingles").cast("long")), exact=True).select("a", "b")
+    return components(links.filter("links").select("a", "b").unionByName(more))
 
 
 def per_row(found: DataFrame, labels: DataFrame) -> DataFrame:

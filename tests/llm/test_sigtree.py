@@ -79,10 +79,24 @@ def test_trees_lose_no_pair(seed):
     bits = [st.bitmap(s).tobytes() for s in sets]
     names = np.arange(len(sets))
     links = {(i, j) for i, j in combinations(range(len(sets)), 2) if st.linked(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j])}
-    pairs = set(st.bucket_pairs(names, sizes, bits, names, None))
+    pairs, trees = set(), st.octaves(names, sizes, bits)
+    for length, (rows, tree, _) in trees.items():
+        for other, b in ((rows, tree), *((trees[2 * length][::2],) if 2 * length in trees else ())):
+            pairs |= {tuple(sorted((rows[x], other[y]))) for found in st.plausible(tree, b) for x, y in found}
     assert links <= pairs and len(pairs) < len(sets) * (len(sets) - 1) / 4
     forest = st.bucket_pairs(names, sizes, bits, None, None)
     assert len(forest) < len(sets) and set(forest) <= pairs
+    exact = st.bucket_pairs(names, sizes, bits, names // 2, None, sets)
+    assert set(exact) <= links
+
+    def groups(edges):
+        label = list(range(len(sets)))
+        for i, j in edges:
+            label = [label[i] if x == label[j] else x for x in label]
+        return {frozenset(k for k, x in enumerate(label) if x == y) for y in label}
+
+    halves = {(2 * k, 2 * k + 1) for k in range(len(sets) // 2)}
+    assert groups(halves | links) == groups(halves | set(exact))
 
 
 def test_query_equals_brute_force(spark):
