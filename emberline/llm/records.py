@@ -39,7 +39,7 @@ CHECK = struct.Struct("<I")
 MASK = 0xA282EAD8  # added after rotating by 15 bits
 ENTRY = np.dtype([("doc_id", "<i8"), ("is_null", "?"), ("offset", "<u8"), ("n_tokens", "<u4")])
 MANIFEST = "file string, part long, n_docs long, n_tokens long"
-MEMO = 600_000  # pieces whose ids a task remembers
+MEMO = 1_000_000  # pieces whose ids a worker remembers
 CUT = re.compile(r"(?= \S)")
 LOOSE = re.compile(r" (?:\s|\Z)")
 
@@ -99,10 +99,17 @@ class Encoder:
             yield b"".join(map(self.memo.__getitem__, text))
 
 
+_encoders: dict[str, Encoder] = {}  # a worker process keeps them from task to task
+
+
+def encoder_of(path: str) -> Encoder:
+    return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+
+
 def _writer(folder: str, tokenizer: str, end_id: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        encoder, end, store, n_tokens, at = Encoder(tokenizer), np.array([end_id], "<u4").tobytes(), None, 0, 0
+        encoder, end, store, n_tokens, at = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes(), None, 0, 0
         index: list[np.ndarray] = []
         for batch in batches:
             if store is None:
