@@ -41,18 +41,23 @@ DATA_KEYWORDS = (
 GREETING = r"(?i)^(你好|hi|hello|嗨|早|在吗|你是谁)\s*[?？!！。.]*$"
 
 
+def _says(question: Column, pattern: str) -> Column:
+    """Any line end but a line feed is a character, and white space and letter case are those of Unicode."""
+    return question.rlike("(?udU)" + pattern)
+
+
 def keyword_agent(question: Column) -> Column:
     """The agent a keyword decides, or null when a model would have to."""
     return (
-        F.when(question.rlike(PRICE_KEYWORDS), "coal_price")
-        .when(question.rlike(OVEN_KEYWORDS), "oven_control")
-        .when(question.rlike(DATA_KEYWORDS), "data_management")
-        .when(question.rlike(GREETING), "simple_chat")
+        F.when(_says(question, PRICE_KEYWORDS), "coal_price")
+        .when(_says(question, OVEN_KEYWORDS), "oven_control")
+        .when(_says(question, DATA_KEYWORDS), "data_management")
+        .when(_says(question, GREETING), "simple_chat")
     )
 
 
 def is_optimization(question: Column) -> Column:
-    return question.rlike(OPTIMIZATION_KEYWORDS)
+    return _says(question, OPTIMIZATION_KEYWORDS)
 
 
 def normal_label(label: Column) -> Column:

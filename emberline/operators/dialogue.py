@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.text import sentences, strip
-from emberline.operators.sliced import SLICE_ROWS, carry, ordered_concat, with_halo
+from emberline.operators.sliced import SLICE_ROWS, carry, ordered_concat, positions, with_halo
 
 # Titles, placeholders and reach of the context.
 TITLE_CHARS, DEFAULT_TITLE = 10, "新对话"
@@ -50,23 +50,25 @@ def message_rows(turns: DataFrame) -> DataFrame:
 def with_context(messages: DataFrame, back: int = CONTEXT_MESSAGES, chars: int = CONTEXT_CHARS, hint: str | None = DOMAIN_HINT) -> DataFrame:
     """Add the texts of the previous messages, cut and joined, as ``context``.
 
-    Messages are numbered from 0 without gaps in ``turn``; a slice borrows the rows it looks back to.
+    Messages are numbered in the order of ``turn``, which may have gaps; a slice borrows the rows it looks back to.
     """
-    sliced = with_halo(messages, "turn", SLICE_ROWS, back)
-    window = Window.partitionBy("session_id", "slice").orderBy("turn").rowsBetween(-back, -1)
+    numbered = positions(messages.withColumn("_slice", F.expr(f"turn div {SLICE_ROWS}")), ["session_id"], "_slice", ["turn"], "_nth").drop("_slice")
+    sliced = with_halo(numbered, "_nth", SLICE_ROWS, back)
+    window = Window.partitionBy("session_id", "slice").orderBy("_nth").rowsBetween(-back, -1)
     short = F.left(strip(F.col("text")), F.lit(chars))
     texts = F.filter(F.collect_list(short).over(window), lambda t: t != "")
     parts = texts if hint is None else F.concat(F.array(F.lit(hint)), texts)
-    return sliced.withColumn("context", F.array_join(parts, " ")).where("home").drop("slice", "home")
+    return sliced.withColumn("context", F.array_join(parts, " ")).where("home").drop("slice", "home", "_nth")
 
 
 def recent_history(messages: DataFrame, size: int) -> DataFrame:
     """The last ``size`` messages per session.
 
-    The greatest turn is an aggregate; what is kept follows by comparison, without a window.
+    Turns may have gaps: messages are numbered first, slice by slice; what is kept follows by comparison with their count.
     """
-    last = messages.groupBy("session_id").agg(F.max("turn").alias("_last"))
-    return messages.join(last, "session_id").where(F.col("turn") > F.col("_last") - size).drop("_last")
+    numbered = positions(messages.withColumn("_slice", F.expr(f"turn div {SLICE_ROWS}")), ["session_id"], "_slice", ["turn"], "_nth")
+    last = messages.groupBy("session_id").agg(F.count("*").alias("_count"))
+    return numbered.join(last, "session_id").where(F.col("_nth") >= F.col("_count") - size).drop("_count", "_nth", "_slice")
 
 
 def sentence_rows(messages: DataFrame) -> DataFrame:
@@ -90,9 +92,12 @@ def assemble_transcripts(segments: DataFrame) -> DataFrame:
     latest = segments.where("text <> ''").groupBy("session_id", "seg_id").agg(
         F.max_by("text", "arrival").alias("text"), F.min("arrival").alias("first_arrival")
     )
-    place = F.when(F.col("seg_id").rlike(r"^\d+$"), F.col("seg_id").cast("long")).otherwise(F.lit(LAST_PLACE))
-    placed = latest.withColumn("place", place).withColumn("slice", F.expr(f"place div {SLICE_ROWS}"))
-    joined = ordered_concat(placed, ["session_id"], "slice", ["place", "first_arrival"], "text", "transcript")
+    # numbers of any length: those too long for a place come after the others, by length and then by digits
+    digits = F.when(F.col("seg_id").rlike(r"^\d+$"), F.ltrim(F.col("seg_id"), F.lit("0")))
+    place = F.when(F.length(digits) <= 9, F.coalesce(F.nullif(digits, F.lit("")).try_cast("long"), F.lit(0))).otherwise(F.lit(LAST_PLACE))
+    placed = latest.withColumns({"place": place, "_length": F.when(place == LAST_PLACE, F.coalesce(F.length(digits), F.lit(1 << 30))).otherwise(0)})
+    placed = placed.withColumn("_digits", F.when(place == LAST_PLACE, F.coalesce(digits, F.lit(""))).otherwise("")).withColumn("slice", F.expr(f"place div {SLICE_ROWS}"))
+    joined = ordered_concat(placed, ["session_id"], "slice", ["place", "_length", "_digits", "first_arrival"], "text", "transcript")
     return joined.withColumn("transcript", strip(F.col("transcript")))
 
 

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from emberline.operators.blend import LIMITED_METRICS, stated_limits
 
 EPSILON = 1e-9
-#: Shares are packed into one long, five bits each, so at most twelve components.
-SHARE_BITS = 5
 MOST_COMPONENTS = 12
 
 
@@ -76,7 +74,13 @@ def _tails(at: int, largest: bool) -> Column:
 
 
 def cheapest_on_lattice(scenarios: DataFrame, max_components: int, steps: int = 20, max_share_steps: int = 12) -> DataFrame:
-    """The cheapest feasible lattice point per scenario, or a row that says there is none."""
+    """The cheapest feasible lattice point per scenario, or a row that says there is none.
+
+    Shares are packed into one long, each in as many bits as ``max_share_steps`` needs.
+    """
+    bits = max_share_steps.bit_length()
+    if bits * max_components > 63:
+        raise ValueError(f"shares of {max_components} components of {max_share_steps} steps do not fit a long")
     names = ("price", *LIMITED_METRICS)
     bounds = [f"{end}_{m}" for m in LIMITED_METRICS for end in ("lo", "hi")]
     tails = [f"{end}_tail_{m}" for m in LIMITED_METRICS for end in ("lo", "hi")]
@@ -111,7 +115,7 @@ def cheapest_on_lattice(scenarios: DataFrame, max_components: int, steps: int =
             .select(
                 *fixed,
                 (F.col("left") - F.col("_s")).alias("left"),
-                F.when(live, F.shiftleft("packed", SHARE_BITS) + F.col("_s")).otherwise(F.col("packed")).alias("packed"),
+                F.when(live, F.shiftleft("packed", bits) + F.col("_s")).otherwise(F.col("packed")).alias("packed"),
                 *[
                     F.when(live, F.col(f"sum_{m}") + F.get(value, F.lit(at)) * share).otherwise(F.col(f"sum_{m}")).alias(f"sum_{m}")
                     for at, m in enumerate(names)
@@ -124,7 +128,7 @@ def cheapest_on_lattice(scenarios: DataFrame, max_components: int, steps: int =
         F.min(F.struct(F.round("sum_price", 6).alias("cost"), "packed")).alias("best"),
     )
     last = F.size("parts") - 1
-    shares = F.transform(F.sequence(F.lit(0), last), lambda i: _share_at(i, last))
+    shares = F.transform(F.sequence(F.lit(0), last), lambda i: _share_at(i, last, bits))
     return scenarios.select("scenario_id", "error", "n", "parts").join(best, "scenario_id", "left").select(
         "scenario_id",
         "n",
@@ -137,9 +141,9 @@ def cheapest_on_lattice(scenarios: DataFrame, max_components: int, steps: int =
     )
 
 
-def _share_at(position: Column, last: Column) -> Column:
-    shifted = F.call_function("shiftright", F.col("best.packed"), (last - position) * SHARE_BITS)
-    return shifted.bitwiseAND(F.lit((1 << SHARE_BITS) - 1).cast("long")).cast("int")
+def _share_at(position: Column, last: Column, bits: int) -> Column:
+    shifted = F.call_function("shiftright", F.col("best.packed"), (last - position) * bits)
+    return shifted.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
 
 
 def _reachable(level: int, steps: int) -> Column:

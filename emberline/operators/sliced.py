@@ -82,13 +82,12 @@ def positions(df: DataFrame, keys: list[str], slice_by: str, order: list[str], o
 
 
 def with_halo(df: DataFrame, along: str, width: int, reach: int) -> DataFrame:
-    """Add ``slice`` and ``home``; rows in the last ``reach`` of a slice also appear in the next one.
+    """Add ``slice`` and ``home``; a row also appears in every later slice that ``reach`` touches.
 
     ``along`` is a whole number: a gap-free position, or a time for frames that reach back by time.
     """
     here = F.expr(f"{along} div {width}")
-    late = F.pmod(F.col(along), F.lit(width)) >= width - reach
-    copies = F.when(late, F.array(here, here + 1)).otherwise(F.array(here))
+    copies = F.sequence(here, F.expr(f"({along} + {reach}) div {width}"))
     return df.withColumn("slice", F.explode(copies)).withColumn("home", F.col("slice") == here)
 
 

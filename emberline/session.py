@@ -20,6 +20,8 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Texts may be very long, so that batches for Python are small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # Stateful stream operators need a state store with column families.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 # All intermediates of one process lie under one folder, which a retention rule of the store can drop.
 RUN = f"emberline-{uuid.uuid4().hex[:12]}"

@@ -15,7 +15,6 @@ from emberline.streaming.processors import Changes, ClauseAssembly, EnergySegmen
 
 LATE = "10 seconds"
 IDLE = "5 seconds"
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_time(frames: DataFrame) -> DataFrame:
@@ -61,7 +60,6 @@ def idle_transcripts(segments: DataFrame) -> DataFrame:
 
 
 def _keyed(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     return rows.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode
     )

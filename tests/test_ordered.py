@@ -148,3 +148,29 @@ def test_barge_ins(spark):
     speech = spark.createDataFrame([(1, 125_000_000), (1, 129_000_000), (1, 300), (2, 50)], "session int, t_us long")
     got = {r["output_id"]: r["cut_us"] for r in sp.barge_ins(outputs, speech).collect()}
     assert got == {1: 300, 2: None, 3: None}
+
+
+def test_reach_beyond_a_slice(spark):
+    frames = spark.createDataFrame([(1, n, n * 10_000_000, 0.5, "x") for n in range(30)], SCHEMA)
+    got = {r["frame_id"]: r["trailing_frames"] for r in sp.trailing(frames, seconds=90).collect()}
+    assert got == {n: min(n, 9) + 1 for n in range(30)}
+
+
+def test_context_over_gaps_in_turns(spark):
+    from emberline.operators import dialogue as dl
+
+    rows = [(1, 10 * n, f"m{n}") for n in range(2500)]
+    df = spark.createDataFrame(rows, "session_id long, turn long, text string")
+    got = {r["turn"]: r["context"] for r in dl.with_context(df, back=1500, hint=None).collect()}
+    assert got == {10 * n: " ".join(f"m{k}" for k in range(max(0, n - 1500), n)) for n in range(2500)}
+    assert sorted(r["turn"] for r in dl.recent_history(df, 8).collect()) == [10 * n for n in range(2492, 2500)]
+    with_ids = [(1, "12345678901234567890", 1, "D"), (1, "x", 2, "E"), (1, "7", 3, "B"), (1, "007", 9, "C"), (1, "1", 5, "A")]
+    segments = spark.createDataFrame(with_ids, "session_id long, seg_id string, arrival long, text string")
+    assert dl.assemble_transcripts(segments).first()["transcript"] == "ABCDE"
+
+
+def test_routing_reads_unicode_white_space(spark):
+    from emberline.functions import routing as ro
+
+    df = spark.createDataFrame([(1, "你好\u3000"), (2, "查看\r的煤样"), (3, "其他")], "n int, q string")
+    assert [r["a"] for r in df.select("n", ro.keyword_agent(df["q"]).alias("a")).orderBy("n").collect()] == ["simple_chat", "data_management", None]
