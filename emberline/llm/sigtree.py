@@ -85,8 +85,8 @@ def linked(overlap, a, b):
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Bits of the shingles' low ends, four or more times as many as there are shingles, as 64-bit numbers."""
-    size = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
+    """Bits of the shingles' low ends, two or more times as many as there are shingles, as 64-bit numbers."""
+    size = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
     flags = np.zeros(size, "u1")
     flags[shingles & np.uint64(size - 1)] = 1
     return np.packbits(flags, bitorder="little").view("<u8")
@@ -316,16 +316,17 @@ def bucket_pairs(classes: np.ndarray, sizes: np.ndarray, bits: list[bytes], labe
     return pairs
 
 
-def tree_pairs(rows: DataFrame, exact: bool) -> DataFrame:
+def tree_pairs(rows: DataFrame, shape: DataFrame, exact: bool) -> DataFrame:
     """Written: bucket, a and b of the pairs that the trees leave (see ``bucket_pairs``).
 
-    ``rows`` has bucket, class, n and bits or, for links on exact sets, bucket, class, n, shingles and label.
+    ``rows`` has bucket, class, n and, for links on exact sets, label; ``shape`` has a class's bits or shingles,
+    which join last: what large buckets are is known from their sizes.
     """
     carried = ["shingles", "label"] if exact else ["bits"]
     # a bitmap has at most as many bytes as its set has shingles
     sizes = rows.groupBy("bucket").agg(F.sum(F.greatest("n", F.lit(64)) * (8 if exact else 1)).alias("bytes"))
     large = written(sizes.select("bucket", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks")).filter("blocks > 1"), "large-buckets")
-    rows = rows.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.join(large, "bucket", "left").join(shape, "class").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
     rows = rows.withColumn("side", own).withColumn("pair", F.explode(pair)).select("bucket", "pair.i", "pair.j", "side", "class", "n", *carried)
@@ -432,8 +433,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """class and label of all classes that are linked with another one."""
-    shape = found.filter("bits is not null").select("class", "n", "bits")
-    pairs = tree_pairs(members(found).join(shape, "class"), exact=False).select("a", "b").distinct()
+    sizes = found.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"))
+    shape = found.filter("bits is not null").select("class", "bits").dropDuplicates(["class"])
+    pairs = tree_pairs(written(members(found).join(sizes, "class"), "members"), shape, exact=False).select("a", "b").distinct()
     candidates = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "candidates")
     sets = sets_of(docs, candidates)
     links = verified(pairs, sets)
@@ -445,8 +447,8 @@ def linked_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     groups = components(links).withColumnRenamed("label", "bucket")
     groups = groups.unionByName(groups.select(F.col("bucket").alias("class"), "bucket").distinct())
     groups = groups.join(groups.join(refuted, "class", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
-    rows = groups.join(sets, "class").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    more = tree_pairs(rows.withColumn("n", F.size("shingles").cast("long")), exact=True).select("a", "b")
+    rows = groups.join(sizes, "class").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    more = tree_pairs(written(rows, "members"), sets, exact=True).select("a", "b")
     return components(links.filter("links").select("a", "b").unionByName(more))
 
 
