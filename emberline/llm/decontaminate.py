@@ -1,7 +1,10 @@
 """Benchmark passages in documents, also where their numbers, units and names were changed.
 
 Words become a template: a number, the unit after a number, and a capitalised word inside a sentence are
-slots of their type, other words are themselves in lower case.  Templates match by windows: windows of
+slots of their type, other words are themselves in lower case.  Any other capitalised word, as at the start
+of a sentence or after a quote, may be a name or not.  A word of the item and one of the document match if
+both can be slots of one type, or if they are equal.  Windows are hashed in each reading of their words, as
+slot or as word, so that they meet whenever their words match: windows of
 ``ANCHOR`` words of the benchmark at every place meet those of the documents at every ``STRIDE``-th place,
 so that each common run of at least ``RUN`` = ANCHOR + STRIDE - 1 words holds one such window.  From there
 the run is followed to both sides in the words that the window carries along.  A document is contaminated
@@ -29,6 +32,7 @@ ANCHOR, STRIDE = 6, 8
 RUN = ANCHOR + STRIDE - 1
 BROADCAST_ROWS = 4_000_000  # longs
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"  # mark slots in front of their value
+MAYBE = "\ue003"  # marks words that are a name or a plain word
 UNITS = (
     "mm|cm|m|km|inch|inches|foot|feet|yards|mile|miles|mg|g|kg|oz|lb|lbs|pound|pounds|ton|tons|ml|l|litre|litres|liter|liters|gallons|"
     "second|seconds|minute|minutes|hour|hours|day|days|week|weeks|month|months|year|years|dollar|dollars|cents|euro|euros|percent|%|"
@@ -36,49 +40,71 @@ UNITS = (
 )
 
 
-def marked_words(text: Column) -> Column:
-    """Words in lower case without punctuation, slots with their mark in front.
+def read_words(text: Column) -> Column:
+    """Words in lower case without punctuation, slots and possible names with their mark in front.
 
     Every replacement leaves white space alone or turns punctuation into it, so that words stay whole.
     """
-    text = F.regexp_replace(text, f"[{NAME}-{UNIT}]", " ")
+    text = F.regexp_replace(text, f"[{NAME}-{MAYBE}]", " ")
     text = F.regexp_replace(text, r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", NAME)
     numbers = F.regexp_replace(text, r"(?<![\p{L}\p{N}.,])(?=\p{N})", NUMBER)
     numbers = F.regexp_replace(numbers, rf"(?i)({NUMBER}\S+ )(?=(?:{UNITS})(?![\p{{L}}\p{{N}}]))", "$1" + UNIT)
     text = F.when(text.rlike(r"\p{N}"), numbers).otherwise(text)
-    text = F.regexp_replace(F.lower(text), rf"(?:[^\p{{L}}\p{{N}}{NAME}-{UNIT}\s.,%]|[.,](?!\p{{N}})|(?<!\p{{N}})[.,])+", " ")
+    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}%{NAME}-{UNIT}])(?=\p{{Lu}}\p{{Ll}})", MAYBE)
+    text = F.regexp_replace(F.lower(text), rf"(?:[^\p{{L}}\p{{N}}{NAME}-{MAYBE}\s.,%]|[.,](?!\p{{N}})|(?<!\p{{N}})[.,])+", " ")
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def marked_words(text: Column) -> Column:
+    """The words with the marks of slots alone; possible names are plain words."""
+    return F.transform(read_words(text), lambda w: F.when(w.startswith(MAYBE), F.substr(w, F.lit(2))).otherwise(w))
+
+
 def template(word: Column) -> Column:
+    """The mark of a slot, that of a name also for a possible name, or the plain word."""
     first = F.substring(word, 1, 1)
-    return F.when(first.between(NAME, UNIT), first).otherwise(word)
+    return F.when(first == MAYBE, NAME).when(first.between(NAME, UNIT), first).otherwise(word)
 
 
 def _bare(word: Column) -> Column:
-    return F.regexp_replace(word, f"^[{NAME}-{UNIT}]", "")
+    return F.when(F.substring(word, 1, 1).between(NAME, MAYBE), F.substr(word, F.lit(2))).otherwise(word)
+
+
+def readings(words: Column, tpl: Column) -> Column:
+    """Hashes of a window with each of its slots read as slot and as word: at most two to the power of its length."""
+
+    def with_word(found: Column, word: Column) -> Column:
+        plain = F.transform(found, lambda r: F.concat(r, F.array(_bare(word))))
+        slots = F.transform(found, lambda r: F.concat(r, F.array(template(word))))
+        return F.when(template(word) == word, plain).otherwise(F.concat(plain, slots))
+
+    every = F.aggregate(words, F.array(F.array().cast("array<string>")), with_word)
+    plain = ~F.arrays_overlap(tpl, F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT)))
+    return F.when(plain, F.array(F.xxhash64(tpl))).otherwise(F.transform(every, lambda r: F.xxhash64(r)))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """hash, item_id, item_at and the item's words, for every window of every item of at least ``RUN`` words."""
-    items = benchmark.select("item_id", marked_words(text_of()).alias("item")).filter(F.size("item") >= RUN)
-    tpl = F.transform("item", template)
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("item") - ANCHOR + 1), lambda p: F.xxhash64(F.slice(tpl, p, ANCHOR))))
-    return items.select("item_id", "item", at.alias("item_at", "hash"))
+    """hash, item_id, item_at and the item's words, for every reading of every window of every item of at least ``RUN`` words."""
+    items = benchmark.select("item_id", read_words(text_of()).alias("item")).filter(F.size("item") >= RUN)
+    items = items.withColumn("tpl", F.transform("item", template))
+    places = F.sequence(F.lit(1), F.size("item") - ANCHOR + 1)
+    at = F.posexplode(F.transform(places, lambda p: readings(F.slice("item", p, ANCHOR), F.slice("tpl", p, ANCHOR))))
+    return items.select("item_id", "item", at.alias("item_at", "hashes")).select("item_id", "item", "item_at", F.explode("hashes").alias("hash"))
 
 
 def document_windows(docs: DataFrame) -> DataFrame:
-    """hash, place and surrounding words of every ``STRIDE``-th window; ``skip`` words of these stand before the window."""
-    words = docs.select(F.col("doc_id"), F.xxhash64(text_of()).alias("text_hash"), marked_words(text_of()).alias("words"))
+    """hash, place and surrounding words of every reading of every ``STRIDE``-th window; ``skip`` words of these stand before the window."""
+    words = docs.select(F.col("doc_id"), F.xxhash64(text_of()).alias("text_hash"), read_words(text_of()).alias("words"))
     words = words.filter(F.size("words") >= RUN).withColumn("tpl", F.transform("words", template))
 
     def window(p: Column) -> Column:
         first = F.greatest(p - (STRIDE - 1), F.lit(0))
         around = F.slice("words", first + 1, p - first + ANCHOR + STRIDE - 1)
-        return F.struct(p.alias("at"), F.xxhash64(F.slice("tpl", p + 1, ANCHOR)).alias("hash"), (p - first).alias("skip"), around.alias("around"))
+        return F.struct(p.alias("at"), readings(F.slice("words", p + 1, ANCHOR), F.slice("tpl", p + 1, ANCHOR)).alias("hashes"), (p - first).alias("skip"), around.alias("around"))
 
     places = F.sequence(F.lit(0), F.size("words") - ANCHOR, F.lit(STRIDE))
-    return words.select("doc_id", "text_hash", F.explode(F.transform(places, window)).alias("w")).select("doc_id", "text_hash", "w.*")
+    found = words.select("doc_id", "text_hash", F.explode(F.transform(places, window)).alias("w")).select("doc_id", "text_hash", "w.*")
+    return found.withColumn("hash", F.explode("hashes")).drop("hashes")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -86,15 +112,17 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = written(item_windows(benchmark), "benchmark-windows")
     hashes = items.select("hash").distinct()
     hashes = F.broadcast(hashes) if items.count() <= BROADCAST_ROWS else hashes
-    hits = document_windows(docs).join(hashes, "hash", "left_semi").join(items, "hash")
+    hits = document_windows(docs).join(hashes, "hash", "left_semi").join(items, "hash").drop("hash")
     # words of the document beside those of the item, as far as both go
     first = F.greatest(F.col("skip") - F.col("item_at"), F.lit(0))
     last = F.least(F.size("around"), F.size("item") - F.col("item_at") + F.col("skip")) - 1
 
     def pair(i: Column) -> Column:
         ours, theirs = F.get("around", i), F.get("item", F.col("item_at") + i - F.col("skip"))
-        same = (template(ours) == template(theirs)) | (_bare(ours) == _bare(theirs))
-        slot = (template(ours) != ours) & (template(theirs) != theirs)
+        equal = _bare(ours) == _bare(theirs)
+        same = (template(ours) == template(theirs)) | equal
+        # an equal word is a slot only where neither side can be a plain word
+        slot = same & (~equal | (ours.substr(1, 1).between(NAME, UNIT) & theirs.substr(1, 1).between(NAME, UNIT)))
         return F.struct(same.alias("same"), slot.alias("slot"), _bare(theirs).alias("item"), _bare(ours).alias("doc"), (F.col("item_at") + i - F.col("skip")).alias("at"))
 
     pairs = hits.withColumn("first", first).withColumn("pairs", F.transform(F.sequence(first, last), pair))

@@ -77,3 +77,14 @@ def test_query_finds_whole_items_and_stays_native(spark):
     items = [r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     hold = {r["doc_id"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if any(t in r["text"] for t in items)}
     assert hold <= {r["doc_id"] for r in df.collect()}
+
+
+def test_names_at_starts_of_sentences(spark, documents):
+    item = "Maria buys 12 pens for 3 dollars each. Maria sells 5 of them to a friend at noon."
+    filler = "some quiet words that stand before and behind it. " * 3
+    texts = [item.replace("Maria", "Linda"), filler + '"' + item.replace("Maria", "Linda") + '" ' + filler, item.lower(), filler]
+    texts += [item.replace("Maria", "Linda").replace("each. Linda", "each; Linda"), item.replace("Maria", "she")]
+    got = {r["doc_id"]: r for r in d.contaminated(documents(texts), bench(spark, item)).collect()}
+    assert set(got) == {0, 1, 2, 4}, got
+    assert got[0]["n_changed"] == got[1]["n_changed"] == 2 and got[2]["n_changed"] == 0
+    assert all(r["matched_words"] == 18 for r in got.values())
