@@ -8,9 +8,13 @@ slot or as word, so that they meet whenever their words match: windows of
 ``ANCHOR`` words of the benchmark at every place meet those of the documents at every ``STRIDE``-th place,
 so that each common run of at least ``RUN`` = ANCHOR + STRIDE - 1 words holds one such window.  From there
 the run is followed to both sides in the words that the window carries along.  A document is contaminated
-by an item if they share a run of at least ``RUN`` words at one offset, at least half of them outside
-slots, and the slots are consistent: the same value in the item always stands for the same value in the
-document, and different ones for different ones.
+by an item if they share a run of at least ``RUN`` words at one offset that is evidence:
+
+* ``RUN`` words that are equal, whatever they are and whatever stands beside them;
+* a whole run in which at least half of the words are equal and the slots are consistent, so that the same
+  value in the item always stands for the same value in the document; also if this holds only for what
+  is left between possible names that differ;
+* of any other run the longest consistent parts, at least half of them equal, with more than ``RUN`` equal words.
 
 Documents are not shuffled: the hashes of the benchmark's windows go to the tasks when a count has shown
 that they are few, and only windows that hit are joined and grouped after that.  Beyond that number Spark
@@ -22,9 +26,12 @@ Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions.binding import let
 from emberline.llm.common import text_of
 from emberline.session import written
 
@@ -108,7 +115,7 @@ def document_windows(docs: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document, item and offset with a consistent common run: matched words, slots, and slots that differ."""
+    """One row per document, item and offset with a common run that is evidence: its words, slots, and slots that differ."""
     items = written(item_windows(benchmark), "benchmark-windows")
     hashes = items.select("hash").distinct()
     hashes = F.broadcast(hashes) if items.count() <= BROADCAST_ROWS else hashes
@@ -122,8 +129,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         equal = _bare(ours) == _bare(theirs)
         same = (template(ours) == template(theirs)) | equal
         # an equal word is a slot only where neither side can be a plain word
-        slot = same & (~equal | (ours.substr(1, 1).between(NAME, UNIT) & theirs.substr(1, 1).between(NAME, UNIT)))
-        return F.struct(same.alias("same"), slot.alias("slot"), _bare(theirs).alias("item"), _bare(ours).alias("doc"), (F.col("item_at") + i - F.col("skip")).alias("at"))
+        surely = ours.substr(1, 1).between(NAME, UNIT) & theirs.substr(1, 1).between(NAME, UNIT)
+        slot = same & (~equal | surely)
+        at = (F.col("item_at") + i - F.col("skip")).alias("at")
+        return F.struct(at, same.alias("same"), equal.alias("equal"), slot.alias("slot"), surely.alias("surely"), _bare(theirs).alias("item"), _bare(ours).alias("doc"))
 
     pairs = hits.withColumn("first", first).withColumn("pairs", F.transform(F.sequence(first, last), pair))
     left, right = F.reverse(F.slice("pairs", F.lit(1), F.col("skip") - F.col("first"))), F.slice("pairs", F.col("skip") - F.col("first") + 1, 1 << 20)
@@ -136,19 +145,70 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     run = F.slice("pairs", F.col("skip") - F.col("first") - F.col("before") + 1, F.col("before") + F.col("after"))
     runs = runs.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("offset"), run.alias("run"))
     # an item's words bound each group
-    whole = runs.groupBy("doc_id", "text_hash", "item_id", "offset").agg(F.array_distinct(F.flatten(F.collect_list("run"))).alias("run"))
-    slots = F.array_distinct(F.transform(F.filter("run", lambda x: x["slot"]), lambda x: F.struct(x["item"].alias("item"), x["doc"].alias("doc"))))
-    whole = whole.withColumn("slots", slots)
-    sides = (F.size(F.array_distinct(F.transform("slots", lambda x: x[side]))) for side in ("item", "doc"))
-    consistent = F.lit(True)
-    for side in sides:
-        consistent = consistent & (side == F.size("slots"))
-    n_slots = F.size(F.filter("run", lambda x: x["slot"]))
-    whole = whole.filter(consistent & (2 * n_slots <= F.size("run")))
-    changed = F.size(F.filter("run", lambda x: x["slot"] & (x["item"] != x["doc"])))
+    whole = runs.groupBy("doc_id", "text_hash", "item_id", "offset").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("run")))).alias("run"))
+    whole = whole.withColumn("evidence", evidence(F.col("run")))
+    kept = F.filter("run", lambda x, i: F.exists("evidence", lambda e: (e["first"] <= i) & (i <= e["last"])))
+    whole = whole.withColumn("run", kept).filter(F.size("run") > 0)
+    n_slots, changed = F.size(F.filter("run", lambda x: x["slot"])), F.size(F.filter("run", lambda x: ~x["equal"]))
     return whole.select("doc_id", "text_hash", "item_id", "offset", F.size("run").alias("matched_words"), n_slots.alias("n_slots"), changed.alias("n_changed"))
 
 
+def stretches(run: Column, ok: Callable[[Column], Column]) -> Column:
+    """The first and last places of all longest stretches of neighbouring words that are ``ok``."""
+
+    def borders(step: int) -> Column:
+        def goes_on(x: Column, i: Column) -> Column:
+            beside = F.get(run, i + step)
+            return F.coalesce((beside["at"] == x["at"] + step) & ok(beside), F.lit(False))
+
+        places = F.transform(run, lambda x, i: F.when(ok(x) & ~goes_on(x, i), i))
+        return F.filter(places, lambda i: i.isNotNull())
+
+    return F.zip_with(borders(-1), borders(1), lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+
+
+def consistent_parts(run: Column, span: Column) -> Column:
+    """The longest parts of a span in which each value of the item has one value of the document."""
+    places = F.transform(run, lambda x, i: F.struct(i.alias("i"), x["slot"].alias("slot"), x["item"].alias("item"), x["doc"].alias("doc")))
+    slots = F.filter(places, lambda x: x["slot"] & (span["first"] <= x["i"]) & (x["i"] <= span["last"]))
+
+    def parts(slots: Column) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            clash = F.array_max(F.transform(F.filter(slots, lambda y: (y["i"] < x["i"]) & (y["item"] == x["item"]) & (y["doc"] != x["doc"])), lambda y: y["i"]))
+            ended = F.struct(state["first"].alias("first"), (x["i"] - 1).alias("last"))
+            cut = F.struct((clash + 1).alias("first"), F.concat(state["parts"], F.array(ended)).alias("parts"))
+            return F.when(clash >= state["first"], cut).otherwise(state)
+
+        none = F.array().cast("array<struct<first:int,last:int>>")
+        start = F.struct(span["first"].alias("first"), none.alias("parts"))
+        return F.aggregate(slots, start, step, lambda state: F.concat(state["parts"], F.array(F.struct(state["first"].alias("first"), span["last"].alias("last")))))
+
+    return let(slots, parts)
+
+
+def evidence(run: Column) -> Column:
+    """The spans of a run that show a copy, by their first and last places in it."""
+
+    def long(spans: Column) -> Column:
+        return F.filter(spans, lambda e: e["last"] - e["first"] + 1 >= RUN)
+
+    def words(e: Column) -> Column:
+        return F.slice(run, e["first"] + 1, e["last"] - e["first"] + 1)
+
+    def n_equal(e: Column) -> Column:
+        return F.size(F.filter(words(e), lambda x: x["equal"]))
+
+    def half(e: Column) -> Column:
+        return 2 * n_equal(e) >= e["last"] - e["first"] + 1
+
+    equal = long(stretches(run, lambda x: x["equal"]))
+    spans = long(stretches(run, lambda x: F.lit(True)))
+    surer = long(stretches(run, lambda x: x["equal"] | x["surely"]))
+    parts = F.flatten(F.transform(spans, lambda e: consistent_parts(run, e)))
+    whole = F.filter(F.concat(spans, surer), lambda e: half(e) & (F.size(consistent_parts(run, e)) == 1))
+    return F.concat(equal, whole, F.filter(parts, lambda e: half(e) & (n_equal(e) > RUN)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated document: its items' number, and its longest match."""
     best = F.max_by(F.struct("item_id", "matched_words", "n_slots", "n_changed"), F.struct("matched_words", -F.col("n_changed"), -F.col("item_id"), -F.col("offset")))

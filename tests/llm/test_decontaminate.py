@@ -88,3 +88,18 @@ def test_names_at_starts_of_sentences(spark, documents):
     assert set(got) == {0, 1, 2, 4}, got
     assert got[0]["n_changed"] == got[1]["n_changed"] == 2 and got[2]["n_changed"] == 0
     assert all(r["matched_words"] == 18 for r in got.values())
+
+
+def test_evidence_is_not_dropped_with_what_stands_beside_it(spark, documents):
+    verbatim = "the tank takes 5 litres while " + " ".join(f"word{chr(97 + i)}" for i in range(20)) + " and then 5 more litres go out again"
+    pears = "take 3 apples and 4 pears from the old basket and put them into the large blue one"
+    table = "we list 3 kg 4 kg 5 km 6 km 7 hours 8 hours 9 days 10 days 11 days"
+    long = " ".join(f"say {i} of them{chr(97 + i)} here" for i in range(9))
+    items = [verbatim, pears, table, long]
+    texts = [verbatim.replace("then 5", "then 6"), pears.replace("3", "5").replace("4", "5"), table, long.replace("say 1 ", "say 71 ") + " x", table.replace("kg", "mg")]
+    texts += [pears.replace("3", "5").replace("basket", "box"), table.translate(str.maketrans("3456789", "9876543")).replace("days", "weeks").replace("kg", "mg")]
+    items.append("now 2 boys and 2 girls carry the wood over the bridge to the mill where 2 men cut it into boards for 9 new boats at the quay by the old church")
+    texts.append(items[-1].replace("2 boys", "6 boys").replace("2 girls", "6 girls").replace("2 men", "7 men").replace("9 new", "4 new"))
+    got = {r["doc_id"]: r for r in d.contaminated(documents(texts), bench(spark, *items)).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 7}, got
+    assert got[2]["n_changed"] == 0 and got[2]["matched_words"] == 20 and got[1]["n_changed"] == 2
