@@ -18,7 +18,12 @@ by an item if they share a run of at least ``RUN`` words at one offset that is e
 
 Documents are not shuffled: the hashes of the benchmark's windows go to the tasks when a count has shown
 that they are few, and only windows that hit are joined and grouped after that.  Beyond that number Spark
-joins by shuffle, with the same result.  Items of less than ``RUN`` words are too short to be evidence.
+joins by shuffle, with the same result.
+
+An item of less than ``RUN`` words counts where the document holds all of it, equal or with consistent slots
+of which at most half differ.  Its first words, at most ``ANCHOR``, meet windows of that length at every
+place of the documents; these windows are made only for lengths that such items have.  ``matches`` and
+``contaminated`` look for short items if asked to, as the query and ``decontaminated`` do.
 
 Null and empty texts match nothing.  Rows with equal id and text give one result row; ids may be null.
 Other columns are not read.
@@ -77,8 +82,8 @@ def _bare(word: Column) -> Column:
     return F.when(F.substring(word, 1, 1).between(NAME, MAYBE), F.substr(word, F.lit(2))).otherwise(word)
 
 
-def readings(words: Column, tpl: Column) -> Column:
-    """Hashes of a window with each of its slots read as slot and as word: at most two to the power of its length."""
+def readings(words: Column, tpl: Column, kind: int = 0) -> Column:
+    """Hashes, seeded with the kind of window, of a window with each of its slots read as slot and as word: at most two to the power of its length."""
 
     def with_word(found: Column, word: Column) -> Column:
         plain = F.transform(found, lambda r: F.concat(r, F.array(_bare(word))))
@@ -87,7 +92,7 @@ def readings(words: Column, tpl: Column) -> Column:
 
     every = F.aggregate(words, F.array(F.array().cast("array<string>")), with_word)
     plain = ~F.arrays_overlap(tpl, F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT)))
-    return F.when(plain, F.array(F.xxhash64(tpl))).otherwise(F.transform(every, lambda r: F.xxhash64(r)))
+    return F.when(plain, F.array(F.xxhash64(F.lit(kind), tpl))).otherwise(F.transform(every, lambda r: F.xxhash64(F.lit(kind), r)))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -99,27 +104,50 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", "item", at.alias("item_at", "hashes")).select("item_id", "item", "item_at", F.explode("hashes").alias("hash"))
 
 
-def document_windows(docs: DataFrame) -> DataFrame:
-    """hash, place and surrounding words of every reading of every ``STRIDE``-th window; ``skip`` words of these stand before the window."""
+def short_items(benchmark: DataFrame) -> DataFrame:
+    """As ``item_windows``, for the first words of items of less than ``RUN`` words; with the window's length."""
+    items = benchmark.select("item_id", read_words(text_of()).alias("item")).filter(F.size("item").between(1, RUN - 1))
+    first = F.slice("item", 1, ANCHOR)
+    items = items.select("item_id", "item", F.lit(0).alias("item_at"), F.size(first).alias("length"), first.alias("words"))
+    return items.select("item_id", "item", "item_at", F.explode(readings(F.col("words"), F.transform("words", template), 1)).alias("hash"), "length")
+
+
+def document_windows(docs: DataFrame, lengths: list[int] | None = None) -> DataFrame:
+    """hash, place and surrounding words of every reading of every ``STRIDE``-th window; ``skip`` words of these stand before the window.
+
+    With ``lengths`` (of short items) also windows of these at every place.
+    """
     words = docs.select(F.col("doc_id"), F.xxhash64(text_of()).alias("text_hash"), read_words(text_of()).alias("words"))
-    words = words.filter(F.size("words") >= RUN).withColumn("tpl", F.transform("words", template))
+    words = words.filter(F.size("words") >= min([RUN, *(lengths or [])])).withColumn("tpl", F.transform("words", template))
 
-    def window(p: Column) -> Column:
-        first = F.greatest(p - (STRIDE - 1), F.lit(0))
+    def window(p: Column, length: int, before: int, kind: int) -> Column:
+        first = F.greatest(p - before, F.lit(0))
         around = F.slice("words", first + 1, p - first + ANCHOR + STRIDE - 1)
-        return F.struct(p.alias("at"), readings(F.slice("words", p + 1, ANCHOR), F.slice("tpl", p + 1, ANCHOR)).alias("hashes"), (p - first).alias("skip"), around.alias("around"))
+        hashes = readings(F.slice("words", p + 1, length), F.slice("tpl", p + 1, length), kind)
+        return F.struct(p.alias("at"), hashes.alias("hashes"), (p - first).alias("skip"), around.alias("around"))
+
+    def windows(length: int, step: int, before: int, kind: int, least: int) -> DataFrame:
+        places = F.when(F.size("words") >= least, F.sequence(F.lit(0), F.size("words") - length, F.lit(step)))
+        return words.select("doc_id", "text_hash", F.explode(F.transform(places, lambda p: window(p, length, before, kind))).alias("w"))
 
-    places = F.sequence(F.lit(0), F.size("words") - ANCHOR, F.lit(STRIDE))
-    found = words.select("doc_id", "text_hash", F.explode(F.transform(places, window)).alias("w")).select("doc_id", "text_hash", "w.*")
-    return found.withColumn("hash", F.explode("hashes")).drop("hashes")
+    found = windows(ANCHOR, STRIDE, STRIDE - 1, 0, RUN)
+    for n in lengths or []:
+        found = found.unionByName(windows(n, 1, 0, 1, n))
+    return found.select("doc_id", "text_hash", "w.*").withColumn("hash", F.explode("hashes")).drop("hashes")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, short: bool = False) -> DataFrame:
     """One row per document, item and offset with a common run that is evidence: its words, slots, and slots that differ."""
-    items = written(item_windows(benchmark), "benchmark-windows")
+    items, lengths = item_windows(benchmark), []
+    if short:
+        items = items.withColumn("length", F.lit(None).cast("int")).unionByName(short_items(benchmark))
+    items = written(items, "benchmark-windows")
+    if short:
+        lengths = sorted(r["length"] for r in items.select("length").distinct().collect() if r["length"])
+        items = items.drop("length")
     hashes = items.select("hash").distinct()
     hashes = F.broadcast(hashes) if items.count() <= BROADCAST_ROWS else hashes
-    hits = document_windows(docs).join(hashes, "hash", "left_semi").join(items, "hash").drop("hash")
+    hits = document_windows(docs, lengths).join(hashes, "hash", "left_semi").join(items, "hash").drop("hash")
     # words of the document beside those of the item, as far as both go
     first = F.greatest(F.col("skip") - F.col("item_at"), F.lit(0))
     last = F.least(F.size("around"), F.size("item") - F.col("item_at") + F.col("skip")) - 1
@@ -141,12 +169,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         stop = F.array_position(F.transform(side, lambda x: x["same"]), F.lit(False))
         return F.when(stop == 0, F.size(side)).otherwise(stop - 1).cast("int")
 
-    runs = pairs.withColumn("before", reach(left)).withColumn("after", reach(right)).filter(F.col("before") + F.col("after") >= RUN)
+    runs = pairs.withColumn("need", F.least(F.lit(RUN), F.size("item"))).withColumn("before", reach(left)).withColumn("after", reach(right)).filter(F.col("before") + F.col("after") >= F.col("need"))
     run = F.slice("pairs", F.col("skip") - F.col("first") - F.col("before") + 1, F.col("before") + F.col("after"))
-    runs = runs.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("offset"), run.alias("run"))
+    runs = runs.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("offset"), "need", run.alias("run"))
     # an item's words bound each group
-    whole = runs.groupBy("doc_id", "text_hash", "item_id", "offset").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("run")))).alias("run"))
-    whole = whole.withColumn("evidence", evidence(F.col("run")))
+    whole = runs.groupBy("doc_id", "text_hash", "item_id", "offset", "need").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("run")))).alias("run"))
+    whole = whole.withColumn("evidence", evidence(F.col("run"), F.col("need")))
     kept = F.filter("run", lambda x, i: F.exists("evidence", lambda e: (e["first"] <= i) & (i <= e["last"])))
     whole = whole.withColumn("run", kept).filter(F.size("run") > 0)
     n_slots, changed = F.size(F.filter("run", lambda x: x["slot"])), F.size(F.filter("run", lambda x: ~x["equal"]))
@@ -186,11 +214,11 @@ def consistent_parts(run: Column, span: Column) -> Column:
     return let(slots, parts)
 
 
-def evidence(run: Column) -> Column:
-    """The spans of a run that show a copy, by their first and last places in it."""
+def evidence(run: Column, need: Column) -> Column:
+    """The spans of a run that show a copy, by their first and last places in it.  ``need`` is ``RUN``, or the length of a shorter item."""
 
     def long(spans: Column) -> Column:
-        return F.filter(spans, lambda e: e["last"] - e["first"] + 1 >= RUN)
+        return F.filter(spans, lambda e: e["last"] - e["first"] + 1 >= need)
 
     def words(e: Column) -> Column:
         return F.slice(run, e["first"] + 1, e["last"] - e["first"] + 1)
@@ -206,19 +234,19 @@ def evidence(run: Column) -> Column:
     surer = long(stretches(run, lambda x: x["equal"] | x["surely"]))
     parts = F.flatten(F.transform(spans, lambda e: consistent_parts(run, e)))
     whole = F.filter(F.concat(spans, surer), lambda e: half(e) & (F.size(consistent_parts(run, e)) == 1))
-    return F.concat(equal, whole, F.filter(parts, lambda e: half(e) & (n_equal(e) > RUN)))
+    return F.concat(equal, whole, F.filter(parts, lambda e: half(e) & (n_equal(e) > need)))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, short: bool = False) -> DataFrame:
     """One row per contaminated document: its items' number, and its longest match."""
     best = F.max_by(F.struct("item_id", "matched_words", "n_slots", "n_changed"), F.struct("matched_words", -F.col("n_changed"), -F.col("item_id"), -F.col("offset")))
-    found = matches(docs, benchmark).groupBy("doc_id", "text_hash").agg(F.count_distinct("item_id").alias("n_items"), best.alias("best"))
+    found = matches(docs, benchmark, short).groupBy("doc_id", "text_hash").agg(F.count_distinct("item_id").alias("n_items"), best.alias("best"))
     return found.select("doc_id", "text_hash", "n_items", "best.*")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates.  The list of the others is written first, so that Spark
     knows its size, and sends it to the tasks only while it is small."""
-    bad = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")), "contaminated")
+    bad = written(contaminated(docs, benchmark, short=True).select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")), "contaminated")
     own = docs["doc_id"].eqNullSafe(bad["_doc_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == bad["_text_hash"])
     return docs.join(bad, own, "left_anti")

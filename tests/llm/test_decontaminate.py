@@ -103,3 +103,17 @@ def test_evidence_is_not_dropped_with_what_stands_beside_it(spark, documents):
     got = {r["doc_id"]: r for r in d.contaminated(documents(texts), bench(spark, *items)).collect()}
     assert set(got) == {0, 1, 2, 3, 4, 7}, got
     assert got[2]["n_changed"] == 0 and got[2]["matched_words"] == 20 and got[1]["n_changed"] == 2
+
+
+def test_short_items_match_whole(spark, documents, tmp_path):
+    question, chinese = "How many legs do 4 cats and Anna have in all?", "小明有三个苹果吃了一个还剩几个"
+    filler = "some quiet words that stand before and behind it. "
+    texts = [question, filler * 3 + question + filler, question.replace("4", "7").replace("Anna", "Linda"), chinese, filler + chinese + "。" + filler]
+    texts += [question.replace("legs", "arms"), question[:-8], filler, None, "", "rivers flow", "Rivers flow down", "rivers flew"]
+    docs, items = documents(texts), bench(spark, question, chinese, "Rivers flow", None, "", ITEM)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in entry_module.queries()["op1_decontaminate"](spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 10, 11}, got
+    assert got[1]["matched_words"] == 11 and got[2]["n_changed"] == 2 and got[3]["matched_words"] == 1
+    assert {r["doc_id"] for r in d.decontaminated(docs, items).collect()} == set(range(len(texts))) - set(got)
