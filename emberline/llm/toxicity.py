@@ -8,7 +8,8 @@ shorter than storing it counts with what it saved, and with what the ordinary di
 logistic curve over these lengths, fitted on other labelled documents than the dictionaries, gives the score.
 
 The model is fitted on a bounded sample: at most ``SAMPLE`` labelled documents of each class, those with
-the least hash of their id.  Everything is scored, each row by itself.  Null and empty texts save nothing
+the least hash of their id.  In the fit of the curve each class weighs as much as all its labelled documents
+that are not held out, so that the threshold does not move with the size of the input.  Everything is scored, each row by itself.  Null and empty texts save nothing
 and get the score of a document without toxic words; rows with equal texts get equal scores.  Without
 labels of both classes the curve has fixed weights.
 """
@@ -105,21 +106,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Weights and constant by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50, weigh: np.ndarray | None = None) -> np.ndarray:
+    """Weights and constant by Newton steps; ``weigh`` says how much each row counts."""
     x = np.column_stack([x, np.ones(len(x))])
+    weigh = np.ones(len(x)) if weigh is None else weigh
     w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x.T * (weigh * p * (1 - p))) @ x + penalty, x.T @ (weigh * (y - p)) - penalty @ w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(sample: list[tuple[object, str, int]]) -> Model:
-    """From (id, text, label) rows: a fifth of them calibrates, the others train the dictionaries."""
+def fit(sample: list[tuple[object, str, int]], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """From (id, text, label) rows: a fifth of them calibrates, the others train the dictionaries.
+
+    ``stands_for`` is how many labelled documents a sampled one stands for, by label.
+    """
     calibrates = [zlib.crc32(str(key).encode()) % 5 == 4 for key, _, _ in sample]
     units = Units()
     said = {label: [units(text) for (_, text, y), out in zip(sample, calibrates) if y == label and not out] for label in (0, 1)}
@@ -135,7 +140,8 @@ def fit(sample: list[tuple[object, str, int]]) -> Model:
     model = Model(held_toxic + b"".join(passed), trained(ordinary[:: len(ordinary) // 60_000 + 1], ORDINARY_BYTES, 2 * UNIT), np.array([2.0, 0.0, 0.0, 0.0, -4.0]))
     held = [(text, y) for (_, text, y), out in zip(sample, calibrates) if out]
     if {y for _, y in held} == {0, 1}:
-        model.weights = logistic(model.features([t for t, _ in held]), np.array([y for _, y in held]))
+        y = np.array([y for _, y in held])
+        model.weights = logistic(model.features([t for t, _ in held]), y, weigh=np.array(stands_for)[y])
     return model
 
 
@@ -147,9 +153,11 @@ def fit_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     """Fit on labelled documents that are not held out.  Their ids are at most twice ``sample``, which bounds the broadcast."""
     known = labels.filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
-    ids = [known.filter(F.col("toxic") == y).dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(sample) for y in (0, 1)]
+    each = known.dropDuplicates(["doc_id", "toxic"])
+    ids = [each.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(sample) for y in (0, 1)]
+    counts = {r["toxic"]: r["count"] for r in each.filter(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").collect()
-    return fit(sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows))
+    return fit(sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows), tuple(max(counts.get(y, 0) / sample, 1.0) for y in (0, 1)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -31,3 +31,19 @@ def test_awkward_rows(spark, documents):
     for some in (labels.filter("false"), labels.filter("toxic = 0"), labels.filter("toxic = 1")):
         assert t.score(docs, t.fit_labels(docs, some)).count() == n + 100
     assert t.score(docs.filter("false"), model).count() == 0
+
+
+def test_decisions_do_not_move_with_the_sample(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    texts = [r["text"] for r in docs.collect()]
+    whole, *parts = (int((t.fit_labels(docs, labels, sample).scores(texts) >= 0.5).sum()) for sample in (t.SAMPLE, 1000, 600))
+    print(whole, parts)
+    assert all(abs(part - whole) <= 0.05 * whole for part in parts)
+
+
+def test_weights_of_rows_are_repetitions():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(90, 2)), rng.integers(0, 2, 90)
+    n = np.where(y == 0, 7, 1)
+    assert np.allclose(t.logistic(x, y, weigh=n.astype(float)), t.logistic(np.repeat(x, n, 0), np.repeat(y, n)))
