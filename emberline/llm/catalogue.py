@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import cotrain, decontaminate, imatch, mixing, placement, records, roles, sigtree, toxicity, wordpiece
+from emberline.llm import collocations, cotrain, decontaminate, imatch, mixing, normsearch, piecebpe, placement, records, roles, sigtree, toxicity, wordpiece
 from emberline.llm.common import table
 from emberline.session import apply_settings
 
@@ -63,6 +63,21 @@ def op10_roles(spark: SparkSession, folder: str) -> DataFrame:
     return roles.repaired(table(spark, folder, "conversations"))
 
 
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Encode all documents and decode them again."""
+    import public_tokenizers
+
+    return piecebpe.digests(table(spark, folder, "documents"), piecebpe.read_model(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op12_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return normsearch.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_records": op2_records,
@@ -74,8 +89,11 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_mixture": op9_mixture,
     "op10_roles": op10_roles,
+    "op11_pieces": op11_pieces,
+    "op12_ranked": op12_ranked,
+    "op13_collocations": op13_collocations,
 }
-ORACLES = {"op6_placement": placement.OP6_SQL, "op9_mixture": mixing.OP9_SQL}
+ORACLES = {"op6_placement": placement.OP6_SQL, "op9_mixture": mixing.OP9_SQL, "op12_ranked": normsearch.OP12_SQL, "op13_collocations": collocations.OP13_SQL}
 
 
 def _prepared(query: Query) -> Query:
