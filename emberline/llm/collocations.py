@@ -37,7 +37,7 @@ TOP = 2000
 SHARE = 50  # a phrase falls away if a longer one holds it in so many of a hundred of its occurrences
 SCALE = 1_000_000
 STEPS = (2, 16)  # ranks, in multiples of the number wanted, at which thresholds begin and go on; then there is none
-BITS = 1 << 24  # of each of the frontier's three sets
+BITS = 1 << 24  # of each of the frontier's three sets; a multiple of 64
 CHUNK = 3_000_000  # words a task sums at a time
 PARTS = 32  # in which a language is ranked first
 # Pieces end at a full stop and what else is mapped to it; words end at blanks and tabs.  A-Z become small.
@@ -63,7 +63,7 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(TABLE).replace(STOP, b" . ").split() + [STOP]
 
 
-def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+def chunks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
     """Language, its words and the text as numbers of words, in parts of bounded size; a part ends with a row."""
     held: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
     size = 0
@@ -73,7 +73,7 @@ def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[bytes],
             words = words_of(text)
             rows.append(np.fromiter(map(numbers.__getitem__, words), "i8", len(words)))
             size += len(words)
-            if size > CHUNK:
+            if size > most:
                 for name, (numbers, rows) in held.items():
                     yield name, numbers.words, np.concatenate(rows)
                 held, size = {}, 0
@@ -96,11 +96,11 @@ def _spelt(pairs: np.ndarray, words: list[bytes]) -> list[bytes]:
     return [words[i] + b" " + words[j] for i, j in zip(first.tolist(), second.tolist())]
 
 
-def counted(docs: DataFrame, least: int) -> DataFrame:
+def counted(docs: DataFrame, least: int, chunk: int = CHUNK) -> DataFrame:
     """lang, size (words), phrase and a, its occurrences: words and pairs of at least ``least``, and size 0 for all words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for lang, words, text in chunks(batches):
+        for lang, words, text in chunks(batches, chunk):
             if not words:
                 continue
             single = np.bincount(text[text >= 0], minlength=len(words))
@@ -164,44 +164,44 @@ def thresholds(pairs: DataFrame, rank: int | None) -> DataFrame:
     return steps.withColumn("above", above).groupBy("lang").agg(F.coalesce(reached, F.lit(0)).alias("tau"))
 
 
-def _bit(lang: str, phrases: list[bytes]) -> np.ndarray:
+def _bit(lang: str, phrases: list[bytes], bits: int) -> np.ndarray:
     import xxhash
 
     seed = xxhash.xxh3_64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh3_64_intdigest(p, seed) % BITS for p in phrases), "i8", len(phrases))
+    return np.fromiter((xxhash.xxh3_64_intdigest(p, seed) % bits for p in phrases), "i8", len(phrases))
 
 
-def frontier(live: DataFrame) -> np.ndarray:
-    """Three sets of pairs as bits, for the columns wanted, grows and closes: BITS each, whatever the number of pairs."""
+def frontier(live: DataFrame, bits: int = BITS) -> np.ndarray:
+    """Three sets of pairs, for the columns wanted, grows and closes: ``bits`` bits each, whatever the number of pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, some in batch.groupby("lang"):
-                bit = _bit(lang, [p.encode() for p in some["phrase"]])
+                bit = _bit(lang, [p.encode() for p in some["phrase"]], bits)
                 for kind, name in enumerate(("wanted", "grows", "closes")):
-                    own = bit[some[name].to_numpy(bool)] + kind * BITS
+                    own = bit[some[name].to_numpy(bool)] + kind * bits
                     yield pd.DataFrame({"place": own // 64, "bit": own % 64})
 
     rows = live.select("lang", "phrase", "wanted", "grows", "closes").mapInPandas(run, "place long, bit int")
     words = rows.groupBy("place").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("word")).toPandas()
-    out = np.zeros(3 * BITS // 64, "<i8")
+    out = np.zeros(3 * bits // 64, "<i8")
     out[words["place"].to_numpy("i8")] = words["word"].to_numpy("i8")
-    return np.unpackbits(out.view("u1"), bitorder="little").reshape(3, BITS)
+    return out.view("u1").reshape(3, -1)
 
 
-def triples_of(docs: DataFrame, sets: np.ndarray, least: int) -> DataFrame:
+def triples_of(docs: DataFrame, sets: np.ndarray, least: int, chunk: int = CHUNK) -> DataFrame:
     """Phrases of three words of the frontier with their occurrences: those that hold a wanted pair, or grow from one pair and close with another."""
-    packed = np.packbits(sets, axis=1)
+    bits = sets.shape[1] * 8
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for lang, words, text in chunks(batches):
+        for lang, words, text in chunks(batches, chunk):
             at, key = _pairs(text, words)
             if len(at) < 2:
                 continue
             pairs, which = np.unique(key, return_inverse=True)
             spelt = _spelt(pairs, words)
-            bit = _bit(lang, spelt)
-            wanted, grows, closes = (((packed[kind][bit >> 3] >> (7 - (bit & 7))) & 1).astype(bool) for kind in range(3))
+            bit = _bit(lang, spelt, bits)
+            wanted, grows, closes = (((sets[kind][bit >> 3] >> (bit & 7)) & 1).astype(bool) for kind in range(3))
             first, second = which[:-1], which[1:]
             live = (np.diff(at) == 1) & (wanted[first] | wanted[second] | grows[first] & closes[second])
             found, counts = np.unique(first[live] * len(words) + text[at[:-1][live] + 2], return_counts=True)
@@ -233,9 +233,9 @@ def _ranked(rows: DataFrame, top: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
 
 
-def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, share: int = SHARE, steps: tuple[int, ...] = STEPS) -> DataFrame:
+def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, share: int = SHARE, steps: tuple[int, ...] = STEPS, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's first phrases."""
-    counts = written(counted(docs, least), "counts", "size")
+    counts = written(counted(docs, least, chunk), "counts", "size")
     open_ = written(scored_pairs(counts), "pairs")
     settled: list[DataFrame] = []
     for rank in [*(top * step for step in steps), None]:
@@ -243,7 +243,7 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, share: int = SHARE
         over = lambda name: F.col(name) >= F.col("tau")
         with_tau = open_.join(reach, "lang")
         live = with_tau.filter(over("begins") | over("ends")).select("lang", "phrase", over("score").alias("wanted"), over("begins").alias("grows"), over("ends").alias("closes"))
-        triples = written(triples_of(docs, frontier(live), least), "triples")
+        triples = written(triples_of(docs, frontier(live, bits), least, chunk), "triples")
         scored = written(scored_triples(triples, counts), "scored")
         rows = surviving(with_tau.filter(over("score")).drop("tau"), scored, share).join(reach, "lang").filter(over("score"))
         rows = written(rows, "survivors")
@@ -264,7 +264,8 @@ WITH texts AS (
   SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?
--]')) AS piece FROM texts),
+-
+]')) AS piece FROM texts),
 lists AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS words FROM pieces),
 grams AS (
   SELECT lang, 1 AS size, unnest(words) AS phrase FROM lists

@@ -86,7 +86,8 @@ def counted(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
                 sizes.append(len(words))
                 terms.append(own.astype("i4"))
                 counts.append(tf.astype("i8"))
-            yield pd.DataFrame({"doc_id": ids, "n": sizes, "terms": terms, "tf": counts})
+            if ids:
+                yield pd.DataFrame({"doc_id": ids, "n": sizes, "terms": terms, "tf": counts})
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), text_of().alias("text"))
     return texts.mapInPandas(run, COUNTED)

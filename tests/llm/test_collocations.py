@@ -55,18 +55,16 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], "lang string, text string, phrase string, size long")
 
 
-@pytest.mark.parametrize("seed,top,steps,chunk", [(1, 10, (2,), 3_000_000), (2, 10, (), 200), (3, 2000, (2, 16), 3_000_000), (4, 3, (1, 2, 5), 50), (5, 25, (1,), 1000)])
-def test_equals_counting_everything(spark, monkeypatch, seed, top, steps, chunk):
-    monkeypatch.setattr(c, "CHUNK", chunk)
+@pytest.mark.parametrize("seed,top,steps,chunk", [(1, 10, (2,), 200), (3, 2000, (2, 16), 3_000_000), (4, 3, (1, 5), 50)])
+def test_equals_counting_everything(spark, seed, top, steps, chunk):
     rows = texts(seed, 400, 25)
-    got = c.mine(frame(spark, rows), top=top, least=4, steps=steps).collect()
+    got = c.mine(frame(spark, rows), top=top, least=4, steps=steps, chunk=chunk).collect()
     assert sorted(map(tuple, got)) == sorted(by_hand(rows, top, 4, c.SHARE))
 
 
-def test_a_crowded_frontier_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(c, "BITS", 64)
+def test_a_crowded_frontier_changes_nothing(spark):
     rows = texts(6, 200, 20)
-    assert sorted(map(tuple, c.mine(frame(spark, rows), top=8, least=3).collect())) == sorted(by_hand(rows, 8, 3, c.SHARE))
+    assert sorted(map(tuple, c.mine(frame(spark, rows), top=8, least=3, bits=64).collect())) == sorted(by_hand(rows, 8, 3, c.SHARE))
 
 
 def test_scores_beyond_64_bits(spark):
