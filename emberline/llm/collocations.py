@@ -38,7 +38,7 @@ SHARE = 50  # a phrase falls away if a longer one holds it in so many of a hundr
 SCALE = 1_000_000
 STEPS = (2, 16)  # ranks, in multiples of the number wanted, at which thresholds begin and go on; then there is none
 BITS = 1 << 24  # of each of the frontier's three sets; a multiple of 64
-CHUNK = 3_000_000  # words a task sums at a time
+CHUNK = 1_500_000  # words a task sums at a time
 PARTS = 32  # in which a language is ranked first
 # Pieces end at a full stop and what else is mapped to it; words end at blanks and tabs.  A-Z become small.
 STOP = b"."
