@@ -14,6 +14,7 @@ EMPTY_REPLY = "（空响应或被中断）"
 DOMAIN_HINT = "焦化 炼焦 焦炭 煤焦油 配煤 高炉 焦炉 干熄焦 煤化工"
 CONTEXT_MESSAGES, CONTEXT_CHARS, CONTEXT_TURNS, HISTORY_MESSAGES = 8, 200, 6, 40
 LAST_PLACE = 10**9
+IDLE_US, SPAN_SLICE_US = 5_000_000, 60_000_000
 
 
 def session_list(sessions: DataFrame, turns: DataFrame) -> DataFrame:
@@ -84,6 +85,14 @@ def sentence_rows(messages: DataFrame) -> DataFrame:
     return rows.select("session_id", "turn", (F.col("_before") + F.col("_at") + 1).alias("sentence_id"), "sentence")
 
 
+def segment_place(seg_id: Column) -> tuple[Column, Column, Column]:
+    """Where a segment stands: numbers in their order, then those too long for a place by length and digits, then all other ids."""
+    digits = F.when(seg_id.rlike(r"^\d+$"), F.ltrim(seg_id, F.lit("0")))
+    place = F.when(F.length(digits) <= 9, F.coalesce(F.nullif(digits, F.lit("")).try_cast("long"), F.lit(0))).otherwise(F.lit(LAST_PLACE))
+    far = place == LAST_PLACE
+    return place, F.when(far, F.coalesce(F.length(digits), F.lit(1 << 30))).otherwise(0), F.when(far, F.coalesce(digits, F.lit(""))).otherwise("")
+
+
 def assemble_transcripts(segments: DataFrame) -> DataFrame:
     """Latest text per segment, segments in numeric order with others last, joined per session.
 
@@ -92,15 +101,38 @@ def assemble_transcripts(segments: DataFrame) -> DataFrame:
     latest = segments.where("text <> ''").groupBy("session_id", "seg_id").agg(
         F.max_by("text", "arrival").alias("text"), F.min("arrival").alias("first_arrival")
     )
-    # numbers of any length: those too long for a place come after the others, by length and then by digits
-    digits = F.when(F.col("seg_id").rlike(r"^\d+$"), F.ltrim(F.col("seg_id"), F.lit("0")))
-    place = F.when(F.length(digits) <= 9, F.coalesce(F.nullif(digits, F.lit("")).try_cast("long"), F.lit(0))).otherwise(F.lit(LAST_PLACE))
-    placed = latest.withColumns({"place": place, "_length": F.when(place == LAST_PLACE, F.coalesce(F.length(digits), F.lit(1 << 30))).otherwise(0)})
-    placed = placed.withColumn("_digits", F.when(place == LAST_PLACE, F.coalesce(digits, F.lit(""))).otherwise("")).withColumn("slice", F.expr(f"place div {SLICE_ROWS}"))
+    place, length, digits = segment_place(F.col("seg_id"))
+    placed = latest.withColumns({"place": place, "_length": length, "_digits": digits}).withColumn("slice", F.expr(f"place div {SLICE_ROWS}"))
     joined = ordered_concat(placed, ["session_id"], "slice", ["place", "_length", "_digits", "first_arrival"], "text", "transcript")
     return joined.withColumn("transcript", strip(F.col("transcript")))
 
 
+def joined_segments(pieces: Column, *arrival: str) -> Column:
+    """The texts of an array of segments, in the order of ``assemble_transcripts``; ``arrival`` names the fields of the first arrival."""
+
+    def placed(piece: Column) -> Column:
+        place, length, digits = segment_place(piece["seg_id"])
+        return F.struct(place.alias("p"), length.alias("l"), digits.alias("d"), *[piece[a].alias(a) for a in arrival], piece["text"].alias("text"))
+
+    return strip(F.array_join(F.transform(F.array_sort(F.transform(pieces, placed)), lambda x: x["text"]), ""))
+
+
+def idle_transcripts(segments: DataFrame, idle_us: int = IDLE_US) -> DataFrame:
+    """Transcripts of spans of a session that end with a pause: (session, start_us, end_us, transcript).
+
+    ``segments`` is (session, seg_id, t_us, frame_id, text); every row prolongs a span, also one without text.
+    """
+    order = ["t_us", "frame_id"]
+    rows = segments.withColumn("_slice", F.expr(f"t_us div {SPAN_SLICE_US}"))
+    seen = carry(rows, ["session"], "_slice", order, {"_before": ("prev", F.col("t_us"))})
+    fresh = F.when(F.col("_before").isNull() | (F.col("t_us") - F.col("_before") >= idle_us), F.struct(*order))
+    marked = carry(seen.withColumn("_fresh", fresh), ["session"], "_slice", order, {"_span": ("last", F.col("_fresh"))})
+    named = marked.withColumn("session_id", F.struct("session", "_span")).withColumn("arrival", F.struct(*order))
+    spans = named.groupBy("session_id").agg(F.min("t_us").alias("start_us"), (F.max("t_us") + idle_us).alias("end_us"))
+    texts = assemble_transcripts(named.select("session_id", "seg_id", "arrival", "text"))
+    return spans.join(texts, "session_id", "left").select("session_id.session", "start_us", "end_us", F.coalesce("transcript", F.lit("")).alias("transcript"))
+
+
 def reply_text(reply: Column) -> Column:
     """A reply as it is logged: stripped, or a placeholder."""
     return F.coalesce(F.nullif(strip(reply), F.lit("")), F.lit(EMPTY_REPLY))

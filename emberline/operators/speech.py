@@ -116,11 +116,13 @@ def _with_next_start(rows: DataFrame) -> DataFrame:
 def stable_triggers(frames: DataFrame, stable_us: int = STABLE_US, min_chars: int = STABLE_CHARS) -> DataFrame:
     """One trigger per run that stayed the same long enough, at the moment it had done so.
 
-    A run lasts until the next one starts; the last run until its last sight.
+    Texts are compared without white space around them, and blank ones are skipped.  A run lasts until the
+    next one starts; the last run until its last sight.
     """
     until = F.coalesce("next_us", "last_us")
-    return runs(frames).where((F.length(F.trim("text")) >= min_chars) & (until - F.col("t_us") >= stable_us)).select(
-        "session", F.col("t_us").alias("start_us"), (F.col("t_us") + stable_us).alias("trigger_us"), F.trim("text").alias("text")
+    told = frames.withColumn("text", F.trim("text")).where("text <> ''")
+    return runs(told).where((F.length(F.trim("text")) >= min_chars) & (until - F.col("t_us") >= stable_us)).select(
+        "session", F.col("t_us").alias("start_us"), (F.col("t_us") + stable_us).alias("trigger_us"), "text"
     )
 
 
@@ -195,23 +197,44 @@ def preroll(frames: DataFrame, starts: DataFrame, back: int = PREROLL_FRAMES) ->
     return wanted.where("pos >= 0").join(placed, ["session", "pos"])
 
 
-def throttled(frames: DataFrame, every_ms: int = EMIT_EVERY_MS, slice_us: int = SLICE_US) -> DataFrame:
+def throttled(frames: DataFrame, every_ms: int = EMIT_EVERY_MS, slice_us: int = SLICE_US, by: tuple[str, ...] = ("session",)) -> DataFrame:
     """Rows that a throttle lets through: the first one, then each first row at least the interval later.
 
     Which rows pass depends on where the chain enters a slice, so the work has three steps.  Every
     slice finds, for each row at which the chain could enter, where it would leave; the entries of a
-    session's slices are chained, one row per slice and possible entry; every slice then walks once
+    chain's slices are followed, one row per slice and possible entry; every slice then walks once
     from its real entry.  An entry lies within one interval of the slice start, or is the first row.
+    Chains are those of the whole-number columns ``by``.
     """
     step_us = max(EMIT_FLOOR_MS, every_ms) * 1000
-    keys = ["session", "slice"]
+    keys = [*by, "slice"]
+    names = ", ".join(f"{key} bigint" for key in keys)
     rows = sliced(frames, slice_us)
     times = rows.select(*keys, "t_us").repartition(*keys).sortWithinPartitions(*keys, "t_us")
-    exits = times.mapInPandas(_slice_exits(step_us, slice_us), "session bigint, slice bigint, entry_us bigint, ready_us bigint")
-    ordered = exits.repartition("session").sortWithinPartitions("session", "slice", "entry_us")
-    entries = ordered.mapInPandas(_chain_entries, "session bigint, slice bigint, ready_us bigint")
+    exits = times.mapInPandas(_slice_exits(step_us, slice_us, keys), f"{names}, entry_us bigint, ready_us bigint")
+    ordered = exits.repartition(*by).sortWithinPartitions(*keys, "entry_us")
+    entries = ordered.mapInPandas(_chain_entries(keys), f"{names}, ready_us bigint")
     placed = rows.join(entries, keys).repartition(*keys).sortWithinPartitions(*keys, *ORDER)
-    return placed.mapInPandas(_walk(step_us), rows.schema).drop("slice")
+    return placed.mapInPandas(_walk(step_us, keys), rows.schema).drop("slice")
+
+
+def speech_partials(
+    frames: DataFrame, every_ms: int = EMIT_EVERY_MS, after_ms: int = EMIT_AFTER_MS, frame_ms: int = FRAME_MS, slice_us: int = SLICE_US, **detector
+) -> DataFrame:
+    """Frames at which a partial result is due, with the segment's ``open_pos``: the whole throttle.
+
+    Only frames of a speech segment count, from the one on that completes ``after_ms`` of speech, and not the
+    one that closes the segment; each segment has an interval of its own.  Segments are marked at the
+    positions where they open and close, by equality, and carried along the session slice by slice.
+    """
+    placed = positions(sliced(frames), ["session"], "slice", ORDER)
+    segments = energy_segments(frames, **detector)
+    marks = segments.select("session", F.explode(F.array("open_pos", "close_pos")).alias("pos"), "open_pos").where("pos IS NOT NULL")
+    # a segment can open where no other closes, as a closing frame is quiet
+    marked = placed.join(marks.withColumnRenamed("open_pos", "_mark"), ["session", "pos"], "left")
+    inside = carry(marked, ["session"], "slice", ORDER, {"open_pos": ("last", F.col("_mark")), "_at": ("last", F.when(F.col("_mark").isNotNull(), F.col("pos")))})
+    due = (F.col("_at") == F.col("open_pos")) & ((F.col("pos") - F.col("open_pos") + 1) * frame_ms >= after_ms)
+    return throttled(inside.where(due).drop("_mark", "_at", "slice"), every_ms, slice_us, ("session", "open_pos"))
 
 
 def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -230,11 +253,11 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tu
         yield tuple(rest[keys].to_numpy()[0]), rest
 
 
-def _slice_exits(step_us: int, slice_us: int):
+def _slice_exits(step_us: int, slice_us: int, keys: list[str]):
     """For every time at which the chain could enter a slice, from when it may emit after the slice."""
 
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (session, slice_no), frames in _runs(batches, ["session", "slice"]):
+        for key, frames in _runs(batches, keys):
             t = np.unique(frames["t_us"].to_numpy())
             following = np.searchsorted(t, t + step_us)
             ready = np.empty(len(t), dtype=np.int64)
@@ -242,35 +265,39 @@ def _slice_exits(step_us: int, slice_us: int):
                 ready[i] = ready[following[i]] if following[i] < len(t) else t[i] + step_us
             # the chain enters before one interval is over, or at the first row after that; of entries
             # that leave alike only the last is needed
-            many = min(np.searchsorted(t, slice_no * slice_us + step_us) + 1, len(t))
+            many = min(np.searchsorted(t, key[-1] * slice_us + step_us) + 1, len(t))
             t, ready = t[:many], ready[:many]
             needed = np.append(ready[1:] != ready[:-1], True)
-            yield pd.DataFrame({"session": session, "slice": slice_no, "entry_us": t[needed], "ready_us": ready[needed]})
+            yield pd.DataFrame({**dict(zip(keys, key)), "entry_us": t[needed], "ready_us": ready[needed]})
 
     return exits
 
 
-def _chain_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chain_entries(keys: list[str]):
     """The time from which each slice may emit, following the chain slice by slice.
 
-    Works through the sorted stream with one number per session; nothing is gathered.
+    Works through the sorted stream with one number per chain; nothing is gathered.
     """
-    current, ready = None, 0
-    for (session, slice_no), part in _runs(batches, ["session", "slice"]):
-        if session != current:
-            current, ready = session, -(2**62)
-        yield pd.DataFrame({"session": [session], "slice": [slice_no], "ready_us": [ready]})
-        times = part["entry_us"].to_numpy()
-        at = np.searchsorted(times, ready)
-        if at < len(times):
-            ready = int(part["ready_us"].to_numpy()[at])
-
-
-def _walk(step_us: int):
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, ready = None, 0
+        for key, part in _runs(batches, keys):
+            if key[:-1] != current:
+                current, ready = key[:-1], -(2**62)
+            yield pd.DataFrame([(*key, ready)], columns=[*keys, "ready_us"])
+            times = part["entry_us"].to_numpy()
+            at = np.searchsorted(times, ready)
+            if at < len(times):
+                ready = int(part["ready_us"].to_numpy()[at])
+
+    return follow
+
+
+def _walk(step_us: int, keys: list[str]):
     """Emit from the entry of each slice."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, frames in _runs(batches, ["session", "slice"]):
+        for _, frames in _runs(batches, keys):
             t = frames["t_us"].to_numpy()
             picked = []
             at = np.searchsorted(t, frames["ready_us"].iloc[0])
@@ -305,10 +332,6 @@ def barge_ins(outputs: DataFrame, speech: DataFrame, bucket_us: int = SLICE_US)
     return outputs.join(cut, ["session", "output_id"], "left")
 
 
-def state_changes(frames: DataFrame) -> DataFrame:
-    """Dialogue states per event, only where the state changes."""
-    state = (
-        F.when(F.col("text") == "click", "listening").when(F.col("text") == "view", "thinking")
-        .when(F.col("text").isin("purchase", "signup"), "speaking").otherwise("idle")
-    )
+def state_changes(frames: DataFrame, state: Column) -> DataFrame:
+    """The given state per event, only where it changes."""
     return changes(frames.withColumn("state", state), "state")

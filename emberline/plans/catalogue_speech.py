@@ -54,8 +54,14 @@ def text_changes(spark, d):
     return sp.changes(_frames(spark, d)).select("session", "frame_id", "t_us", "text")
 
 
+def dialogue_state():
+    """Dialogue states for the event names of the tables."""
+    said = F.col("text")
+    return F.when(said == "click", "listening").when(said == "view", "thinking").when(said.isin("purchase", "signup"), "speaking").otherwise("idle")
+
+
 def state_changes(spark, d):
-    return sp.state_changes(_frames(spark, d)).select("session", "frame_id", "state")
+    return sp.state_changes(_frames(spark, d), dialogue_state()).select("session", "frame_id", "state")
 
 
 def stable_partials(spark, d):
@@ -66,6 +72,14 @@ def throttled_frames(spark, d):
     return sp.throttled(_frames(spark, d).select("session", "frame_id", "t_us")).select("session", "frame_id", "t_us")
 
 
+#: Frames of the tables lie up to a second apart: a sensitive detector gives segments that are long enough for several partials.
+SENSITIVE = {"loud_above": 0.005, "loud_frames": 2, "quiet_frames": 4}
+
+
+def speech_partials(spark, d):
+    return sp.speech_partials(_frames(spark, d), after_ms=96, **SENSITIVE).select("session", "open_pos", "frame_id", "t_us")
+
+
 def trailing_window(spark, d):
     rows = sp.trailing(_frames(spark, d))
     return rows.select("session", "frame_id", "trailing_frames", F.round(F.col("trailing_rms") + 1e-9, 6).alias("trailing_rms"))
@@ -121,7 +135,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         frame_validity, frame_mismatch, second_diagnostics, profile_warnings, text_changes, state_changes, stable_partials,
-        throttled_frames, trailing_window, speech_segments, speech_segments_sensitive, preroll_frames, running_speech, speculation_check, barge_ins,
+        throttled_frames, speech_partials, trailing_window, speech_segments, speech_segments_sensitive, preroll_frames, running_speech, speculation_check, barge_ins,
         model_families,
     )
 }
@@ -180,6 +194,20 @@ thr AS (
   SELECT w.session, min(frame_id) AS frame_id, t_us FROM w JOIN f USING (session, t_us) GROUP BY w.session, t_us
 )"""
 
+SQL_PARTIALS = _machine("0.005", 2, 4) + """,
+due AS (
+  SELECT s.session, s.open_pos, p.frame_id, p.t_us FROM seg s JOIN pos p ON p.session = s.session
+  WHERE p.pos >= s.open_pos + 2 AND (s.close_pos IS NULL OR p.pos < s.close_pos)
+),
+part AS (
+  WITH RECURSIVE w AS (
+    SELECT session, open_pos, min(t_us) AS t_us FROM due GROUP BY session, open_pos
+    UNION ALL
+    SELECT w.session, w.open_pos, (SELECT min(d.t_us) FROM due d WHERE d.session = w.session AND d.open_pos = w.open_pos AND d.t_us >= w.t_us + 700000) FROM w WHERE w.t_us IS NOT NULL
+  )
+  SELECT w.session, w.open_pos, min(frame_id) AS frame_id, t_us FROM w JOIN due USING (session, open_pos, t_us) GROUP BY ALL
+)"""
+
 ORACLES = {
     "frame_validity": f"""WITH {SQL_FRAMES}, z AS (SELECT frame_id, floor(value * 10)::BIGINT AS bytes FROM f)
 SELECT frame_id, bytes, bytes = 1024 AS agent_ok, bytes >= 2 AND bytes % 2 = 0 AS duplex_ok, bytes < 2 OR bytes % 2 = 1 OR bytes < 320 OR bytes > 1300 AS simple_bad,
@@ -199,6 +227,7 @@ SELECT frame_id, warnings, warnings = '' AS ok FROM w""",
 SELECT session, frame_id, state FROM st QUALIFY lag(state) OVER (PARTITION BY session ORDER BY t_us, frame_id) IS DISTINCT FROM state""",
     "stable_partials": f"WITH {SQL_STABLE} SELECT session, start_us, trigger_us, text FROM stable",
     "throttled_frames": f"WITH {SQL_THROTTLE} SELECT session, frame_id, t_us FROM thr",
+    "speech_partials": f"WITH {SQL_PARTIALS} SELECT session, open_pos, frame_id, t_us FROM part",
     "trailing_window": f"""WITH {SQL_FRAMES}
 SELECT session, frame_id, count(*) OVER w AS trailing_frames, round(avg(rms) OVER w + 1e-9, 6) AS trailing_rms
 FROM f WINDOW w AS (PARTITION BY session ORDER BY t_us RANGE BETWEEN 10000000 PRECEDING AND CURRENT ROW)""",

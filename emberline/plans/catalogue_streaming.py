@@ -58,12 +58,12 @@ def stream_history(spark, d):
     return st.run_once(st.recent_texts(_messages(spark, d), 6), "history").select("session_id", "turn", "context")
 
 
+def stream_partials(spark, d):
+    return st.run_once(st.speech_partials(_frames(spark, d), after_ms=96, **cs.SENSITIVE), "partials")
+
+
 def stream_states(spark, d):
-    state = (
-        F.when(F.col("text") == "click", "listening").when(F.col("text") == "view", "thinking")
-        .when(F.col("text").isin("purchase", "signup"), "speaking").otherwise("idle")
-    )
-    rows = _frames(spark, d).withColumn("state", state)
+    rows = _frames(spark, d).withColumn("state", cs.dialogue_state())
     return st.run_once(st.changed_rows(rows, "state"), "states").select("session", "frame_id", "state")
 
 
@@ -83,7 +83,7 @@ def stream_turn_log(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_diagnostics, stream_idle_transcripts, stream_segments, stream_changes, stream_stable_texts, stream_throttle,
+        stream_diagnostics, stream_idle_transcripts, stream_segments, stream_changes, stream_stable_texts, stream_throttle, stream_partials,
         stream_clauses, stream_history, stream_states, stream_barge_ins, stream_turn_log,
     )
 }
@@ -108,6 +108,7 @@ rn AS (SELECT session, t_us, text, lead(t_us) OVER w AS next_us, max(t_us) OVER
 seen AS (SELECT session, max(t_us) AS last_us FROM f GROUP BY session)
 SELECT session, t_us AS start_us, t_us + 550000 AS trigger_us, text FROM rn JOIN seen USING (session)
 WHERE coalesce(next_us, last_us) - t_us >= 550000 OR (next_us IS NULL AND (t_us + 550000) // 1000 + 1 <= (SELECT max(t_us) - 10000000 FROM f) // 1000)""",
+    "stream_partials": f"WITH {cs.SQL_PARTIALS} SELECT session, open_pos, frame_id, t_us FROM part",
     "stream_throttle": cs.ORACLES["throttled_frames"],
     "stream_clauses": f"""WITH {SQL_TURNS},
 c AS (SELECT session_id, turn, string_split(regexp_replace(text, '([。！？.!?；;，,])', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM m WHERE role = 'assistant'),
@@ -123,8 +124,6 @@ WHERE regexp_replace(piece, '^\\s+|\\s+$', '', 'g') <> ''""",
     "stream_history": f"""WITH {SQL_TURNS}
 SELECT session_id, turn, coalesce(string_agg(trim(text), ' ') OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS context FROM m""",
     "stream_states": cs.ORACLES["state_changes"],
-    "stream_barge_ins": f"""WITH {cs.SQL_FRAMES}
-SELECT o.session, o.frame_id AS output_id, o.t_us AS start_us, o.t_us + o.k * 20000 AS end_us, s.t_us AS cut_us
-FROM f o JOIN f s ON s.session = o.session AND o.text = 'purchase' AND s.text = 'click' AND s.t_us >= o.t_us AND s.t_us < o.t_us + o.k * 20000""",
+    "stream_barge_ins": cs.ORACLES["barge_ins"],
     "stream_turn_log": """SELECT conv_id AS session_id, turn, role, trim(text) AS text FROM conversations""",
 }

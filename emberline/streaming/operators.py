@@ -1,24 +1,27 @@
 """Streams in, streams out; ``run_once`` drains a stream into a table for comparison with its twin.
 
-Event time is ``ts``; rows more than ``LATE`` behind the newest are dropped by the watermark.
+Event time is ``ts``, later than 1970; rows more than ``LATE`` behind the newest are dropped by the watermark.  Ordered
+operators give out a row once the watermark has passed it, whatever the order of arrival.  A stream that
+ends is told so by a mark in a file of its own, which every ordered operator reads beside its rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from emberline.operators.dialogue import reply_text
+from emberline.operators.dialogue import IDLE_US, joined_segments, reply_text
 from emberline.session import fresh_path
-from emberline.streaming.processors import Changes, ClauseAssembly, EnergySegments, RecentTexts, StableText, Throttle
+from emberline.streaming.processors import BargeIns, Changes, ClauseAssembly, EnergySegments, IdleTranscripts, RecentTexts, SpeechPartials, StableText, Throttle
 
 LATE = "10 seconds"
-IDLE = "5 seconds"
+TURN_US, TURNS_LATE = 60_000_000, "1 hour"  # messages without a time: a minute per turn, sixty turns late at most
+END_US = 9_000_000_000_000_000  # the time of the mark, beyond all others, in the year 2255 (pandas counts nanoseconds)
 
 
-def event_time(frames: DataFrame) -> DataFrame:
-    return frames.withColumn("ts", F.timestamp_micros("t_us")).withWatermark("ts", LATE)
+def event_time(frames: DataFrame, late: str = LATE) -> DataFrame:
+    return frames.withColumn("ts", F.timestamp_micros("t_us")).withWatermark("ts", late)
 
 
 def second_diagnostics(frames: DataFrame) -> DataFrame:
@@ -38,79 +41,96 @@ def second_diagnostics(frames: DataFrame) -> DataFrame:
     )
 
 
-def idle_transcripts(segments: DataFrame) -> DataFrame:
-    """Transcripts of sessions that end after five seconds without a result.
+def _keyed(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
-    ``segments`` is (session, seg_id, t_us, frame_id, text).  The latest text per segment is kept by
-    sorting inside the closed window, segments are joined in numeric order.
-    """
-    place = F.coalesce(F.col("seg_id").try_cast("long"), F.lit(10**9))
-    rows = event_time(segments).withColumn("place", place)
-    pieces = rows.groupBy("session", F.session_window("ts", IDLE)).agg(
-        F.collect_list(F.struct("place", "t_us", "frame_id", "text")).alias("got")
-    )
 
-    ordered = F.array_sort("got")
-    # sorted by segment and arrival, the latest text of a segment is the one before another segment
-    latest = F.filter(ordered, lambda x, i: ~F.get(ordered, i + 1)["place"].eqNullSafe(x["place"]))
-    return pieces.select(
-        "session", F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"),
-        F.trim(F.array_join(F.transform(latest, lambda x: x["text"]), "")).alias("transcript"),
-    )
+def _until_the_end(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, late: str) -> DataFrame:
+    """As ``_keyed``, with the mark of the end beside the rows; ``end_stream`` writes it."""
+    spark = rows.sparkSession
+    marks = fresh_path(spark, "end")
+    rows.sparkSession.createDataFrame([], rows.schema).write.parquet(marks)
+    both = rows.unionByName(spark.readStream.schema(rows.schema).parquet(marks))
+    out = _keyed(event_time(both, late), key, processor, schema).where(F.col(key).isNotNull())
+    out._end_marks = marks, rows.schema
+    return out
 
 
-def _keyed(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
-    return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode
-    )
+def end_stream(stream: DataFrame) -> bool:
+    """Tell a drained stream that nothing more will come; False if it does not wait for that."""
+    marks, schema = getattr(stream, "_end_marks", (None, None))
+    if marks is None:
+        return False
+    mark = [F.lit(END_US if field.name == "t_us" else None).cast(field.dataType).alias(field.name) for field in schema]
+    stream.sparkSession.range(1).select(*mark).write.mode("append").parquet(marks)
+    return True
 
 
-def changed_rows(frames: DataFrame, column: str = "text") -> DataFrame:
+def idle_transcripts(segments: DataFrame, idle_us: int = IDLE_US, late: str = LATE) -> DataFrame:
+    """Transcripts of sessions that end after five seconds without a result.
+
+    ``segments`` is (session, seg_id, t_us, frame_id, text).  Segments are put in order as in
+    ``dialogue.assemble_transcripts``; empty texts prolong a session and replace nothing.
+    """
+    rows = event_time(segments.select("session", "t_us", "frame_id", F.col("seg_id").cast("string").alias("seg_id"), "text"), late)
+    schema = "session bigint, start_us bigint, end_us bigint, pieces array<struct<seg_id: string, t_us: bigint, frame_id: bigint, text: string>>"
+    ended = _keyed(rows, "session", IdleTranscripts(idle_us), schema)
+    return ended.select("session", "start_us", "end_us", joined_segments(F.col("pieces"), "t_us", "frame_id").alias("transcript"))
+
+
+def changed_rows(frames: DataFrame, column: str = "text", late: str = LATE, forget_us: int | None = None) -> DataFrame:
     rows = frames.select("session", "frame_id", "t_us", column)
-    return _keyed(rows, "session", Changes(column), f"session bigint, frame_id bigint, t_us bigint, {column} string")
+    return _until_the_end(rows, "session", Changes(column, forget_us), f"session bigint, frame_id bigint, t_us bigint, {column} string", late)
 
 
-def throttled(frames: DataFrame) -> DataFrame:
+def throttled(frames: DataFrame, late: str = LATE, **settings) -> DataFrame:
     rows = frames.select("session", "frame_id", "t_us")
-    return _keyed(rows, "session", Throttle(), "session bigint, frame_id bigint, t_us bigint")
+    return _until_the_end(rows, "session", Throttle(**settings), "session bigint, frame_id bigint, t_us bigint", late)
+
+
+def speech_partials(frames: DataFrame, late: str = LATE, **settings) -> DataFrame:
+    rows = frames.select("session", "frame_id", "t_us", "rms")
+    return _until_the_end(rows, "session", SpeechPartials(**settings), "session bigint, open_pos bigint, frame_id bigint, t_us bigint", late)
 
 
-def energy_segments(frames: DataFrame, **settings) -> DataFrame:
+def energy_segments(frames: DataFrame, late: str = LATE, **settings) -> DataFrame:
     rows = frames.select("session", "frame_id", "t_us", "rms")
-    return _keyed(rows, "session", EnergySegments(**settings), "session bigint, open_pos bigint, event string, pos bigint")
+    return _until_the_end(rows, "session", EnergySegments(**settings), "session bigint, open_pos bigint, event string, pos bigint", late)
 
 
 def stable_texts(frames: DataFrame) -> DataFrame:
-    rows = event_time(frames.select("session", "frame_id", "t_us", "text"))
-    return _keyed(rows, "session", StableText(), "session bigint, start_us bigint, trigger_us bigint, text string", "EventTime")
+    """Texts are compared without white space around them; blank ones are skipped."""
+    rows = frames.select("session", "frame_id", "t_us", F.trim("text").alias("text")).where("text <> ''")
+    return _keyed(event_time(rows), "session", StableText(), "session bigint, start_us bigint, trigger_us bigint, text string")
 
 
-def clauses(deltas: DataFrame) -> DataFrame:
-    rows = deltas.select("session_id", "turn", "text", "is_last")
-    return _keyed(rows, "session_id", ClauseAssembly(), "session_id bigint, sentence_id bigint, clause string")
+def _turn_time(messages: DataFrame) -> Column:
+    return F.col("t_us") if "t_us" in messages.columns else (F.col("turn") + 1) * TURN_US
 
 
-def recent_texts(messages: DataFrame, size: int) -> DataFrame:
-    rows = messages.select("session_id", "turn", "text")
-    return _keyed(rows, "session_id", RecentTexts(size), "session_id bigint, turn bigint, text string, context string")
+def clauses(deltas: DataFrame, late: str = TURNS_LATE) -> DataFrame:
+    rows = deltas.select("session_id", _turn_time(deltas).alias("t_us"), "turn", "text", "is_last")
+    return _until_the_end(rows, "session_id", ClauseAssembly(), "session_id bigint, sentence_id bigint, clause string", late)
 
 
-def barge_ins(outputs: DataFrame, speech: DataFrame, longest: str = "2 seconds") -> DataFrame:
-    """Speech that falls into a running output: a stream-stream interval join.
+def recent_texts(messages: DataFrame, size: int, late: str = TURNS_LATE) -> DataFrame:
+    rows = messages.select("session_id", _turn_time(messages).alias("t_us"), "turn", "text")
+    return _until_the_end(rows, "session_id", RecentTexts(size), "session_id bigint, turn bigint, text string, context string", late)
 
-    Watermarks on both sides and the longest output bound the state.
+
+def barge_ins(outputs: DataFrame, speech: DataFrame, late: str = LATE) -> DataFrame:
+    """Every output with the first speech that falls into it, if any.
+
+    Both streams go by one watermark.  An output waits until it is cut or its own end has passed,
+    however long it is; one without an end ends where it starts.
     """
-    out = outputs.withColumn("out_ts", F.timestamp_micros("start_us")).withWatermark("out_ts", LATE)
-    said = speech.select(
-        F.col("session").alias("said_by"), F.col("t_us").alias("cut_us"), F.timestamp_micros("t_us").alias("said_ts")
-    ).withWatermark("said_ts", LATE)
-    inside = (
-        (F.col("session") == F.col("said_by"))
-        & (F.col("said_ts") >= F.col("out_ts"))
-        & (F.col("said_ts") < F.col("out_ts") + F.expr(f"INTERVAL {longest}"))
-        & (F.col("cut_us") < F.col("end_us"))
+    out = outputs.select(
+        "session", F.col("start_us").alias("t_us"), F.lit(True).alias("is_output"), F.col("output_id").cast("long").alias("output_id"),
+        F.coalesce("end_us", "start_us").alias("end_us"),
     )
-    return out.join(said, inside).select("session", "output_id", "start_us", "end_us", "cut_us")
+    said = speech.select("session", "t_us", F.lit(False).alias("is_output"), F.lit(0).cast("long").alias("output_id"), F.col("t_us").alias("end_us"))
+    schema = "session bigint, output_id bigint, start_us bigint, end_us bigint, cut_us bigint"
+    return _until_the_end(out.unionByName(said), "session", BargeIns(), schema, late)
 
 
 def turn_log(turns: DataFrame) -> DataFrame:
@@ -123,8 +143,13 @@ def start_sink(stream: DataFrame, path: str, checkpoint: str, **trigger):
 
 
 def run_once(stream: DataFrame, label: str) -> DataFrame:
-    """Process everything that is available into a table in the shared folder, and read that."""
+    """Process everything that is available into a table in the shared folder, and read that.
+
+    An ordered operator then learns that the stream has ended, and gives out what it still holds.
+    """
     spark: SparkSession = stream.sparkSession
     path, checkpoint = fresh_path(spark, label), fresh_path(spark, f"{label}-checkpoint")
     start_sink(stream, path, checkpoint, availableNow=True).awaitTermination()
+    if end_stream(stream):
+        start_sink(stream, path, checkpoint, availableNow=True).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

@@ -1,7 +1,8 @@
 """Keyed state for streams of frames and messages.
 
-Each processor keeps a small, fixed-size state per session.  The rows of one micro-batch are put in
-order first; state is read and written once per key and micro-batch.
+Rows arrive in any order within the watermark.  ``Ordered`` keeps them until the watermark has passed
+them and then hands them on in order, once each; what stays in the state of a key is the rows that can
+still be overtaken and a small summary of those that cannot.
 """
 
 from __future__ import annotations
@@ -9,111 +10,327 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberline.functions.text import CLAUSE_BREAK, CLAUSE_CHARS
-from emberline.operators.speech import EMIT_EVERY_MS, EMIT_FLOOR_MS, LOUD_ABOVE, LOUD_FRAMES, QUIET_FRAMES, STABLE_CHARS, STABLE_US
+from emberline.operators.speech import (
+    EMIT_AFTER_MS, EMIT_EVERY_MS, EMIT_FLOOR_MS, FRAME_MS, LOUD_ABOVE, LOUD_FRAMES, QUIET_FRAMES, STABLE_CHARS, STABLE_US,
+)
+
+NEVER = -(2**62)
 
 
 def _ordered(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(order, ignore_index=True)
 
 
-class _OneState(StatefulProcessor):
-    """A processor with one value state that has a default."""
+class Ordered(StatefulProcessor):
+    """Rows of a key in the order of ``order``, whose first column is the event time in microseconds.
+
+    A subclass names its columns (all of them, with types), its summary state and default, and turns the
+    rows that are released together into output in ``step``.  With ``forget_us`` the summary of a key
+    is dropped once the watermark is so far beyond its last row; its next row then is like a first one.
+    """
 
+    columns: dict[str, str]
     schema: str
     default: tuple
+    output: list[str]
     order = ["t_us", "frame_id"]
+    forget_us: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.waiting = handle.getListState("waiting", ", ".join(f"{name} {kind}" for name, kind in self.columns.items()))
         self.state = handle.getValueState("state", self.schema)
+        self.last = handle.getValueState("last", "t_us bigint")
 
     def load(self) -> tuple:
         return tuple(self.state.get()) if self.state.exists() else self.default
 
+    def step(self, key: tuple, rows: pd.DataFrame, watermark_us: int) -> pd.DataFrame | None:
+        """Output for rows in order, which may be none when a timer of the subclass has fired."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for batch in rows:
+            whole = {name: "Int64" for name, kind in self.columns.items() if kind == "bigint"}
+            kept = batch[list(self.columns)].astype(whole).astype(object)
+            self.waiting.appendList([tuple(row) for row in kept.where(kept.notna(), None).itertuples(index=False)])
+            least = int(batch[self.order[0]].min())
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        yield pd.DataFrame(columns=self.output)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        through = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=list(self.columns))
+        ready = rows[self.order[0]].astype("int64") <= through
+        later = rows[~ready]
+        if ready.any():
+            if len(later):
+                self.waiting.put([tuple(row) for row in later.itertuples(index=False)])
+                self.handle.registerTimer(int(later[self.order[0]].min()) // 1000 + 1)
+            else:
+                self.waiting.clear()
+        released = rows[ready].sort_values(self.order, ignore_index=True).astype({c: "int64" for c in self.order})
+        out = self.step(key, released, through)
+        if self.forget_us is not None:
+            self._forget(released, through)
+        yield pd.DataFrame(columns=self.output) if out is None else out
+
+    def _forget(self, released: pd.DataFrame, through: int) -> None:
+        if len(released):
+            last = int(released[self.order[0]].iloc[-1])
+            self.last.update((last,))
+        elif self.last.exists():
+            last = int(self.last.get()[0])
+        else:
+            return
+        if last + self.forget_us <= through:
+            self.state.clear()
+            self.last.clear()
+        else:
+            self.handle.registerTimer((last + self.forget_us) // 1000 + 1)
+
     def close(self) -> None:
         pass
 
 
-class Changes(_OneState):
+class Changes(Ordered):
     """Rows whose value differs from the one before."""
 
     schema, default = "seen boolean, value string", (False, None)
 
-    def __init__(self, column: str = "text"):
-        self.column = column
+    def __init__(self, column: str = "text", forget_us: int | None = None):
+        self.column, self.forget_us = column, forget_us
+        self.columns = {"session": "bigint", "frame_id": "bigint", "t_us": "bigint", column: "string"}
+        self.output = list(self.columns)
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = _ordered(rows, self.order)
+    def step(self, key, rows, watermark_us):
+        if not len(rows):
+            return None
         seen, last = self.load()
-        values = frame[self.column]
+        values = rows[self.column]
         before = values.shift(1)
         before.iloc[0] = last
         differs = (values != before) & ~(values.isna() & before.isna())
         if not seen:
             differs.iloc[0] = True
         self.state.update((True, values.iloc[-1]))
-        yield frame[differs]
+        return rows[differs]
 
 
-class Throttle(_OneState):
+def spaced(times: np.ndarray, ready: int, step_us: int) -> tuple[list[int], int]:
+    """Places of the first time from ``ready`` on, then of each first one a step later; and from when the next may come."""
+    picked = []
+    at = int(times.searchsorted(ready))
+    while at < len(times):
+        picked.append(at)
+        ready = int(times[at]) + step_us
+        at = int(times.searchsorted(ready))
+    return picked, ready
+
+
+class Throttle(Ordered):
     """The first row, then each first row at least the interval later."""
 
-    schema, default = "ready_us bigint", (-(2**62),)
+    columns = {"session": "bigint", "frame_id": "bigint", "t_us": "bigint"}
+    schema, default, output = "ready_us bigint", (NEVER,), ["session", "frame_id", "t_us"]
 
-    def __init__(self, every_ms: int = EMIT_EVERY_MS):
-        self.step_us = max(EMIT_FLOOR_MS, every_ms) * 1000
+    def __init__(self, every_ms: int = EMIT_EVERY_MS, forget_us: int | None = None):
+        self.step_us, self.forget_us = max(EMIT_FLOOR_MS, every_ms) * 1000, forget_us
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = _ordered(rows, self.order)
-        (ready,) = self.load()
-        times = frame["t_us"].to_numpy()
-        picked = []
-        at = times.searchsorted(ready)
-        while at < len(times):
-            picked.append(at)
-            ready = int(times[at]) + self.step_us
-            at = times.searchsorted(ready)
+    def step(self, key, rows, watermark_us):
+        if not len(rows):
+            return None
+        picked, ready = spaced(rows["t_us"].to_numpy(), self.load()[0], self.step_us)
         self.state.update((ready,))
-        yield frame.iloc[picked]
+        return rows.iloc[picked]
 
 
-class EnergySegments(_OneState):
-    """Speech segments by energy; emits a row at each opening and each closing."""
+def follow_segments(state: tuple[int, int, int, int], loud: np.ndarray, loud_frames: int, quiet_frames: int):
+    """Segments of one more stretch of frames.
 
-    schema = "pos bigint, speaking boolean, loud int, quiet int, open_pos bigint"
-    default = (0, False, 0, 0, -1)
-
-    def __init__(self, loud_above: float = LOUD_ABOVE, loud_frames: int = LOUD_FRAMES, quiet_frames: int = QUIET_FRAMES):
-        self.loud_above, self.loud_frames, self.quiet_frames = loud_above, loud_frames, quiet_frames
+    The state is the number of frames so far and, of the cluster that may go on, its last loud position, the
+    start of its last run of loud frames and where its segment opened; -1 where there is none.  A cluster
+    goes on while fewer than ``quiet_frames`` quiet frames lie between loud ones.  Returns the new state
+    and three arrays, one entry per segment that is open somewhere in the stretch: where it
+    opened, whether that was in this stretch, and where it closed (-1: not yet).
+    """
+    pos, last, run, opened = state
+    at = pos + np.flatnonzero(loud)
+    total = pos + len(loud)
+    before = np.r_[last, at[:-1]][: len(at)]
+    parted = (before < 0) | (at - before > quiet_frames)
+    broken = parted | (at - before > 1)
+    runs = np.maximum.accumulate(np.r_[run, np.where(broken, at, -1)])[1:]
+    cluster = np.cumsum(parted)
+    count = int(cluster[-1]) + 1 if len(at) else 1
+    opens, lasts = np.full(count, -1), np.full(count, -1)
+    full = at - runs + 1 == loud_frames
+    opens[cluster[full][::-1]] = at[full][::-1]  # of each cluster the first stays
+    lasts[0] = last
+    lasts[cluster] = at
+    old = opened >= 0
+    if old:
+        opens[0] = opened
+    over = (lasts >= 0) & (lasts + quiet_frames < total)
+    kept = opens >= 0
+    fresh = np.ones(count, bool)
+    fresh[0] = not old
+    closes = np.where(over, lasts + quiet_frames, -1)
+    goes_on = not over[-1] and lasts[-1] >= 0
+    new = (total, int(lasts[-1]), int(runs[-1]) if len(at) else run, int(opens[-1])) if goes_on else (total, -1, -1, -1)
+    return new, opens[kept], fresh[kept], closes[kept]
+
+
+class EnergySegments(Ordered):
+    """Speech segments by energy; a row at each opening and each closing."""
+
+    columns = {"session": "bigint", "frame_id": "bigint", "t_us": "bigint", "rms": "double"}
+    schema, default = "pos bigint, last_loud bigint, run_start bigint, open_pos bigint", (0, -1, -1, -1)
+    output = ["session", "open_pos", "event", "pos"]
+
+    def __init__(self, loud_above: float = LOUD_ABOVE, loud_frames: int = LOUD_FRAMES, quiet_frames: int = QUIET_FRAMES, forget_us: int | None = None):
+        self.loud_above, self.loud_frames, self.quiet_frames, self.forget_us = loud_above, loud_frames, quiet_frames, forget_us
+
+    def step(self, key, rows, watermark_us):
+        if not len(rows):
+            return None
+        loud = rows["rms"].astype("float64").to_numpy() > self.loud_above
+        state, opens, fresh, closes = follow_segments(self.load(), loud, self.loud_frames, self.quiet_frames)
+        self.state.update(state)
+        starts = pd.DataFrame({"open_pos": opens[fresh], "event": "speech_start", "pos": opens[fresh]})
+        ends = pd.DataFrame({"open_pos": opens[closes >= 0], "event": "speech_end", "pos": closes[closes >= 0]})
+        return pd.concat([starts, ends], ignore_index=True).assign(session=key[0])[self.output]
+
+
+class SpeechPartials(Ordered):
+    """Frames of a speech segment at which a partial result is due: after enough speech, then at intervals; each segment begins anew."""
+
+    columns = EnergySegments.columns
+    schema, default = EnergySegments.schema + ", ready_us bigint", (*EnergySegments.default, NEVER)
+    output = ["session", "open_pos", "frame_id", "t_us"]
+
+    def __init__(
+        self, every_ms: int = EMIT_EVERY_MS, after_ms: int = EMIT_AFTER_MS, loud_above: float = LOUD_ABOVE, loud_frames: int = LOUD_FRAMES,
+        quiet_frames: int = QUIET_FRAMES, frame_ms: int = FRAME_MS, forget_us: int | None = None,
+    ):
+        self.step_us, self.after = max(EMIT_FLOOR_MS, every_ms) * 1000, -(-max(0, after_ms) // frame_ms)
+        self.loud_above, self.loud_frames, self.quiet_frames, self.forget_us = loud_above, loud_frames, quiet_frames, forget_us
+
+    def step(self, key, rows, watermark_us):
+        if not len(rows):
+            return None
+        *machine, ready = self.load()
+        loud = rows["rms"].astype("float64").to_numpy() > self.loud_above
+        state, opens, fresh, closes = follow_segments(tuple(machine), loud, self.loud_frames, self.quiet_frames)
+        times, begin, parts = rows["t_us"].to_numpy(), machine[0], []
+        for opened, is_new, closed in zip(opens.tolist(), fresh.tolist(), closes.tolist()):
+            first = max(opened + max(0, self.after - 1) - begin, 0)
+            stop = closed - begin if closed >= 0 else len(rows)
+            picked, ready = spaced(times[first:stop], NEVER if is_new else ready, self.step_us)
+            parts.append(rows.iloc[[first + i for i in picked]].assign(open_pos=opened))
+        self.state.update((*state, ready))
+        return pd.concat(parts, ignore_index=True)[self.output] if parts else None
+
+
+class IdleTranscripts(Ordered):
+    """Sessions that end after a pause, each with the latest text of its segments.
+
+    The state of an open session is its span and, per segment, the first arrival and the latest text that is not empty.
+    """
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = _ordered(rows, self.order)
-        pos, speaking, loud, quiet, opened = self.load()
+    columns = {"session": "bigint", "t_us": "bigint", "frame_id": "bigint", "seg_id": "string", "text": "string"}
+    schema, default = "start_us bigint, last_us bigint", (None, None)
+    output = ["session", "start_us", "end_us", "pieces"]
+
+    def __init__(self, idle_us: int):
+        self.idle_us = idle_us
+
+    def init(self, handle):
+        super().init(handle)
+        # a missing segment id is a segment of its own
+        self.segments = handle.getMapState("segments", "named boolean, seg_id string", "t_us bigint, frame_id bigint, text string")
+
+    def _merge(self, rows: pd.DataFrame) -> None:
+        told = rows[rows["text"].notna() & (rows["text"] != "")]
+        for seg_id, some in told.groupby("seg_id", dropna=False, sort=False):
+            name = (not pd.isna(seg_id), "" if pd.isna(seg_id) else seg_id)
+            first = self.segments.getValue(name)[:2] if self.segments.containsKey(name) else (int(some["t_us"].iloc[0]), int(some["frame_id"].iloc[0]))
+            self.segments.updateValue(name, (*first, some["text"].iloc[-1]))
+
+    def _end(self, key: tuple, start: int, last: int) -> tuple:
+        pieces = [
+            {"seg_id": name[1] if name[0] else None, "t_us": value[0], "frame_id": value[1], "text": value[2]} for name, value in self.segments.iterator()
+        ]
+        self.segments.clear()
+        return (key[0], start, last + self.idle_us, pieces)
+
+    def step(self, key, rows, watermark_us):
+        start, last = self.load()
         out = []
-        for is_loud in (frame["rms"] > self.loud_above).to_numpy():
-            if is_loud:
-                loud, quiet = loud + 1, 0
-                if not speaking and loud >= self.loud_frames:
-                    speaking, opened = True, pos
-                    out.append((key[0], opened, "speech_start", pos))
-            elif speaking:
-                quiet += 1
-                if quiet >= self.quiet_frames:
-                    out.append((key[0], opened, "speech_end", pos))
-                    speaking, loud, quiet = False, 0, 0
-            else:
-                loud = 0
-            pos += 1
-        self.state.update((pos, speaking, loud, quiet, opened))
-        yield pd.DataFrame(out, columns=["session", "open_pos", "event", "pos"])
-
+        if len(rows):
+            times = rows["t_us"].to_numpy()
+            before = np.r_[times[0] if last is None else last, times[:-1]]
+            for number, some in rows.groupby(np.cumsum(times - before >= self.idle_us)):
+                if start is not None and int(some["t_us"].iloc[0]) - last >= self.idle_us:
+                    out.append(self._end(key, start, last))
+                    start = None
+                start = int(some["t_us"].iloc[0]) if start is None else start
+                last = int(some["t_us"].iloc[-1])
+                self._merge(some)
+        if start is not None and last + self.idle_us <= watermark_us:
+            out.append(self._end(key, start, last))
+            start = last = None
+        if start is None:
+            self.state.clear()
+        else:
+            self.state.update((start, last))
+            self.handle.registerTimer(-(-(last + self.idle_us) // 1000))
+        return pd.DataFrame(out, columns=self.output)
+
+
+class BargeIns(Ordered):
+    """Outputs with the first speech that falls into them, or none once their end has passed.
+
+    Rows are outputs (with an id and an end) and speech.  Only outputs that still run wait, each until
+    its own end; speech is needed no longer than it takes to be released.
+    """
 
-class StableText(_OneState):
-    """One trigger per run of equal text that lasted long enough.
+    columns = {"session": "bigint", "t_us": "bigint", "is_output": "boolean", "output_id": "bigint", "end_us": "bigint"}
+    schema, default, order = "runs array<struct<output_id: bigint, start_us: bigint, end_us: bigint>>", ([],), ["t_us"]
+    output = ["session", "output_id", "start_us", "end_us", "cut_us"]
+
+    def step(self, key, rows, watermark_us):
+        runs = pd.DataFrame([tuple(r) for r in self.load()[0]], columns=["output_id", "start_us", "end_us"])
+        new = rows[rows["is_output"].astype(bool)].rename(columns={"t_us": "start_us"})[list(runs.columns)]
+        runs = pd.concat([runs, new], ignore_index=True) if len(runs) else new.reset_index(drop=True)
+        if not len(runs):
+            return None
+        said = rows.loc[~rows["is_output"].astype(bool), "t_us"].to_numpy("int64")
+        starts, ends = runs["start_us"].to_numpy("int64"), runs["end_us"].to_numpy("int64")
+        at = said.searchsorted(starts)
+        first = np.r_[said, 2**62][at]
+        cut = first < ends
+        over = cut | (ends <= watermark_us)
+        stay = runs[~over]
+        if len(stay):
+            self.state.update(([tuple(map(int, row)) for row in stay.itertuples(index=False)],))
+            self.handle.registerTimer(-(-int(stay["end_us"].min()) // 1000))
+        else:
+            self.state.clear()
+        cuts = pd.Series(first, dtype="Int64").mask(~cut)
+        return runs.assign(session=key[0], cut_us=cuts)[over][self.output]
+
+
+class StableText(StatefulProcessor):
+    """One trigger per run of equal text that lasted long enough; texts are stripped and never blank.
 
     A later row shows that the run lasted; when none comes, a timer in event time does, as soon as
     the watermark has passed the moment.  A change cancels what is pending.
@@ -126,21 +343,25 @@ class StableText(_OneState):
     def __init__(self, stable_us: int = STABLE_US, min_chars: int = STABLE_CHARS):
         self.stable_us, self.min_chars = stable_us, min_chars
 
-    def _trigger(self, session, text, since):
-        return (session, since, since + self.stable_us, text.strip())
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.schema)
+
+    def load(self) -> tuple:
+        return tuple(self.state.get()) if self.state.exists() else self.default
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = _ordered(rows, self.order)
+        frame = _ordered(rows, ["t_us", "frame_id"])
         text, since, last, fired = self.load()
-        out = []
-        for value, at in zip(frame["text"], frame["t_us"]):
-            stable = text is not None and at - since >= self.stable_us and not fired and len(text.strip()) >= self.min_chars
-            if stable:
-                out.append(self._trigger(key[0], text, since))
-                fired = True
-            if value != text:
-                text, since, fired = value, int(at), False
-            last = int(at)
+        times, texts = frame["t_us"].to_numpy(), frame["text"].to_numpy()
+        # runs of equal text; the first may continue the one in the state
+        begins = np.flatnonzero(np.r_[texts[0] != text, texts[1:] != texts[:-1]])
+        starts, names, done = np.r_[since, times[begins]], [text, *texts[begins]], np.r_[fired, np.zeros(len(begins), bool)]
+        # the row that shows that a run lasted: the start of the next run, for the last run its last sight
+        until = np.r_[times[begins], times[-1]]
+        stable = (until - starts >= self.stable_us) & ~done & [name is not None and len(name) >= self.min_chars for name in names]
+        out = [(key[0], int(starts[i]), int(starts[i]) + self.stable_us, names[i]) for i in np.flatnonzero(stable)]
+        text, since, last, fired = names[-1], int(starts[-1]), int(times[-1]), bool(done[-1] or stable[-1])
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         if not fired:
@@ -151,62 +372,70 @@ class StableText(_OneState):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         text, since, last, fired = self.load()
         out = []
-        if text is not None and not fired and len(text.strip()) >= self.min_chars:
-            out.append(self._trigger(key[0], text, since))
+        if text is not None and not fired and len(text) >= self.min_chars:
+            out.append((key[0], since, since + self.stable_us, text))
             self.state.update((text, since, last, True))
         yield pd.DataFrame(out, columns=self.columns)
 
+    def close(self) -> None:
+        pass
 
-class ClauseAssembly(_OneState):
-    """Text deltas to clauses with running ids; the remainder is flushed with the last delta."""
-
-    schema, default = "buffer string, sentence_id bigint", ("", 0)
-    order = ["turn"]
-
-    def __init__(self, min_len: int = CLAUSE_CHARS):
-        self.min_len = min_len
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = _ordered(rows, self.order)
-        buffer, number = self.load()
-        out = []
-        for delta, last in zip(frame["text"], frame["is_last"]):
-            pieces = re.split(CLAUSE_BREAK, buffer + delta)
-            buffer = ""
-            for piece in pieces[:-1]:
-                buffer += piece
-                if len(buffer) >= self.min_len:
-                    number += 1
-                    out.append((key[0], number, buffer.strip()))
-                    buffer = ""
-            buffer += pieces[-1]
-            if last:
-                if buffer.strip():
-                    number += 1
-                    out.append((key[0], number, buffer.strip()))
-                buffer = ""
-        self.state.update((buffer, number))
-        yield pd.DataFrame(out, columns=["session_id", "sentence_id", "clause"])
-
-
-class RecentTexts(StatefulProcessor):
+def cut_places(text: str, min_len: int) -> list[int]:
+    """Where clauses end: the first mark at least ``min_len`` after the end before, found in the sorted places of marks."""
+    marks = np.array([m.end() for m in re.finditer(CLAUSE_BREAK, text)], "i8")
+    ends, begin = [], 0
+    while (at := int(marks.searchsorted(begin + min_len))) < len(marks):
+        begin = int(marks[at])
+        ends.append(begin)
+    return ends
+
+
+class ClauseAssembly(Ordered):
+    """Text deltas to clauses with running ids; the remainder of a reply is flushed with its last delta."""
+
+    columns = {"session_id": "bigint", "t_us": "bigint", "turn": "bigint", "text": "string", "is_last": "boolean"}
+    schema, default, order = "rest string, sentence_id bigint", ("", 0), ["t_us", "turn"]
+    output = ["session_id", "sentence_id", "clause"]
+
+    def __init__(self, min_len: int = CLAUSE_CHARS, forget_us: int | None = None):
+        self.min_len, self.forget_us = min_len, forget_us
+
+    def step(self, key, rows, watermark_us):
+        if not len(rows):
+            return None
+        rest, number = self.load()
+        whole = rows["is_last"].astype(bool)
+        reply = whole.shift(1, fill_value=False).cumsum()
+        texts = rows["text"].fillna("").groupby(reply).agg("".join).tolist()
+        found = []
+        for text, is_whole in zip([rest + texts[0], *texts[1:]], whole.groupby(reply).last()):
+            ends = cut_places(text, self.min_len)
+            found += [text[a:b].strip() for a, b in zip([0, *ends], ends)]
+            rest = text[ends[-1] if ends else 0 :]
+            if is_whole:
+                found += [rest.strip()] if rest.strip() else []
+                rest = ""
+        self.state.update((rest, number + len(found)))
+        return pd.DataFrame({"session_id": key[0], "sentence_id": number + 1 + np.arange(len(found)), "clause": found})[self.output]
+
+
+class RecentTexts(Ordered):
     """Every message with the texts of the last few before it."""
 
-    def __init__(self, size: int):
-        self.size = size
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.texts = handle.getListState("texts", "text string")
-
-    def handleInputRows(self, key, rows, timerValues):
-        frame = _ordered(rows, ["turn"])
-        kept = [row[0] for row in self.texts.get()] if self.texts.exists() else []
-        contexts = []
-        for text in frame["text"]:
-            contexts.append(" ".join(t.strip() for t in kept if t.strip()))
-            kept = [*kept, text][-self.size :]
-        self.texts.put([(t,) for t in kept])
-        yield frame.assign(context=contexts)
-
-    def close(self) -> None:
-        pass
+    columns = {"session_id": "bigint", "t_us": "bigint", "turn": "bigint", "text": "string"}
+    schema, default, order = "texts array<string>", ([],), ["t_us", "turn"]
+    output = ["session_id", "turn", "text", "context"]
+
+    def __init__(self, size: int, forget_us: int | None = None):
+        self.size, self.forget_us = size, forget_us
+
+    def step(self, key, rows, watermark_us):
+        if not len(rows):
+            return None
+        known = list(self.load()[0])
+        texts = [*known, *rows["text"].fillna("")]
+        short = [t.strip() for t in texts]
+        contexts = [" ".join(filter(None, short[max(0, i - self.size) : i])) for i in range(len(known), len(texts))]
+        self.state.update((texts[-self.size :] if self.size else [],))
+        return rows.assign(context=contexts)[self.output]
