@@ -1,22 +1,35 @@
 """Cheapest blend under limits, searched on a lattice of shares.
 
-A scenario is one row with its components in an array.  Shares are whole steps of ``1 / steps``.  The
-search places one component after the other by ``explode``; a partial blend goes on only while the
-steps left can still be placed and every limit can still be kept by some choice of the remaining
-components (their least and greatest values bound what can come).  Sums and limits are plain columns,
-so each level is generated code; all of it is narrow work.  The single shuffle is the final minimum
-per scenario, combined map-side.  No limit is ever dropped.
+A scenario is one row with its components in an array.  Shares are whole steps of ``1 / steps``, placed
+one component after the other; a partial blend goes on only while the steps left can still be placed and
+every limit can still be kept by some choice of the remaining components (their least and greatest
+values bound what can come).  No limit is ever dropped.  Two ways give the same result:
+
+* small groups are spread by ``explode``.  Sums and limits are plain columns, so each level is generated
+  code; all of it is narrow work, and the one shuffle is the final minimum per scenario, combined map-side;
+* groups of any size go level by level through the undominated partial blends of their scenario.  A partial
+  blend is dominated by one with as many steps left that is not dearer and, at each limit that the
+  other can still break, not nearer to it; sums of doubles keep that order whatever is added to both.
+  A first run over the cheapest partial blends only gives a cost that no better blend exceeds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.operators.blend import LIMITED_METRICS, stated_limits
 
 EPSILON = 1e-9
-MOST_COMPONENTS = 12
+SPREAD_COMPONENTS = 7  # up to which a group is spread
+CLOSE = 2e-6  # costs so close can be equal once they are rounded to six places
+RIVALS = 256  # cheapest partial blends that the others are compared with
+BEAM = 50  # cheapest partial blends per number of steps left in the first run
 
 
 def limit_columns(limits: DataFrame) -> DataFrame:
@@ -30,23 +43,17 @@ def limit_columns(limits: DataFrame) -> DataFrame:
     return stated.groupBy("scenario_id").agg(*columns)
 
 
-def scenario_rows(candidates: DataFrame, properties: DataFrame, limits: DataFrame, max_components: int) -> DataFrame:
+def scenario_rows(candidates: DataFrame, properties: DataFrame, limits: DataFrame) -> DataFrame:
     """One row per scenario: ``parts`` sorted by name, limit columns, and an error when it cannot be searched.
 
-    ``candidates`` is (scenario_id, limit_set, component).  Groups are cut at ``max_components`` by a
-    partial count before anything is collected; larger ones are reported, not searched.
+    ``candidates`` is (scenario_id, limit_set, component); the row holds the properties of the scenario's components.
     """
-    if max_components > MOST_COMPONENTS:
-        raise ValueError(f"at most {MOST_COMPONENTS} components")
     asked = candidates.select("scenario_id", "limit_set", "component").distinct()
     joined = asked.join(properties.select("component", "price", *LIMITED_METRICS), "component", "left")
     sizes = joined.groupBy("scenario_id", "limit_set").agg(
         F.count("*").alias("n"), F.count("price").alias("n_known")
     )
-    error = (
-        F.when(F.col("n_known") < F.col("n"), F.lit("unknown component"))
-        .when(F.col("n") > max_components, F.lit(f"more than {max_components} components"))
-    )
+    error = F.when(F.col("n_known") < F.col("n"), F.lit("unknown component"))
     sizes = sizes.withColumn("error", error).drop("n_known")
     values = F.array("price", *LIMITED_METRICS)
     parts = (
@@ -73,16 +80,34 @@ def _tails(at: int, largest: bool) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size("parts") - 1), rest)
 
 
-def cheapest_on_lattice(scenarios: DataFrame, max_components: int, steps: int = 20, max_share_steps: int = 12) -> DataFrame:
+def cheapest_on_lattice(scenarios: DataFrame, steps: int = 20, max_share_steps: int = 12, spread_components: int = SPREAD_COMPONENTS) -> DataFrame:
     """The cheapest feasible lattice point per scenario, or a row that says there is none.
 
-    Shares are packed into one long, each in as many bits as ``max_share_steps`` needs.
+    Of equal costs (to six places) the least shares in the order of names count.
     """
+    most = min(spread_components, 63 // max_share_steps.bit_length())
+    few, many = scenarios.where(F.col("n") <= most), scenarios.where(F.col("n") > most)
+    found = _spread_search(few, most, steps, max_share_steps).unionByName(_level_search(many, steps, max_share_steps))
+    return scenarios.select("scenario_id", "error", "n", "parts").join(found, "scenario_id", "left").select(
+        "scenario_id",
+        "n",
+        "cost",
+        "shares",
+        F.transform("parts", lambda p: p["component"]).alias("components"),
+        F.coalesce("error", F.when(F.col("cost").isNull(), F.lit("no feasible blend"))).alias("error"),
+        F.lit("lattice").alias("optimizer"),
+    )
+
+
+def _bounds() -> list[str]:
+    return [f"{end}_{m}" for m in LIMITED_METRICS for end in ("lo", "hi")]
+
+
+def _spread_search(scenarios: DataFrame, most: int, steps: int, max_share_steps: int) -> DataFrame:
+    """scenario_id, cost and shares by spreading; shares are packed into one long, each in as many bits as ``max_share_steps`` needs."""
     bits = max_share_steps.bit_length()
-    if bits * max_components > 63:
-        raise ValueError(f"shares of {max_components} components of {max_share_steps} steps do not fit a long")
     names = ("price", *LIMITED_METRICS)
-    bounds = [f"{end}_{m}" for m in LIMITED_METRICS for end in ("lo", "hi")]
+    bounds = _bounds()
     tails = [f"{end}_tail_{m}" for m in LIMITED_METRICS for end in ("lo", "hi")]
     fixed = ["scenario_id", "values", "n_parts", *bounds, *tails]
     # A few bytes per scenario grow into thousands of points, so the tasks are set by number, not by
@@ -102,7 +127,7 @@ def cheapest_on_lattice(scenarios: DataFrame, max_components: int, steps: int =
         F.lit(0).cast("long").alias("packed"),
         *[F.lit(0.0).alias(f"sum_{m}") for m in names],
     )
-    for level in range(max_components):
+    for level in range(most):
         low = F.greatest(F.lit(0), F.col("left") - (F.col("n_parts") - (level + 1)) * max_share_steps)
         high = F.least(F.lit(max_share_steps), F.col("left"))
         live = F.col("n_parts") > level
@@ -123,22 +148,93 @@ def cheapest_on_lattice(scenarios: DataFrame, max_components: int, steps: int =
             )
             .where(_reachable(level + 1, steps))
         )
-    best = frontier.where("left = 0").groupBy("scenario_id").agg(
-        F.count("*").alias("points"),
-        F.min(F.struct(F.round("sum_price", 6).alias("cost"), "packed")).alias("best"),
-    )
-    last = F.size("parts") - 1
+    best = frontier.where("left = 0").groupBy("scenario_id", "n_parts").agg(F.min(F.struct(F.round("sum_price", 6).alias("cost"), "packed")).alias("best"))
+    last = F.col("n_parts") - 1
     shares = F.transform(F.sequence(F.lit(0), last), lambda i: _share_at(i, last, bits))
-    return scenarios.select("scenario_id", "error", "n", "parts").join(best, "scenario_id", "left").select(
-        "scenario_id",
-        "n",
-        F.coalesce("points", F.lit(0)).alias("points"),
-        F.col("best.cost").alias("cost"),
-        F.when(F.col("best").isNotNull(), shares).alias("shares"),
-        F.transform("parts", lambda p: p["component"]).alias("components"),
-        F.coalesce("error", F.when(F.col("best").isNull(), F.lit("no feasible blend"))).alias("error"),
-        F.lit("lattice").alias("optimizer"),
-    )
+    return best.select("scenario_id", F.col("best.cost").alias("cost"), shares.alias("shares"))
+
+
+def _undominated(sums: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Places of the partial blends that no other one stands for; rows are in the order of shares, price first.
+
+    Each is compared with the ``RIVALS`` cheapest that stay and with its neighbours, so that work grows
+    with the rows; what is dominated by others only stays, which changes no result.
+    ``upper`` and ``lower`` are the sums where a limit can still be broken on that side, infinite where it cannot.
+    """
+    order = np.lexsort((np.arange(len(sums)), sums[:, 0]))
+    kept, parts = np.zeros(0, "i8"), []
+    for start in range(0, len(order), 64):
+        some = order[start : start + 64]
+        rivals = np.concatenate([kept, some])
+        dearer = sums[some, 0][:, None] - sums[rivals, 0][None, :]
+        beaten = (dearer > CLOSE) | (dearer >= 0) & (rivals[None, :] < some[:, None])
+        for metric in range(upper.shape[1]):
+            value = sums[some, metric + 1][:, None]
+            beaten &= (upper[rivals, metric][None, :] <= value) & (lower[rivals, metric][None, :] >= value)
+        parts.append(some[~beaten.any(axis=1)])
+        if len(kept) < RIVALS:
+            kept = np.concatenate([kept, parts[-1]])
+    return np.sort(np.concatenate(parts)) if parts else kept
+
+
+def _follow_levels(values: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int, most: int, ceiling: float, beam: int | None) -> tuple[float, np.ndarray] | None:
+    """Cost and shares of the cheapest blend not above the ceiling; with ``beam`` only of some of them."""
+    n = len(values)
+    shares, left, sums = np.zeros((1, 0), "i8"), np.array([steps]), np.zeros((1, values.shape[1]))
+    watched = np.flatnonzero(np.isfinite(low) | np.isfinite(high)) + 1
+    for level in range(n):
+        parent, choice = np.divmod(np.arange(len(left) * (most + 1)), most + 1)
+        fits = (choice <= left[parent]) & (left[parent] - choice <= (n - level - 1) * most)
+        parent, choice = parent[fits], choice[fits]
+        shares, left = np.column_stack([shares[parent], choice]), left[parent] - choice
+        sums = sums[parent] + values[level] * (choice / float(steps))[:, None]
+        tail, part = values[level + 1 :], (left / float(steps))[:, None]
+        least, greatest = (tail.min(axis=0), tail.max(axis=0)) if len(tail) else (np.zeros(values.shape[1]),) * 2
+        down, up = sums + part * least, sums + part * greatest
+        ok = (down[:, watched] <= high[watched - 1] + EPSILON).all(axis=1) & (up[:, watched] >= low[watched - 1] - EPSILON).all(axis=1) & (down[:, 0] <= ceiling + CLOSE)
+        shares, left, sums, down, up = (x[ok] for x in (shares, left, sums, down, up))
+        upper = np.where(up[:, watched] <= high[watched - 1], -np.inf, sums[:, watched])
+        lower = np.where(down[:, watched] >= low[watched - 1], np.inf, sums[:, watched])
+        own = np.column_stack([sums[:, :1], sums[:, watched]])
+        keep = []
+        for rest in np.unique(left):
+            at = np.flatnonzero(left == rest)
+            at = at[_undominated(own[at], upper[at], lower[at])]
+            keep.append(np.sort(at[np.argsort(down[at, 0], kind="stable")[:beam]]))
+        at = np.sort(np.concatenate(keep)) if keep else np.zeros(0, "i8")
+        shares, left, sums = shares[at], left[at], sums[at]
+    if not len(left):
+        return None
+    near = np.flatnonzero(sums[:, 0] <= sums[:, 0].min() + CLOSE)
+    rounded = [Decimal(repr(float(sums[i, 0]))).quantize(Decimal("0.000001"), ROUND_HALF_UP) for i in near]
+    best = near[rounded.index(min(rounded))]
+    return float(sums[best, 0]), shares[best]
+
+
+def cheapest_shares(values: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int, most: int) -> tuple[float, np.ndarray] | None:
+    """Cost and shares of the cheapest blend of components (rows; price and metrics) within the limits, or None."""
+    if np.isnan(values).any():
+        return None
+    some = _follow_levels(values, low, high, steps, most, np.inf, BEAM)
+    return _follow_levels(values, low, high, steps, most, np.inf if some is None else some[0], None)
+
+
+def _level_search(scenarios: DataFrame, steps: int, max_share_steps: int) -> DataFrame:
+    """scenario_id, cost and shares level by level; a scenario is searched where its row is."""
+    kind = dict(scenarios.dtypes)["scenario_id"]
+    tasks = int(scenarios.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scenarios.where("error IS NULL").repartition(tasks, "scenario_id").select("scenario_id", F.transform("parts", lambda p: p["v"]).alias("values"), *_bounds())
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                values = np.array([[np.nan if v is None else v for v in part] for part in row.values], "f8")
+                ends = np.array([getattr(row, name) for name in _bounds()], "f8")
+                if (best := cheapest_shares(values, ends[::2], ends[1::2], steps, max_share_steps)) is not None:
+                    yield pd.DataFrame({"scenario_id": [row.scenario_id], "cost": [best[0]], "shares": [best[1].astype("i4")]})
+
+    found = rows.mapInPandas(search, f"scenario_id {kind}, cost double, shares array<int>")
+    return found.withColumn("cost", F.round("cost", 6))
 
 
 def _share_at(position: Column, last: Column, bits: int) -> Column:

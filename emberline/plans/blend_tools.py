@@ -13,15 +13,15 @@ list_components = bl.list_components
 
 
 def optimize_blends(
-    candidates: DataFrame, properties: DataFrame, limits: DataFrame, max_components: int = 8,
+    candidates: DataFrame, properties: DataFrame, limits: DataFrame,
     steps: int = 20, max_share_steps: int = 12, total_weight_g: float = bl.TOTAL_WEIGHT_G,
 ) -> DataFrame:
     """Cheapest lattice blend per scenario with its component rows, or an error.
 
     ``candidates`` is (scenario_id, limit_set, component).  Limits are always kept.
     """
-    scenarios = scenario_rows(candidates, properties, limits, max_components)
-    best = cheapest_on_lattice(scenarios, max_components, steps, max_share_steps)
+    scenarios = scenario_rows(candidates, properties, limits)
+    best = cheapest_on_lattice(scenarios, steps, max_share_steps)
     hoppers = F.zip_with(
         "components", "shares",
         lambda c, s: F.struct(

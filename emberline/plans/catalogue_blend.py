@@ -172,18 +172,29 @@ def blend_lattice(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("scenario_id"), F.col("o_orderpriority").alias("limit_set"))
     wanted = blends(spark, d).select(F.col("blend_id").alias("scenario_id"), "component").join(orders, "scenario_id")
     known = components(spark, d).withColumnRenamed("id", "component")
-    scenarios = scenario_rows(wanted, known, _limits(spark), max_components=7)
-    best = cheapest_on_lattice(scenarios, max_components=7, steps=5, max_share_steps=3)
+    scenarios = scenario_rows(wanted, known, _limits(spark))
+    best = cheapest_on_lattice(scenarios, steps=5, max_share_steps=3)
     return best.select(
         "scenario_id", F.round("cost", 4).alias("cost"), F.array_join("shares", ",").alias("shares"), "error"
     )
 
 
+def blend_lattice_types(spark, d):
+    """Cheapest lattice blend of all sold parts of a type and band of sizes, about twenty; the band says which limits hold."""
+    known = components(spark, d).where("g IS NOT NULL").withColumnRenamed("id", "component")
+    priorities = F.array(*[F.lit(name) for name in dict.fromkeys(limit[0] for limit in LIMITS)])
+    band = F.expr("cast(g as int) div 6")
+    limit_set = F.element_at(priorities, (band % 5 + 1).cast("int"))
+    wanted = known.select(F.concat("type", F.lit(" "), band.cast("string")).alias("scenario_id"), limit_set.alias("limit_set"), "component")
+    best = cheapest_on_lattice(scenario_rows(wanted, known, _limits(spark)), steps=4, max_share_steps=3)
+    return best.select("scenario_id", "n", F.round("cost", 4).alias("cost"), F.array_join("shares", ",").alias("shares"), "error")
+
+
 def tool_optimize(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("scenario_id"), F.col("o_orderpriority").alias("limit_set"))
     wanted = blends(spark, d).select(F.col("blend_id").alias("scenario_id"), "component").join(orders, "scenario_id")
     known = components(spark, d).withColumnRenamed("id", "component")
-    plans = optimize_blends(wanted, known, _limits(spark), max_components=7, steps=5, max_share_steps=3)
+    plans = optimize_blends(wanted, known, _limits(spark), steps=5, max_share_steps=3)
     return plans.groupBy("optimizer", "error").agg(
         F.count("*").alias("scenarios"), F.round(F.sum("cost_per_ton"), 2).alias("cost_sum")
     )
@@ -216,13 +227,26 @@ QUERIES = {
     for f in (
         component_scan, component_properties, component_list, component_page, components_by_fragment,
         blend_features, blend_features_normalised, blend_cost_and_limits, stated_limits, missing_components,
-        candidate_properties, blend_allocation, blend_plans, blend_plan_tables, blend_lattice, tool_optimize,
+        candidate_properties, blend_allocation, blend_plans, blend_plan_tables, blend_lattice, blend_lattice_types, tool_optimize,
         tool_predict,
     )
 }
 
 _R = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
-_LATTICE = SQL_COMPONENTS + f""", {SQL_LIMITS},
+_PARTS = """
+  SELECT blend_id, component, o_orderpriority AS limit_set, price, cri, csr, m10, m25, vdaf, g, ad,
+    row_number() OVER (PARTITION BY blend_id ORDER BY component) AS pos, count(*) OVER (PARTITION BY blend_id) AS n
+  FROM bl JOIN comp ON id = component JOIN orders ON o_orderkey = blend_id"""
+_TYPE_PARTS = f"""
+  SELECT type || ' ' || band AS blend_id, id AS component, [{', '.join(f"'{name}'" for name in dict.fromkeys(limit[0] for limit in LIMITS))}][band % 5 + 1] AS limit_set,
+    price, cri, csr, m10, m25, vdaf, g, ad, row_number() OVER (PARTITION BY type, band ORDER BY id) AS pos, count(*) OVER (PARTITION BY type, band) AS n
+  FROM (SELECT *, g::BIGINT // 6 AS band FROM comp WHERE g IS NOT NULL)"""
+
+
+def _lattice(parts: str, steps: int) -> str:
+    """All lattice points with shares of at most three steps."""
+    sums = ", ".join(f"w.{c} + p.{c} * (s / {steps}.0::DOUBLE) AS {c}" for c in ("price", "cri", "csr", "m10", "m25", "vdaf", "g", "ad"))
+    return SQL_COMPONENTS + f""", {SQL_LIMITS},
 lims AS (
   SELECT scenario_id AS limit_set, metric,
     coalesce(lo, CASE WHEN metric IN ('cri', 'csr', 'm10', 'm25') THEN 0 ELSE -1e300 END) AS lo,
@@ -230,20 +254,17 @@ lims AS (
   FROM lim WHERE lo IS NOT NULL OR hi IS NOT NULL
 ),
 parts AS (
-  SELECT blend_id, component, o_orderpriority AS limit_set, price, cri, csr, m10, m25, vdaf, g, ad,
-    row_number() OVER (PARTITION BY blend_id ORDER BY component) AS pos, count(*) OVER (PARTITION BY blend_id) AS n
-  FROM bl JOIN comp ON id = component JOIN orders ON o_orderkey = blend_id
+{parts}
 ),
 walk AS (
   WITH RECURSIVE w AS (
-    SELECT blend_id, limit_set, n, 0::BIGINT AS pos, 5::BIGINT AS rest, ''::VARCHAR AS shares, 0.0::DOUBLE AS price, 0.0::DOUBLE AS cri,
+    SELECT blend_id, limit_set, n, 0::BIGINT AS pos, {steps}::BIGINT AS rest, ''::VARCHAR AS shares, 0.0::DOUBLE AS price, 0.0::DOUBLE AS cri,
       0.0::DOUBLE AS csr, 0.0::DOUBLE AS m10, 0.0::DOUBLE AS m25, 0.0::DOUBLE AS vdaf, 0.0::DOUBLE AS g, 0.0::DOUBLE AS ad
-    FROM (SELECT DISTINCT blend_id, limit_set, n FROM parts WHERE n <= 7)
+    FROM (SELECT DISTINCT blend_id, limit_set, n FROM parts)
     UNION ALL
     SELECT w.blend_id, w.limit_set, w.n, p.pos, rest - s, CASE WHEN shares = '' THEN '' ELSE shares || ',' END || s,
-      w.price + p.price * s / 5.0::DOUBLE, w.cri + p.cri * s / 5.0::DOUBLE, w.csr + p.csr * s / 5.0::DOUBLE, w.m10 + p.m10 * s / 5.0::DOUBLE,
-      w.m25 + p.m25 * s / 5.0::DOUBLE, w.vdaf + p.vdaf * s / 5.0::DOUBLE, w.g + p.g * s / 5.0::DOUBLE, w.ad + p.ad * s / 5.0::DOUBLE
-    FROM w JOIN parts p ON p.blend_id = w.blend_id AND p.pos = w.pos + 1, (VALUES (0), (1), (2), (3)) v(s) WHERE s <= rest
+      {sums}
+    FROM w JOIN parts p ON p.blend_id = w.blend_id AND p.pos = w.pos + 1, (VALUES (0), (1), (2), (3)) v(s) WHERE s <= rest AND rest - s <= 3 * (w.n - p.pos)
   )
   SELECT * FROM w WHERE pos = n AND rest = 0
 ),
@@ -257,11 +278,14 @@ best AS (
   QUALIFY row_number() OVER (PARTITION BY blend_id ORDER BY cost, string_split(shares, ',')) = 1
 ),
 lattice AS (
-  SELECT DISTINCT p.blend_id AS scenario_id, cost, shares,
-    CASE WHEN n > 7 THEN 'more than 7 components' WHEN cost IS NULL THEN 'no feasible blend' END AS error
+  SELECT DISTINCT p.blend_id AS scenario_id, n, cost, shares,
+    CASE WHEN cost IS NULL THEN 'no feasible blend' END AS error
   FROM parts p LEFT JOIN best USING (blend_id)
 )"""
 
+
+_LATTICE = _lattice(_PARTS, 5)
+
 ORACLES = {
     "component_scan": f"""WITH {SQL_COMPONENTS}
 SELECT id, name, type, price, {_R('mad', 'ad', 'vdaf', 'std', 'x', 'y', 'cri', 'csr', 'm10', 'm25', 'm40')}, g
@@ -313,6 +337,7 @@ SELECT blend_id, '**配煤方案：**' || chr(10) || chr(10) || '| 煤种 | 配
   || chr(10) || chr(10) || '- 总重量：1000.0g' || chr(10) || '- 吨煤成本：' || printf('%.1f', round(sum(share * price), 6)) || ' 元' || chr(10) || '- 优化算法：LP' AS markdown
 FROM alloc GROUP BY blend_id""",
     "blend_lattice": f"WITH {_LATTICE} SELECT scenario_id, round(cost, 4) AS cost, shares, error FROM lattice",
+    "blend_lattice_types": f"WITH {_lattice(_TYPE_PARTS, 4)} SELECT scenario_id, n, round(cost, 4) AS cost, shares, error FROM lattice",
     "tool_optimize": f"""WITH {_LATTICE}
 SELECT 'lattice' AS optimizer, error, count(*) AS scenarios, round(sum(cost), 2) AS cost_sum FROM lattice GROUP BY error""",
     "tool_predict": f"""WITH {SQL_MIXED},

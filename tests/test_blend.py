@@ -3,9 +3,11 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from emberline.operators import blend as bl
+from emberline.operators import lattice
 from emberline.operators.lattice import cheapest_on_lattice, scenario_rows
 from emberline.plans.blend_tools import list_components, optimize_blends
 
@@ -56,7 +58,7 @@ def test_lattice_equals_brute_force(spark):
     wanted = [(i, "abc"[i % 3], n) for i, chosen in picks.items() for n in chosen] + [(99, "c", "ghost"), (98, "c", "p0")]
     wanted += [(97, "c", n) for n in parts]
     candidates = spark.createDataFrame(wanted, "scenario_id int, limit_set string, component string")
-    got = {r["scenario_id"]: r for r in cheapest_on_lattice(scenario_rows(candidates, properties, limit_rows, 5), 5, 10, 6).collect()}
+    got = {r["scenario_id"]: r for r in cheapest_on_lattice(scenario_rows(candidates, properties, limit_rows), 10, 6, 5).collect()}
     for i, chosen in picks.items():
         given = [(m, 0.0 if lo is None else lo, (100.0 if m in bl.QUALITY_METRICS else 1e300) if hi is None else hi) for m, lo, hi in limits["abc"[i % 3]]]
         want = brute_force([parts[n] for n in chosen], given, 10, 6)
@@ -65,11 +67,46 @@ def test_lattice_equals_brute_force(spark):
         else:
             assert (got[i]["cost"], tuple(got[i]["shares"])) == want
     assert got[99]["error"] == "unknown component" and got[98]["error"] == "no feasible blend"
-    assert got[97]["error"] == "more than 5 components"
-    plan = {r["scenario_id"]: r for r in optimize_blends(candidates, properties, limit_rows, 5, 10, 6).collect()}
+    assert (got[97]["cost"], tuple(got[97]["shares"])) == brute_force([parts[n] for n in parts], [], 10, 6)  # beyond what is spread
+    plan = {r["scenario_id"]: r for r in optimize_blends(candidates, properties, limit_rows, 10, 6).collect()}
     assert abs(sum(h["ratio"] for h in plan[2]["hoppers"]) - 100) < 1e-6
 
 
+def test_levels_equal_brute_force():
+    rng = random.Random(4)
+    names = ("price", *bl.LIMITED_METRICS)
+    for case in range(150):
+        n, steps, most = rng.randint(1, 5), rng.choice([4, 7]), rng.choice([2, 3, 4])
+        grid = rng.choice([None, 3])  # few values make many equal costs
+        parts = [{m: float(rng.randint(1, grid) * 10) if grid else round(rng.uniform(10, 90), 1) for m in names} for _ in range(n)]
+        limits = [(m, *rng.choice([(20.0, 50.0), (-float("inf"), 45.0), (40.0, float("inf"))])) for m in rng.sample(bl.LIMITED_METRICS, rng.randint(0, 3))]
+        given = {m: (lo, hi) for m, lo, hi in limits}
+        values = np.array([[p[m] for m in names] for p in parts])
+        ends = np.array([given.get(m, (-np.inf, np.inf)) for m in bl.LIMITED_METRICS])
+        got = lattice.cheapest_shares(values, ends[:, 0], ends[:, 1], steps, most)
+        want = brute_force(parts, limits, steps, most)
+        assert (got and (round(got[0], 6), tuple(got[1].tolist()))) == want, case
+
+
+def test_groups_of_twenty_parts_are_searched():
+    rng = random.Random(6)
+    values = np.array([[rng.uniform(10, 90) for _ in range(1 + len(bl.LIMITED_METRICS))] for _ in range(20)])
+    low, high = np.full(len(bl.LIMITED_METRICS), -np.inf), np.full(len(bl.LIMITED_METRICS), np.inf)
+    low[0], high[0], high[1], low[2] = 40, 45, 40, 60
+    cost, shares = lattice.cheapest_shares(values, low, high, 20, 12)
+    sums = (values * shares[:, None] / 20).sum(axis=0)
+    assert shares.sum() == 20 and shares.max() <= 12 and abs(sums[0] - cost) < 1e-9
+    assert (sums[1:] >= low - 1e-9).all() and (sums[1:] <= high + 1e-9).all()
+    # no exchange of up to two steps between two components gives a cheaper feasible blend
+    for i, j, k in itertools.product(range(20), range(20), (1, 2)):
+        other = shares.copy()
+        other[i] -= k
+        other[j] += k
+        if i != j and other.min() >= 0 and other.max() <= 12:
+            sums = (values * other[:, None] / 20).sum(axis=0)
+            assert sums[0] > cost - 1e-9 or (sums[1:] < low).any() or (sums[1:] > high).any()
+
+
 def test_allocation_is_not_dearer_than_the_lattice(spark):
     rng = random.Random(5)
     prices = [rng.randint(1, 99) for _ in range(4)]
