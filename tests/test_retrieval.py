@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from emberline.operators import evidence as ev
 from emberline.operators import nearest as nn
+from emberline.operators import textvectors as tv
+from emberline.sources.tables import table
 
 
 def vectors(spark, rows, key):
@@ -69,3 +71,43 @@ def test_prompt_blocks(spark):
     assert row["b"].endswith(ev.NO_EVIDENCE_LINE)
     assert (row["c"], row["d"]) == ("88%", "1.50")
     assert row["e"] == "x" * 50 + " et al."
+
+
+def recall_and_pairs(queries, items, keys):
+    near = tv.approximate_topk(queries, items, keys, ["vec_id"], 5, cell_rows=50)
+    exact = nn.cosine_topk(queries, items, keys, ["vec_id"], 5)
+    found = near.join(exact.drop("score"), [*keys, "vec_id"], "left_semi").count() / exact.count()
+    centres = tv.fit_centroids(items, round(4 * items.count() ** 0.5))
+    filed = tv.file_items(items, centres).cache()
+    asked = tv.probing(queries, centres, tv.probes_needed(queries, items, filed, keys, ["vec_id"], 5, centres, tv.RECALL))
+    pairs = asked.groupBy("list").agg(F.count("*").alias("a")).join(filed.groupBy("list").agg(F.count("*").alias("b")), "list").agg(F.sum(F.col("a") * F.col("b"))).first()[0]
+    return found, pairs / (queries.count() * items.count())
+
+
+def test_inverted_file_of_clusters(spark):
+    """At least nine in ten of the exact neighbours, from less than a tenth of the pairs."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(60, 24))
+    rows = centre[rng.integers(60, size=3000)] + 0.35 * rng.normal(size=(3000, 24))
+    items = vectors(spark, rows, "vec_id").repartition(4)
+    queries = items.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "q")
+    found, pairs = recall_and_pairs(queries, items, ["q"])
+    assert found >= 0.9 and pairs < 0.1, (found, pairs)
+
+
+def test_inverted_file_of_the_tables(spark):
+    """Vectors of the tables point anywhere; recall is kept all the same."""
+    items = table(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    queries = items.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "q")
+    found, pairs = recall_and_pairs(queries, items, ["q"])
+    print("recall", found, "pairs", pairs)
+    assert found >= 0.9 and pairs < 0.6, (found, pairs)
+
+
+def test_inverted_file_of_copies_and_vectors_without_direction(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(30)] + [(100, [0.0, 1.0]), (101, [0.0, 0.0]), (102, [0.6, 0.8])]
+    items = spark.createDataFrame(rows, "id long, vec array<double>")
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, [0.0, 5.0])], "q long, vec array<double>")
+    got = tv.approximate_topk(queries, items, ["q"], ["id"], 3, lists=3, probes=3, cell_rows=4).collect()
+    assert sorted((r["q"], r["id"], r["score"]) for r in got) == [(1, 0, 1.0), (1, 1, 1.0), (1, 2, 1.0), (3, 0, 0.0), (3, 100, 1.0), (3, 102, 0.8)]
+    assert tv.approximate_topk(queries, items.limit(0), ["q"], ["id"], 3).count() == 0
