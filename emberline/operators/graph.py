@@ -233,7 +233,7 @@ WORD_LIMIT = 2000
 
 
 def contained_words(names: DataFrame, words: DataFrame, limit: int = WORD_LIMIT) -> DataFrame:
-    """Pairs (name, word) where the name holds the word, ignoring case.
+    """Pairs (name, word) where the name holds the word, ignoring case; every name holds an empty word.
 
     A checked number of words goes along as an array and is filtered per name.  More words than that
     are met by an equi-join on the substrings of the names, which are short, so that no pair is ever
@@ -253,7 +253,8 @@ def contained_words(names: DataFrame, words: DataFrame, limit: int = WORD_LIMIT)
             lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.lower(F.substring("name", i, n))),
         )
     )
-    pieces = names.where(size > 0).select("name", F.explode(F.array_distinct(parts)).alias("_part"))
+    parts = F.concat(F.array(F.lit("")), F.when(size > 0, parts).otherwise(F.array().cast("array<string>")))
+    pieces = names.where("name IS NOT NULL").select("name", F.explode(F.array_distinct(parts)).alias("_part"))
     return pieces.join(words.withColumn("_part", F.lower("word")), "_part").select("name", "word")
 
 

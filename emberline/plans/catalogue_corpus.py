@@ -64,7 +64,7 @@ def chunk_store(spark, d):
     parsed = ing.parsed_papers(papers(spark, d))
     base = parsed.withColumn("authors", F.split("lang", "")).withColumn("keywords", F.array("source", "lang"))
     return ct.store_rows(paper_chunks(spark, d), base).select(
-        "id", "section", "title", "category", F.col("year").cast("long").alias("year"), "authors", "keywords"
+        "id", "section", "text", "title", "category", F.col("year").cast("long").alias("year"), "authors", "keywords"
     )
 
 
@@ -105,9 +105,9 @@ def catalog_upsert(spark, d):
 
 def catalog_lists(spark, d):
     """JSON lists written and parsed again, cut to the first authors and keywords."""
-    words = F.split(F.left("text", F.lit(200)), " ", -1)
+    words = F.split("text", " ", -1)
     rows = documents(spark, d).select(
-        "doc_id", F.to_json(words).alias("authors"), F.to_json(F.slice(words, 2, 100)).alias("keywords"), F.lit(None).cast("string").alias("auto_topics")
+        "doc_id", F.to_json(words).alias("authors"), F.to_json(F.slice(words, 2, 1 << 30)).alias("keywords"), F.lit(None).cast("string").alias("auto_topics")
     )
     lists = ct.catalog_lists(rows)
     return lists.select(
@@ -255,7 +255,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS chun
     "paper_chunks": f"WITH {SQL_CHUNKS} SELECT paper_id, chunk_index, section, text FROM pc",
     "chunks_per_paper": f"WITH {SQL_CHUNKS} SELECT paper_id, count(*) AS chunks FROM pc GROUP BY paper_id",
     "chunk_store": f"""WITH {SQL_META}
-SELECT paper_id || '_' || chunk_index AS id, section, left(title, 200) AS title, source AS category, coalesce({_YEAR}, 0) AS year,
+SELECT paper_id || '_' || chunk_index AS id, section, pc.text, left(title, 200) AS title, source AS category, coalesce({_YEAR}, 0) AS year,
   left(lang, 1) || ', ' || lang[2:2] AS authors, source || ', ' || lang AS keywords
 FROM pc JOIN meta USING (paper_id)""",
     "unseen_papers": f"WITH {SQL_PAPERS} SELECT paper_id, file_path FROM p WHERE lang <> 'fr'",
@@ -270,7 +270,7 @@ SELECT source AS category, count(*) AS chunks, sum(length(text))::BIGINT AS char
 SELECT file_path, lang, length(text) AS chars, CASE WHEN lang IN ('de', 'fr') THEN 'second' ELSE 'first' END AS batch FROM p""",
     "catalog_lists": """
 SELECT doc_id, array_to_string(w[1:5], ', ') AS authors, array_to_string(w[2:11], ', ') AS keywords, 0 AS n_topics
-FROM (SELECT doc_id, string_split(left(text, 200), ' ') AS w FROM documents)""",
+FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)""",
     "text_measures": """
 SELECT doc_id, length(text) // 4 AS tokens, regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') AS cjk, length(text) > 0 AND length(text) = strlen(text) AS ascii FROM documents""",
     "document_tags": f"""WITH t AS (SELECT doc_id, lang, lower(text) AS low, {_VOCAB} AS v FROM documents), {_TAGGED}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from emberline.operators import graph as gr
@@ -126,8 +127,11 @@ def knowledge_requests(spark, d):
         F.array(F.lit("Paper-STUDIES_CONCEPT-!promo!"), F.lit("Paper-USES_METHOD-!brand#25!"), F.lit("Author-WROTE-!77!"), F.lit("unclear")),
         (F.col("question_id") % 4 + 1).cast("int"),
     )
-    hits = rt.ranked_hits(question_vectors(spark, d), chunks(spark, d)).where("question_id < 4").select(
-        asked.alias("request"), "rank",
+    found = rt.ranked_hits(question_vectors(spark, d), chunks(spark, d)).withColumn("request", asked)
+    # questions that make the same request share its ranks
+    shared = F.row_number().over(Window.partitionBy("request").orderBy("rank", "question_id"))
+    hits = found.select(
+        "request", shared.alias("rank"),
         F.concat(F.lit("chunk "), F.col("paper_id").cast("string"), F.lit("_"), F.col("chunk_index").cast("string")).alias("text"),
     )
     requests = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("question_id")).distinct().select(asked.alias("request"))
@@ -247,7 +251,10 @@ g AS (
   SELECT request, 0 AS source, src AS at1, dst AS at2, coalesce(name, title) || ' ' || e.rel || ' ' || dst AS text
   FROM req JOIN e ON e.rel = req.rel AND src_label = label AND contains(lower(dst), lower(value)) JOIN n ON n.label = src_label AND n.key = src
 ),
-v AS (SELECT request, 1 AS source, lpad(rank::VARCHAR, 12, '0') AS at1, '' AS at2, 'chunk ' || paper_id || '_' || chunk_index AS text FROM top10 JOIN req USING (question_id)),
+v AS (
+  SELECT request, 1 AS source, lpad((row_number() OVER (PARTITION BY request ORDER BY rank, top10.question_id))::VARCHAR, 12, '0') AS at1, '' AS at2, 'chunk ' || paper_id || '_' || chunk_index AS text
+  FROM top10 JOIN req ON req.question_id = top10.question_id % 4
+),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY request ORDER BY source, at1, at2) AS place FROM (SELECT * FROM g UNION ALL SELECT * FROM v) QUALIFY place <= 10
 )

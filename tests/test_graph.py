@@ -76,3 +76,11 @@ def test_knowledge_default_text(spark):
     got = {r["request"]: r["knowledge"] for r in gr.knowledge_extract(asked, graph.nodes, graph.edges, none).collect()}
     assert got["Paper-STUDIES_CONCEPT-!csr!"] == "T1 STUDIES_CONCEPT CSR\nT2 STUDIES_CONCEPT CSR"
     assert got["?"] == got["Paper-CITES-!csr!"] == gr.NOTHING_FOUND
+
+
+def test_a_blank_word_is_in_every_name(spark):
+    names = spark.createDataFrame([("Coal",), ("",), ("a b",), (None,)], "name string")
+    words = spark.createDataFrame([("",), (" ",), ("O",), ("zz",)], "word string")
+    want = {("Coal", ""), ("", ""), ("a b", ""), ("a b", " "), ("Coal", "O")}
+    for limit in (2000, 1):
+        assert {tuple(r) for r in gr.contained_words(names, words, limit=limit).collect()} == want
