@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +15,6 @@ CLOSE_FENCE = r"\s*```$"
 METADATA_SCHEMA = "title string, authors array<string>, abstract string, keywords array<string>, year int"
 QUERY_SCHEMA = "english_queries array<string>, key_concepts array<string>, key_methods array<string>, key_materials array<string>"
 TRANSCRIPT_SCHEMA = "cn struct<st: struct<rt: array<struct<ws: array<struct<cw: array<struct<w: string>>>>>>>>, src string"
-RESULT_SCHEMA = (
-    "text string, transcript string, src string, "
-    "result struct<text: string, utterances: array<struct<text: string>>>, "
-    "results array<struct<text: string>>, nbest array<struct<text: string, sentence: string>>"
-)
 FOLLOW_UPS = 3
 FOLLOW_UP_HEAD = "\n\n---\n\n**您可能还想了解：**"
 
@@ -77,15 +74,45 @@ def transcript_text(payload: Column) -> Column:
     return F.when(F.size(kept) > 0, strip(F.array_join(kept, ""))).otherwise(strip(F.coalesce(parsed["src"], F.lit(""))))
 
 
+# Keys whose strings are texts, and keys whose values are searched further; in any case of letters.
+TEXT_KEYS = frozenset("text transcript sentence utterance src".split())
+HOLDING_KEYS = frozenset("result results data payload segments utterances items nbest alternatives".split())
+
+
+class _Found(list):
+    """Texts of one JSON object, in the order of the document."""
+
+
+def _texts_below(value: object) -> list[str]:
+    """Texts of an object, or of the objects in a list of any depth; objects within have become their texts already."""
+    if isinstance(value, _Found):
+        return value
+    return [text for item in value for text in _texts_below(item)] if isinstance(value, list) else []
+
+
+def _object_texts(pairs: list[tuple[str, object]]) -> _Found:
+    """What the parser puts in the place of an object: inner objects come first, so that nothing is walked twice."""
+    found = _Found()
+    for key, value in dict(pairs).items():
+        if key.lower() in TEXT_KEYS:
+            found += [value.strip()] if isinstance(value, str) else []
+        elif key.lower() in HOLDING_KEYS:
+            found += _texts_below(value)
+    return found
+
+
+def harvest(payload: str | None) -> str:
+    """Unique texts of a JSON payload of any shape and depth, in document order; empty where it cannot be read."""
+    try:
+        found = _texts_below(json.loads(payload or "null", object_pairs_hook=_object_texts))
+    except (ValueError, RecursionError):
+        return ""
+    return "".join(dict.fromkeys(filter(None, found))).strip()
+
+
 def harvested_text(payload: Column) -> Column:
-    """Texts of a recogniser result of the known shapes, unique, in schema order, joined."""
-    p = F.from_json(payload, RESULT_SCHEMA)
-    none = F.array().cast("array<string>")
-    pieces = F.concat(
-        F.array(p["text"], p["transcript"], p["src"], p["result"]["text"]),
-        F.coalesce(F.transform(p["result"]["utterances"], lambda u: u["text"]), none),
-        F.coalesce(F.transform(p["results"], lambda u: u["text"]), none),
-        F.coalesce(F.flatten(F.transform(p["nbest"], lambda u: F.array(u["text"], u["sentence"]))), none),
-    )
-    clean = F.filter(F.transform(F.array_compact(pieces), strip), lambda x: x != "")
-    return strip(F.array_join(F.array_distinct(clean), ""))
+    """Texts of a recogniser result, see ``harvest``.
+
+    A VARIANT keeps the fields of an object by name and not in their order, so that the walk is a batched Python function.
+    """
+    return F.pandas_udf(lambda texts: texts.map(harvest, na_action=None), "string")(payload)

@@ -172,11 +172,25 @@ def harvested_texts(spark, d):
     return _events(spark, d).select("event_id", harvested_text(body).alias("text"))
 
 
+def harvested_messages(spark, d):
+    """Conversation texts in recogniser payloads of three nested shapes, harvested again."""
+    said, by = F.col("text"), F.col("role")
+    field = lambda name, value: F.struct(value.alias(name))
+    items = F.to_json(F.struct(
+        F.lit(0).alias("code"), field("text", F.lit("no")).alias("other"),
+        field("payload", F.array(field("items", F.array(F.struct(said.alias("utterance"), F.array(field("transcript", said)).alias("alternatives")))))).alias("data"),
+    ))
+    segments = F.to_json(F.struct(F.array(F.struct(said.alias("sentence"), by.alias("Text"))).alias("segments"), F.lit(7).alias("text")))
+    listed = F.to_json(F.array(field("result", F.array(F.struct(F.array(field("SRC", by)).alias("nbest"), field("text", said).alias("utterances"))))))
+    payload = F.when(F.col("turn") % 3 == 0, items).when(F.col("turn") % 3 == 1, segments).otherwise(listed)
+    return table(spark, d, "conversations").select("conv_id", "turn", harvested_text(payload).alias("text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         cleaned_transcripts, cleaned_partials, sound_corrections, spoken_numbers, spaced_documents, punctuated_documents,
-        replaced_terms, glossary_entries, mined_terms, english_alias_rows, misheard_hotwords, recogniser_texts, harvested_texts,
+        replaced_terms, glossary_entries, mined_terms, english_alias_rows, misheard_hotwords, recogniser_texts, harvested_texts, harvested_messages,
     )
 }
 
@@ -229,5 +243,7 @@ a AS (
 SELECT alias, name FROM a""",
     "recogniser_texts": f"""WITH {_EVENTS}
 SELECT event_id, CASE WHEN k % 3 > 0 THEN event_type || ' ' || k ELSE event_type END AS text FROM n""",
+    "harvested_messages": """WITH m AS (SELECT conv_id, turn, trim(role) AS r, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 3 = 0 OR r = t THEN t WHEN turn % 3 = 1 THEN t || r ELSE r || t END AS text FROM m""",
     "harvested_texts": f"WITH {_EVENTS} SELECT event_id, event_type || 'a' || k || 'bc' AS text FROM n",
 }

@@ -151,3 +151,14 @@ def test_fixed_follows_the_binary_value(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double").orderBy("i")
     assert [r[0] for r in rows.select(fixed(F.col("x"), 1)).collect()] == [f"{x:.1f}" for x in numbers]
     assert [r[0] for r in rows.select(fixed(F.col("x"), 2)).collect()] == [f"{x:.2f}" for x in numbers]
+
+
+def test_harvest_at_any_depth():
+    from emberline.functions.jsontext import harvest
+
+    assert harvest('{"data": {"payload": [[{"items": [{"Utterance": " a "}, {"alternatives": [{"TRANSCRIPT": "b"}, "c", 3]}]}]], "text": 5}, "src": "a", "other": {"text": "no"}}') == "ab"
+    assert harvest('[{"segments": {"sentence": "x y"}}, {"text": ["no"], "results": null}, {"text": "z"}]') == "x yz"
+    assert harvest('{"text": "b", "result": {"text": "a"}, "nbest": [{"sentence": "c"}]}') == "bac"
+    assert [harvest(x) for x in (None, "", "{", "3", '"text"', "[" * 100_000)] == [""] * 6
+    deep = '{"data": ' * 400 + '{"text": "deep"}' + "}" * 400
+    assert harvest(deep) == "deep"
