@@ -99,10 +99,31 @@ def load_glossary(rows: DataFrame) -> Glossary:
     return Glossary(tuple(rules), tuple(names.items()), tuple(ascii_names), tuple(words), tuple(confusions))
 
 
+# What a character after a backslash stands for; before others the backslash stays.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\\": "\\", "'": "'", '"': '"'}
+ESCAPE_PARTS = r"(?s)\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\.|[^\\]+|\\$"
+
+
 def _unquoted(token: Column) -> Column:
+    """The text of a quoted string: its escapes are read from left to right, once each.
+
+    Code points are put together from UTF-16 units, so that two escapes can make one character.
+    """
+
+    def units(part: Column, digits: int) -> Column:
+        return F.lpad(F.substring(part, F.lit(3), F.lit(digits)), 4, "0")
+
+    def told(part: Column) -> Column:
+        second = F.substring(part, 2, 1)
+        plain = F.element_at(F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair]), second)
+        code = F.when(part.rlike(r"^\\u[0-9a-fA-F]{4}$"), units(part, 4)).when(part.rlike(r"^\\x[0-9a-fA-F]{2}$"), units(part, 2))
+        # whatever is no escape is turned into UTF-16 as well, so that the whole is decoded at once
+        rest = F.when(~F.startswith(part, F.lit("\\")), part).otherwise(F.coalesce(plain, part))
+        return F.coalesce(code, F.hex(F.encode(rest, "UTF-16BE")))
+
     inner = F.substring(token, F.lit(2), F.length(token) - 2)
-    out = F.replace(F.replace(inner, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
-    return F.trim(F.regexp_replace(out, r"""\\(["'\\])""", "$1"))
+    whole = F.array_join(F.transform(F.regexp_extract_all(inner, F.lit(ESCAPE_PARTS), F.lit(0)), told), "")
+    return F.trim(F.when(F.contains(inner, F.lit("\\")), F.decode(F.unhex(whole), "UTF-16BE")).otherwise(inner))
 
 
 def mine_terms(sources: DataFrame, text: str, *keep: str) -> DataFrame:

@@ -71,3 +71,9 @@ def test_mined_terms(spark):
     text = """a = [{ zh: "焦\\"炭", en: 'coke' }, {zh:'x' , en:"y\\nz"}, {zh: 3}]"""
     rows = gl.mine_terms(spark.createDataFrame([(1, text)], "id int, js string"), "js", "id").collect()
     assert [(r["zh"], r["en"]) for r in rows] == [('焦"炭', "coke"), ("x", "y\nz")]
+
+
+def test_escapes_are_read_once(spark):
+    text = r"""[{zh: "\u7126\u70ad", en: 'a\\n\tb\x41'}, {zh: "\ud83d\ude00 \u0022", en: "漢\q\'"}, {zh: "", en: "plain é"}]"""
+    rows = gl.mine_terms(spark.createDataFrame([(1, text)], "id int, js string"), "js", "id").collect()
+    assert [(r["zh"], r["en"]) for r in rows] == [("焦炭", "a\\n\tbA"), ('😀 "', "漢\\q'"), ("", "plain é")]
