@@ -55,3 +55,28 @@ def test_damage_is_found(spark, documents, tmp_path):
 def test_pieces_join_to_the_text():
     for text in [t for t in AWKWARD if t] + ["a  b", "a   b \n c ", " x", "x \t y"]:
         assert "".join(r.pieces(text)) == text
+
+
+def test_encoder_gathers_what_the_tokenizer_gives(monkeypatch):
+    import pyarrow as pa
+
+    texts = [t for t in AWKWARD if t is not None] + ["a  b", " x", "x \t y", "x\u00a0 y \u3000z", " ", "a <|endoftext|> b", "one two", "two one", "漢字" * 3000]
+    tokenizer = Tokenizer.from_file(PATH)
+    expected = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for limits in ({}, {"MEMO": 2, "JOINED": 5}, {"KEPT_IDS": 3, "SLICE": 10}):
+        for name, value in limits.items():
+            monkeypatch.setattr(r, name, value)
+        encoder, found = r.Encoder(PATH), []
+        batch = pa.RecordBatch.from_pydict({"text": texts * 2})
+        for some in r.slices(batch):
+            ids, stops = encoder.encode(some["text"])
+            found += [ids[a:b].tolist() for a, b in zip([0, *stops], stops)]
+        assert found == expected * 2
+
+
+def test_large_ids_take_four_bytes(spark, documents):
+    docs = documents(["a b", None])
+    wide = r.write_records(docs, PATH, end_id=70_000)
+    got = {x["doc_id"]: list(x["ids"]) for x in r.shuffled(wide, 1, 1).collect()}
+    a_b = Tokenizer.from_file(PATH).encode("a b", add_special_tokens=False).ids
+    assert got == {0: [*a_b, 70_000], 1: [70_000]}
