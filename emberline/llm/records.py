@@ -262,6 +262,11 @@ def _open_records(file: str):
     return stream, np.dtype(f"<u{width}")
 
 
+def one_file_a_task(files: DataFrame) -> DataFrame:
+    """Rows of a manifest are small, but their files are not: a stated number of ranges is not merged by size."""
+    return files.repartitionByRange(max(1, files.count()), "part", "file")
+
+
 def read_index(manifest: DataFrame) -> DataFrame:
     """All index entries: file, position in it, doc_id, offset, n_tokens."""
 
@@ -275,7 +280,7 @@ def read_index(manifest: DataFrame) -> DataFrame:
                 place = np.arange(start, start + len(some))
                 yield pd.DataFrame({"file": file, "place": place, "doc_id": ids, "offset": some["offset"].astype("i8"), "n_tokens": some["n_tokens"].astype("i8")})
 
-    return manifest.select("file").mapInPandas(read, "file string, place long, doc_id long, offset long, n_tokens long")
+    return one_file_a_task(manifest).select("file").mapInPandas(read, "file string, place long, doc_id long, offset long, n_tokens long")
 
 
 def read_at(entries: DataFrame, *keep: str) -> DataFrame:
@@ -333,4 +338,4 @@ def read_digests(manifest: DataFrame) -> DataFrame:
                     ids = pd.Series(some["doc_id"], dtype="Int64").mask(some["is_null"])
                     yield pd.DataFrame({"doc_id": ids, "start": starts, "n_tokens": n, "ids_crc32": crc})
 
-    return files.repartition("file").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return one_file_a_task(files).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
