@@ -57,11 +57,12 @@ def read_words(text: Column) -> Column:
 
     Every replacement leaves white space alone or turns punctuation into it, so that words stay whole.
     """
+    has_number = text.rlike(r"\p{N}")
     text = F.regexp_replace(text, f"[{NAME}-{MAYBE}]", " ")
     text = F.regexp_replace(text, r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", NAME)
     numbers = F.regexp_replace(text, r"(?<![\p{L}\p{N}.,])(?=\p{N})", NUMBER)
     numbers = F.regexp_replace(numbers, rf"(?i)({NUMBER}\S+ )(?=(?:{UNITS})(?![\p{{L}}\p{{N}}]))", "$1" + UNIT)
-    text = F.when(text.rlike(r"\p{N}"), numbers).otherwise(text)
+    text = F.when(has_number, numbers).otherwise(text)
     text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}%{NAME}-{UNIT}])(?=\p{{Lu}}\p{{Ll}})", MAYBE)
     text = F.regexp_replace(F.lower(text), rf"(?:[^\p{{L}}\p{{N}}{NAME}-{MAYBE}\s.,%]|[.,](?!\p{{N}})|(?<!\p{{N}})[.,])+", " ")
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -82,34 +83,48 @@ def _bare(word: Column) -> Column:
     return F.when(F.substring(word, 1, 1).between(NAME, MAYBE), F.substr(word, F.lit(2))).otherwise(word)
 
 
-def readings(words: Column, tpl: Column, kind: int = 0) -> Column:
-    """Hashes, seeded with the kind of window, of a window with each of its slots read as slot and as word: at most two to the power of its length."""
+def with_keys(rows: DataFrame, words: str) -> DataFrame:
+    """Adds the hashes of the words, ``word_keys``, and of their templates, ``slot_keys``; both are equal where a word is no slot."""
+    keys = F.transform(words, lambda w: F.xxhash64(_bare(w))), F.transform(words, lambda w: F.xxhash64(template(w)))
+    return rows.withColumns({"word_keys": keys[0], "slot_keys": keys[1]})
 
-    def with_word(found: Column, word: Column) -> Column:
-        plain = F.transform(found, lambda r: F.concat(r, F.array(_bare(word))))
-        slots = F.transform(found, lambda r: F.concat(r, F.array(template(word))))
-        return F.when(template(word) == word, plain).otherwise(F.concat(plain, slots))
 
-    every = F.aggregate(words, F.array(F.array().cast("array<string>")), with_word)
-    plain = ~F.arrays_overlap(tpl, F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT)))
-    return F.when(plain, F.array(F.xxhash64(F.lit(kind), tpl))).otherwise(F.transform(every, lambda r: F.xxhash64(F.lit(kind), r)))
+def readings(first: Column, length: int, kind: int = 0) -> Column:
+    """Hashes of the window of ``length`` words from place ``first``, with each of its slots read as slot and as word: at most two to the power of its length.
+
+    A window's hash starts with its kind and takes in the hash of one word after another.
+    """
+    word, slot = F.col("word_keys"), F.col("slot_keys")
+
+    def with_word(found: Column, i: Column) -> Column:
+        plain = F.transform(found, lambda r: F.xxhash64(r, F.get(word, i)))
+        slots = F.transform(found, lambda r: F.xxhash64(r, F.get(slot, i)))
+        return F.when(F.get(word, i) == F.get(slot, i), plain).otherwise(F.concat(plain, slots))
+
+    start = F.lit(kind).cast("long")
+    one = start
+    for i in range(length):
+        one = F.xxhash64(one, F.get(word, first + i))
+    every = F.aggregate(F.sequence(first, first + length - 1), F.array(start), with_word)
+    no_slot = F.slice(word, first + 1, length) == F.slice(slot, first + 1, length)
+    return F.when(no_slot, F.array(one)).otherwise(every)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """hash, item_id, item_at and the item's words, for every reading of every window of every item of at least ``RUN`` words."""
     items = benchmark.select("item_id", read_words(text_of()).alias("item")).filter(F.size("item") >= RUN)
-    items = items.withColumn("tpl", F.transform("item", template))
-    places = F.sequence(F.lit(1), F.size("item") - ANCHOR + 1)
-    at = F.posexplode(F.transform(places, lambda p: readings(F.slice("item", p, ANCHOR), F.slice("tpl", p, ANCHOR))))
+    places = F.sequence(F.lit(0), F.size("item") - ANCHOR)
+    at = F.posexplode(F.transform(places, lambda p: readings(p, ANCHOR)))
+    items = with_keys(items, "item")
     return items.select("item_id", "item", at.alias("item_at", "hashes")).select("item_id", "item", "item_at", F.explode("hashes").alias("hash"))
 
 
 def short_items(benchmark: DataFrame) -> DataFrame:
     """As ``item_windows``, for the first words of items of less than ``RUN`` words; with the window's length."""
     items = benchmark.select("item_id", read_words(text_of()).alias("item")).filter(F.size("item").between(1, RUN - 1))
-    first = F.slice("item", 1, ANCHOR)
-    items = items.select("item_id", "item", F.lit(0).alias("item_at"), F.size(first).alias("length"), first.alias("words"))
-    return items.select("item_id", "item", "item_at", F.explode(readings(F.col("words"), F.transform("words", template), 1)).alias("hash"), "length")
+    items = with_keys(items, "item").withColumn("length", F.least(F.size("item"), F.lit(ANCHOR)))
+    hashes = F.coalesce(*(F.when(F.col("length") == n, readings(F.lit(0), n, 1)) for n in range(1, ANCHOR + 1)))
+    return items.select("item_id", "item", F.lit(0).alias("item_at"), F.explode(hashes).alias("hash"), "length")
 
 
 def document_windows(docs: DataFrame, lengths: list[int] | None = None) -> DataFrame:
@@ -118,13 +133,13 @@ def document_windows(docs: DataFrame, lengths: list[int] | None = None) -> DataF
     With ``lengths`` (of short items) also windows of these at every place.
     """
     words = docs.select(F.col("doc_id"), F.xxhash64(text_of()).alias("text_hash"), read_words(text_of()).alias("words"))
-    words = words.filter(F.size("words") >= min([RUN, *(lengths or [])])).withColumn("tpl", F.transform("words", template))
+    # texts with too few words have no places below; a filter here would read the words of each text twice
+    words = with_keys(words, "words")
 
     def window(p: Column, length: int, before: int, kind: int) -> Column:
         first = F.greatest(p - before, F.lit(0))
         around = F.slice("words", first + 1, p - first + ANCHOR + STRIDE - 1)
-        hashes = readings(F.slice("words", p + 1, length), F.slice("tpl", p + 1, length), kind)
-        return F.struct(p.alias("at"), hashes.alias("hashes"), (p - first).alias("skip"), around.alias("around"))
+        return F.struct(p.alias("at"), readings(p, length, kind).alias("hashes"), (p - first).alias("skip"), around.alias("around"))
 
     def windows(length: int, step: int, before: int, kind: int, least: int) -> DataFrame:
         places = F.when(F.size("words") >= least, F.sequence(F.lit(0), F.size("words") - length, F.lit(step)))
