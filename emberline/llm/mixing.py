@@ -3,14 +3,16 @@
 Each source's documents are put in a shuffled order, which repeats, and that stream of words is cut into
 blocks of equal size.  Slots of the mix are numbered; slot k has the point frac((k + 1/2) / golden ratio),
 and the cumulative target shares map points to sources.  The slots of a source, ranked, take its blocks
-one after another.  Any prefix of the slots is thus close to the targets, with an error of a few blocks.
-The last block of a source is cut where its target ends; blocks for which the schedule has no slot left
-come after it.
+one after another, so that the number of its slots decides how many words it gives.  Any prefix of the slots
+is thus close to the targets, with an error of a few blocks.  The mix has as many slots as there are blocks
+in the targets.  The last block of a source is trimmed where its target ends, or filled up towards the target
+with at most one block more; a source too small for a slot gives its words, less than a block, after the last slot.
 
 Running sums go over buckets of a source and then within buckets, so that no task holds a whole source.
 Null texts have no words, null sources are one source, rows without words take none, and rows with equal
-ids are rows of their own.  Where nothing has a word, all targets are 0.  Results depend on ids and texts
-alone and not on partitions.
+ids are rows of their own.  Where nothing has a word, all targets are 0; an empty table gives no row.  Results
+depend on ids and texts alone and not on partitions.  Of other columns ``mix`` reads none, and ``mixed_documents``
+returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -78,31 +80,41 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return running(found, "source_no", "stretch", ["slot"], F.lit(1), "rank").select("slot", "source_no", "rank")
 
 
+def words_of_slots(sources: DataFrame, slots: DataFrame, block: int) -> DataFrame:
+    """Adds n_slots, the slots of each source, and ends, the words that they take; one row per source."""
+    counted = slots.groupBy("source_no").agg(F.count("slot").alias("n_slots"))
+    sources = sources.join(counted, "source_no", "left").withColumn("n_slots", F.coalesce("n_slots", F.lit(0)))
+    return sources.withColumn("ends", F.least(F.floor("target"), (F.col("n_slots") + 1) * block))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, the first slot that takes from it, and its
-    place in the shuffled order of its source (``source_no``, ``key``), with whether each epoch takes its start (``epochs``)."""
+    """Per document: doc_id, size, source_size, target, taken, the first slot that takes from it (null where none does;
+    the order in which to write the mix), its place in the shuffled order of its source (``source_no``, ``key``), and
+    how many epochs take its start (``epochs``)."""
     sizes = written(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size")), "sizes")
     sources = written(targets(sizes, weights, share, most), "sources")
     total = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     block = max(LEAST_BLOCK, int(total // SLOTS))
-    slots = int(total // block) + 1
+    n_slots = -int(-total // block)
+    slots = written(schedule(sources, n_slots), "slots")
+    sources = written(words_of_slots(sources, slots, block), "source-words")
     sizes = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).drop("source")
     sizes = sizes.withColumn("key", shuffle_key(F.col("doc_id"), F.col("size"))).withColumn("bucket", F.pmod(F.shiftright("key", 40), F.lit(BUCKETS)))
     placed = running(sizes, "source_no", "bucket", ["key", "doc_id", "size"], F.col("size"), "at")
     inside = Window.partitionBy("source_no", "bucket").orderBy("key", "doc_id", "size")
-    placed = placed.withColumn("nth", F.row_number().over(inside)).withColumn("ends", F.floor("target"))
+    placed = placed.withColumn("nth", F.row_number().over(inside))
 
-    # the parts of a document in each block of each epoch, as far as the target goes
+    # the parts of a document in each block of each epoch, as far as the slots go; what fills the last block belongs to it
     epochs = placed.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.col("at") + e * F.col("source_size"))))
     stop = F.least(F.col("start") + F.col("size"), F.col("ends"))
     epochs = epochs.withColumn("taken", F.col("start") < F.col("ends")).withColumn("stop", stop)
     blocks = F.when(F.col("start") < F.col("stop"), F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block)))
-    parts = epochs.withColumn("rank", F.explode_outer(blocks))
-    words = F.least("stop", (F.col("rank") + 1) * block) - F.greatest("start", F.col("rank") * block)
-    parts = parts.withColumn("words", F.when(F.col("rank").isNull(), 0).otherwise(words).cast("long"))
-    parts = parts.join(schedule(sources, slots + slots // 64 + 64), ["source_no", "rank"], "left")
+    parts = epochs.withColumn("nth_block", F.explode_outer(blocks))
+    words = F.least("stop", (F.col("nth_block") + 1) * block) - F.greatest("start", F.col("nth_block") * block)
+    parts = parts.withColumn("words", F.when(F.col("nth_block").isNull(), 0).otherwise(words).cast("long"))
+    parts = parts.withColumn("rank", F.least("nth_block", F.col("n_slots") - 1)).join(slots, ["source_no", "rank"], "left")
     row = ["doc_id", "size", "source_no", "source_size", "target", "key", "bucket", "nth", "at"]
-    slot = F.when(F.col("words") > 0, F.coalesce("slot", F.lit(slots * 2) + F.col("rank")))
+    slot = F.when(F.col("words") > 0, F.coalesce("slot", F.lit(n_slots) + F.col("source_no")))
     return parts.groupBy(*row).agg(
         F.sum("words").alias("taken"), F.min(slot).alias("first_slot"), F.count_distinct(F.when(F.col("taken"), F.col("start"))).alias("epochs")
     )
@@ -115,16 +127,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     row of two places per source is joined with the documents, which do not move.
     """
     place = F.struct("key", "doc_id", "size")
-    chosen = mix(docs, **options)
-    cuts = chosen.groupBy("source_no").agg(*(F.max(F.when(F.col("epochs") > e, place)).alias(f"_cut{e}") for e in range(options.get("most", 2))))
-    names = docs.select(F.col("source").cast("string").alias("_source")).distinct()
-    number = F.row_number().over(Window.orderBy(F.col("_source").isNull(), "_source")) - 1
+    chosen, most = mix(docs, **options), options.get("most", 2)
+    cut = [F.max(F.when(F.col("epochs") > e, place)).alias(f"cut{e}") for e in range(most)]
+    cuts = chosen.groupBy("source_no").agg(F.array(*cut).alias("cuts"))
+    names = docs.select(F.col("source").cast("string").alias("source_name")).distinct()
+    number = F.row_number().over(Window.orderBy(F.col("source_name").isNull(), "source_name")) - 1
     cuts = written(names.withColumn("source_no", number).join(cuts, "source_no").drop("source_no"), "cuts")
-    n = word_count(text_of())
-    here = F.struct(shuffle_key(F.col("doc_id"), n).alias("key"), F.col("doc_id"), n.alias("size"))
-    times = sum((F.coalesce((here <= F.col(c)).cast("int"), F.lit(0)) for c in cuts.columns if c.startswith("_cut")), F.lit(0))
-    rows = docs.join(F.broadcast(cuts) if cuts.count() <= 100_000 else cuts, docs["source"].cast("string").eqNullSafe(cuts["_source"]))
-    return rows.withColumn("_times", F.explode(F.sequence(F.lit(0), times))).filter("_times > 0").select(*[docs[c] for c in docs.columns])
+    # all columns as one, so that theirs are the only names beside those below
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    n = word_count(F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    here = F.struct(shuffle_key(F.col("row.doc_id"), n).alias("key"), F.col("row.doc_id").alias("doc_id"), n.alias("size"))
+    rows = whole.withColumn("here", here)
+    rows = rows.join(F.broadcast(cuts) if cuts.count() <= 100_000 else cuts, F.col("row.source").cast("string").eqNullSafe(F.col("source_name")))
+    reached = F.filter("cuts", lambda c: F.coalesce(F.col("here") <= c, F.lit(False)))
+    return rows.withColumn("time", F.explode(reached)).select("row.*")
 
 
 OP9_SQL = """
@@ -140,12 +156,24 @@ levels as (
       - coalesce(sum(fill) over (order by fill::double / weight, source_no rows between unbounded preceding and 1 preceding), 0)::double)
       / (sum(weight) over (order by fill::double / weight, source_no rows between current row and unbounded following))::double as level
   from weighed),
-aims as (select source, source_size, least((max(level) over ()) * weight, fill::double) as target from levels),
+aims as (select source, source_no, source_size, least((max(level) over ()) * weight, fill::double) as target from levels),
+sums as (select greatest({least}, (sum(target) // {slots})::bigint) as block, sum(target) as total from aims),
+shares as (
+  select source_no, sum(target) over (order by source_no) / sum(target) over () as high,
+    coalesce(sum(target) over (order by source_no rows between unbounded preceding and 1 preceding), 0) / sum(target) over () as low
+  from aims where target > 0),
+points as (
+  select (k + 0.5::double) * {golden}::double - floor((k + 0.5::double) * {golden}::double) as point
+  from (select unnest(range(ceil(total / block)::bigint)) as k from sums)),
+slots as (select s.source_no, count(*) as n_slots from points p join shares s on p.point >= s.low and p.point < s.high group by s.source_no),
+words as (
+  select a.*, least(floor(target)::bigint, (coalesce(n_slots, 0) + 1) * block) as ends
+  from aims a left join slots s on a.source_no = s.source_no cross join sums),
 placed as (
-  select k.doc_id, k.size, a.source_size, a.target, floor(a.target)::bigint as ends,
+  select k.doc_id, k.size, a.source_size, a.target, a.ends,
     coalesce(sum(k.size) over (partition by k.source order by k.key, k.doc_id, k.size rows between unbounded preceding and 1 preceding), 0)::bigint as pos
-  from keyed k join aims a on k.source is not distinct from a.source)
+  from keyed k join words a on k.source is not distinct from a.source)
 select doc_id, size, source_size, target,
   (greatest(0, least(pos + size, ends) - pos) + greatest(0, least(pos + source_size + size, ends) - pos - source_size))::bigint as taken
 from placed
-"""
+""".replace("{least}", str(LEAST_BLOCK)).replace("{slots}", str(SLOTS)).replace("{golden}", str(GOLDEN))

@@ -28,6 +28,9 @@ def test_mix_keeps_the_contract(spark, documents):
     assert copies.columns == docs.columns
     words = sum(len(r["text"].encode().split()) for r in copies.collect() if r["text"])
     assert abs(words - sum(t for _, t in by)) <= 20_000 * len(by)
+    clashing = docs.withColumns({name: docs["lang"] for name in ("row", "cuts", "time", "here", "_cut0", "source_name", "key")})
+    assert m.mixed_documents(clashing).columns == clashing.columns
+    assert m.mixed_documents(clashing).count() == copies.count()
     assert m.mix(docs.filter("false")).count() == 0 and m.mixed_documents(docs.filter("false")).count() == 0
     nothing = m.mix(documents([None, "", " "]))
     assert [(r["taken"], r["target"]) for r in nothing.collect()] == [(0, 0.0)] * 3
@@ -41,3 +44,18 @@ def test_any_prefix_of_the_schedule_is_close(spark):
         for source, share in ((0, 0.7), (1, 0.2), (2, 0.09), (3, 0.01)):
             assert abs(sum(s[1] == source for s in slots[:stop]) - share * stop) <= 4
     assert all(rank == sum(b == s for _, b, _ in slots[:i]) for i, (_, s, rank) in list(enumerate(slots))[:800])
+
+
+def test_slots_decide_what_is_taken(spark):
+    sources = spark.createDataFrame([(0, 1000.5), (1, 1000.5), (2, 1000.5), (3, 5.5)], "source_no long, target double")
+    slots = spark.createDataFrame([(s, 0, n) for n, s in enumerate([0] * 10 + [1] * 9 + [2] * 4)], "source_no long, rank long, slot long")
+    found = {r["source_no"]: (r["n_slots"], r["ends"]) for r in m.words_of_slots(sources, slots, 100).collect()}
+    # trimmed at the target, filled up to it, filled by one block, and less than a block without a slot
+    assert found == {0: (10, 1000), 1: (9, 1000), 2: (4, 500), 3: (0, 5)}
+
+
+def test_first_slots_follow_the_shuffled_order(spark, documents):
+    rows = m.mix(documents(["w " * 90 for _ in range(200)], ["a", "b"] * 100)).orderBy("source_no", "key").collect()
+    for source in (0, 1):
+        places = [r["first_slot"] for r in rows if r["source_no"] == source and r["first_slot"] is not None]
+        assert places and places == sorted(places)
