@@ -45,6 +45,7 @@ RUN = ANCHOR + STRIDE - 1
 BROADCAST_ROWS = 4_000_000  # longs
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"  # mark slots in front of their value
 MAYBE = "\ue003"  # marks words that are a name or a plain word
+MARKS_END = "\ue004"  # marked words sort from NAME up to here, as UTF-8 bytes
 UNITS = (
     "mm|cm|m|km|inch|inches|foot|feet|yards|mile|miles|mg|g|kg|oz|lb|lbs|pound|pounds|ton|tons|ml|l|litre|litres|liter|liters|gallons|"
     "second|seconds|minute|minutes|hour|hours|day|days|week|weeks|month|months|year|years|dollar|dollars|cents|euro|euros|percent|%|"
@@ -56,16 +57,17 @@ def read_words(text: Column) -> Column:
     """Words in lower case without punctuation, slots and possible names with their mark in front.
 
     Every replacement leaves white space alone or turns punctuation into it, so that words stay whole.
+    Patterns look at the character that comes next first, which rules most places out at once.
     """
     has_number = text.rlike(r"\p{N}")
     text = F.regexp_replace(text, f"[{NAME}-{MAYBE}]", " ")
-    text = F.regexp_replace(text, r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", NAME)
-    numbers = F.regexp_replace(text, r"(?<![\p{L}\p{N}.,])(?=\p{N})", NUMBER)
+    text = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] )", NAME)
+    numbers = F.regexp_replace(text, r"(?=\p{N})(?<![\p{L}\p{N}.,])", NUMBER)
     numbers = F.regexp_replace(numbers, rf"(?i)({NUMBER}\S+ )(?=(?:{UNITS})(?![\p{{L}}\p{{N}}]))", "$1" + UNIT)
     text = F.when(has_number, numbers).otherwise(text)
-    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}%{NAME}-{UNIT}])(?=\p{{Lu}}\p{{Ll}})", MAYBE)
-    text = F.regexp_replace(F.lower(text), rf"(?:[^\p{{L}}\p{{N}}{NAME}-{MAYBE}\s.,%]|[.,](?!\p{{N}})|(?<!\p{{N}})[.,])+", " ")
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    text = F.regexp_replace(text, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}%{NAME}-{UNIT}])", MAYBE)
+    text = F.regexp_replace(F.lower(text), rf"(?=[^a-z\s])(?:[^\p{{L}}\p{{N}}{NAME}-{MAYBE}\s.,%]|[.,](?!\p{{N}})|(?<!\p{{N}})[.,])+", " ")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def marked_words(text: Column) -> Column:
@@ -75,18 +77,22 @@ def marked_words(text: Column) -> Column:
 
 def template(word: Column) -> Column:
     """The mark of a slot, that of a name also for a possible name, or the plain word."""
-    first = F.substring(word, 1, 1)
-    return F.when(first == MAYBE, NAME).when(first.between(NAME, UNIT), first).otherwise(word)
+    first = F.when(word >= MAYBE, NAME).otherwise(F.substring(word, 1, 1))
+    return F.when(_marked(word), first).otherwise(word)
+
+
+def _marked(word: Column) -> Column:
+    return (word >= NAME) & (word < MARKS_END)
 
 
 def _bare(word: Column) -> Column:
-    return F.when(F.substring(word, 1, 1).between(NAME, MAYBE), F.substr(word, F.lit(2))).otherwise(word)
+    return F.when(_marked(word), F.substr(word, F.lit(2))).otherwise(word)
 
 
 def with_keys(rows: DataFrame, words: str) -> DataFrame:
     """Adds the hashes of the words, ``word_keys``, and of their templates, ``slot_keys``; both are equal where a word is no slot."""
-    keys = F.transform(words, lambda w: F.xxhash64(_bare(w))), F.transform(words, lambda w: F.xxhash64(template(w)))
-    return rows.withColumns({"word_keys": keys[0], "slot_keys": keys[1]})
+    rows = rows.withColumn("word_keys", F.transform(words, lambda w: F.xxhash64(_bare(w))))
+    return rows.withColumn("slot_keys", F.zip_with(words, "word_keys", lambda w, key: F.when(_marked(w), F.xxhash64(template(w))).otherwise(key)))
 
 
 def readings(first: Column, length: int, kind: int = 0) -> Column:
