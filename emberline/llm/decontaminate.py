@@ -183,7 +183,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, short: bool = False) -> DataF
         at = (F.col("item_at") + i - F.col("skip")).alias("at")
         return F.struct(at, same.alias("same"), equal.alias("equal"), slot.alias("slot"), surely.alias("surely"), _bare(theirs).alias("item"), _bare(ours).alias("doc"))
 
-    pairs = hits.withColumn("first", first).withColumn("pairs", F.transform(F.sequence(first, last), pair))
+    pairs = hits.withColumn("first", first).withColumn("pairs", once(F.transform(F.sequence(first, last), pair)))
     left, right = F.reverse(F.slice("pairs", F.lit(1), F.col("skip") - F.col("first"))), F.slice("pairs", F.col("skip") - F.col("first") + 1, 1 << 20)
 
     def reach(side: Column) -> Column:
@@ -195,13 +195,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, short: bool = False) -> DataF
     runs = runs.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("offset"), "need", run.alias("run"))
     # an item's words bound each group
     whole = runs.groupBy("doc_id", "text_hash", "item_id", "offset", "need").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("run")))).alias("run"))
-    whole = whole.withColumn("evidence", evidence(F.col("run"), F.col("need")))
+    whole = whole.withColumn("evidence", once(evidence(F.col("run"), F.col("need")))).filter(F.size("evidence") > 0)
     kept = F.filter("run", lambda x, i: F.exists("evidence", lambda e: (e["first"] <= i) & (i <= e["last"])))
-    whole = whole.withColumn("run", kept).filter(F.size("run") > 0)
+    whole = whole.withColumn("run", once(kept))
     n_slots, changed = F.size(F.filter("run", lambda x: x["slot"])), F.size(F.filter("run", lambda x: ~x["equal"]))
     return whole.select("doc_id", "text_hash", "item_id", "offset", F.size("run").alias("matched_words"), n_slots.alias("n_slots"), changed.alias("n_changed"))
 
 
+def once(value: Column) -> Column:
+    """The value, as a generator of one row: what uses it, filters too, reads it and does not compute it again."""
+    return F.explode_outer(F.array(value))
+
+
 def stretches(run: Column, ok: Callable[[Column], Column]) -> Column:
     """The first and last places of all longest stretches of neighbouring words that are ``ok``."""
 
