@@ -67,11 +67,18 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return (number_of(F.coalesce(key.cast("string"), F.lit(""))) % slots).cast("int")
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
 def place(docs: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """``docs`` with ``slot`` and ``shard``, which replace columns of these names.  The broadcast has ``slots`` rows."""
-    table = lookup_table(docs.sparkSession, shards, slots).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
+    """``docs`` with ``slot`` and ``shard``, which replace columns of these names; all others stay, whatever their names.  The broadcast has ``slots`` rows."""
+    number, name = _unused("_slot", docs.columns), _unused("_shard", docs.columns)
+    table = lookup_table(docs.sparkSession, shards, slots).select(F.col("slot").alias(number), F.col("shard").alias(name))
     rows = docs.withColumn("slot", slot_of(F.col(key), slots))
-    return rows.join(F.broadcast(table), rows["slot"] == table["_slot"]).withColumn("shard", F.col("_shard")).drop("_slot", "_shard")
+    return rows.join(F.broadcast(table), rows["slot"] == table[number]).withColumn("shard", F.col(name)).drop(number, name)
 
 
 def write_shards(placed: DataFrame, path: str, files: int = 8) -> None:

@@ -52,3 +52,9 @@ def test_documents_keep_their_columns(spark, documents, tmp_path):
     assert p.place(docs.filter("false")).count() == 0
     plan = placed._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a", "b", "c"), (None, None, None, None)], "doc_id long, _shard string, _slot string, shard string")
+    rows = {r["doc_id"]: r for r in p.place(docs).collect()}
+    assert (rows[1]["_shard"], rows[1]["_slot"]) == ("a", "b") and rows[1]["shard"].startswith("shard-") and len(rows) == 2
