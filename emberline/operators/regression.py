@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.numbers import round_binary
@@ -16,6 +16,7 @@ from emberline.operators.blend import FEATURES
 
 TARGETS = ("cri", "csr")
 SEED = 42
+FOLDS = 5  # one of them is held out
 
 
 def regressors() -> dict:
@@ -45,11 +46,16 @@ def predict(features: DataFrame, models: dict[str, PipelineModel], name: str) ->
     )
 
 
-def scores(training: DataFrame, name: str) -> DataFrame:
-    """Fit both targets on the rows and report the errors on them."""
+def held_out(key: Column) -> Column:
+    """Whether a row is for testing: a fifth of the keys, by their checksum."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
+
+
+def scores(rows: DataFrame, name: str, key: str = "blend_id") -> DataFrame:
+    """Fit both targets on the rows that are not held out, and report the errors on those that are."""
     out = None
     for target in TARGETS:
-        fitted = fit(training, name, target).transform(training)
+        fitted = fit(rows.filter(~held_out(F.col(key))), name, target).transform(rows.filter(held_out(F.col(key))))
         error = F.col(target) - F.col(f"{target}_pred")
         row = fitted.agg(
             F.count("*").alias("rows"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae")
