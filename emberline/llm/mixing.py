@@ -3,10 +3,10 @@
 Each source's documents are put in a shuffled order, which repeats, and that stream of words is cut into
 blocks of equal size.  Slots of the mix are numbered; slot k has the point frac((k + 1/2) / golden ratio),
 and the cumulative target shares map points to sources.  The slots of a source, ranked, take its blocks
-one after another, so that the number of its slots decides how many words it gives.  Any prefix of the slots
-is thus close to the targets, with an error of a few blocks.  The mix has as many slots as there are blocks
-in the targets.  The last block of a source is trimmed where its target ends, or filled up towards the target
-with at most one block more; a source too small for a slot gives its words, less than a block, after the last slot.
+one after another, until its target is reached.  Any prefix of the slots is thus close to the targets, with an
+error of a few blocks.  The schedule has as many slots as there are blocks in the targets; blocks that are left when it
+ends, a few per source, get closing slots after it, so that each source gives its whole target.  The last block of a
+source is trimmed where its target ends.
 
 Running sums go over buckets of a source and then within buckets, so that no task holds a whole source.
 Null texts have no words, null sources are one source, rows without words take none, and rows with equal
@@ -80,6 +80,17 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return running(found, "source_no", "stretch", ["slot"], F.lit(1), "rank").select("slot", "source_no", "rank")
 
 
+def closing(sources: DataFrame, slots: DataFrame, block: int, n_slots: int) -> DataFrame:
+    """``slots`` and, after the ``n_slots`` of them, a slot for each block of a target that none of them takes."""
+    counted = slots.groupBy("source_no").agg(F.count("slot").alias("n"))
+    n_sources = sources.count()
+    left = sources.join(counted, "source_no", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    left = left.withColumn("blocks", F.ceil(F.floor("target") / block)).filter("blocks > n")
+    left = left.select("source_no", "n", F.explode(F.sequence("n", F.col("blocks") - 1)).alias("rank"))
+    slot = n_slots + (F.col("rank") - F.col("n")) * n_sources + F.col("source_no")
+    return slots.unionByName(left.select(slot.alias("slot"), "source_no", "rank"))
+
+
 def words_of_slots(sources: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     """Adds n_slots, the slots of each source, and ends, the words that they take; one row per source."""
     counted = slots.groupBy("source_no").agg(F.count("slot").alias("n_slots"))
@@ -97,6 +108,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     block = max(LEAST_BLOCK, int(total // SLOTS))
     n_slots = -int(-total // block)
     slots = written(schedule(sources, n_slots), "slots")
+    slots = written(closing(sources, slots, block, n_slots), "all-slots")
     sources = written(words_of_slots(sources, slots, block), "source-words")
     sizes = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).drop("source")
     sizes = sizes.withColumn("key", shuffle_key(F.col("doc_id"), F.col("size"))).withColumn("bucket", F.pmod(F.shiftright("key", 40), F.lit(BUCKETS)))
@@ -104,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     inside = Window.partitionBy("source_no", "bucket").orderBy("key", "doc_id", "size")
     placed = placed.withColumn("nth", F.row_number().over(inside))
 
-    # the parts of a document in each block of each epoch, as far as the slots go; what fills the last block belongs to it
+    # the parts of a document in each block of each epoch, as far as the target goes
     epochs = placed.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.col("at") + e * F.col("source_size"))))
     stop = F.least(F.col("start") + F.col("size"), F.col("ends"))
     epochs = epochs.withColumn("taken", F.col("start") < F.col("ends")).withColumn("stop", stop)
@@ -112,9 +124,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     parts = epochs.withColumn("nth_block", F.explode_outer(blocks))
     words = F.least("stop", (F.col("nth_block") + 1) * block) - F.greatest("start", F.col("nth_block") * block)
     parts = parts.withColumn("words", F.when(F.col("nth_block").isNull(), 0).otherwise(words).cast("long"))
-    parts = parts.withColumn("rank", F.least("nth_block", F.col("n_slots") - 1)).join(slots, ["source_no", "rank"], "left")
+    parts = parts.withColumnRenamed("nth_block", "rank").join(slots, ["source_no", "rank"], "left")
     row = ["doc_id", "size", "source_no", "source_size", "target", "key", "bucket", "nth", "at"]
-    slot = F.when(F.col("words") > 0, F.coalesce("slot", F.lit(n_slots) + F.col("source_no")))
+    slot = F.when(F.col("words") > 0, F.col("slot"))
     return parts.groupBy(*row).agg(
         F.sum("words").alias("taken"), F.min(slot).alias("first_slot"), F.count_distinct(F.when(F.col("taken"), F.col("start"))).alias("epochs")
     )
@@ -156,24 +168,12 @@ levels as (
       - coalesce(sum(fill) over (order by fill::double / weight, source_no rows between unbounded preceding and 1 preceding), 0)::double)
       / (sum(weight) over (order by fill::double / weight, source_no rows between current row and unbounded following))::double as level
   from weighed),
-aims as (select source, source_no, source_size, least((max(level) over ()) * weight, fill::double) as target from levels),
-sums as (select greatest({least}, (sum(target) // {slots})::bigint) as block, sum(target) as total from aims),
-shares as (
-  select source_no, sum(target) over (order by source_no) / sum(target) over () as high,
-    coalesce(sum(target) over (order by source_no rows between unbounded preceding and 1 preceding), 0) / sum(target) over () as low
-  from aims where target > 0),
-points as (
-  select (k + 0.5::double) * {golden}::double - floor((k + 0.5::double) * {golden}::double) as point
-  from (select unnest(range(ceil(total / block)::bigint)) as k from sums)),
-slots as (select s.source_no, count(*) as n_slots from points p join shares s on p.point >= s.low and p.point < s.high group by s.source_no),
-words as (
-  select a.*, least(floor(target)::bigint, (coalesce(n_slots, 0) + 1) * block) as ends
-  from aims a left join slots s on a.source_no = s.source_no cross join sums),
+aims as (select source, source_size, least((max(level) over ()) * weight, fill::double) as target from levels),
 placed as (
-  select k.doc_id, k.size, a.source_size, a.target, a.ends,
+  select k.doc_id, k.size, a.source_size, a.target, floor(a.target)::bigint as ends,
     coalesce(sum(k.size) over (partition by k.source order by k.key, k.doc_id, k.size rows between unbounded preceding and 1 preceding), 0)::bigint as pos
-  from keyed k join words a on k.source is not distinct from a.source)
+  from keyed k join aims a on k.source is not distinct from a.source)
 select doc_id, size, source_size, target,
   (greatest(0, least(pos + size, ends) - pos) + greatest(0, least(pos + source_size + size, ends) - pos - source_size))::bigint as taken
 from placed
-""".replace("{least}", str(LEAST_BLOCK)).replace("{slots}", str(SLOTS)).replace("{golden}", str(GOLDEN))
+"""

@@ -59,3 +59,23 @@ def test_first_slots_follow_the_shuffled_order(spark, documents):
     for source in (0, 1):
         places = [r["first_slot"] for r in rows if r["source_no"] == source and r["first_slot"] is not None]
         assert places and places == sorted(places)
+
+
+def test_sources_give_their_whole_target_whatever_their_slots(spark, documents):
+    # 400 small sources whose targets take several blocks, and often fewer slots than that
+    sources = [f"s{i % 400:03d}" for i in range(2000)]
+    docs = documents([f"w{i} " * (40 + i % 400 % 90) for i in range(2000)], sources)
+    rows = m.mix(docs).collect()
+    given, wanted = {}, {}
+    for r in rows:
+        given[r["source_no"]] = given.get(r["source_no"], 0) + r["taken"]
+        wanted[r["source_no"]] = int(r["target"] // 1)
+    assert len(wanted) == 400 and given == wanted
+    assert all((r["first_slot"] is not None) == (r["taken"] > 0) for r in rows)
+
+
+def test_closing_slots_follow_the_schedule(spark):
+    sources = spark.createDataFrame([(0, 1000.5), (1, 1000.5), (2, 5.5), (3, 0.0)], "source_no long, target double")
+    slots = spark.createDataFrame([(n, 0, n) for n in range(10)] + [(n, 1, n - 10) for n in range(10, 18)], "slot long, source_no long, rank long")
+    found = sorted(map(tuple, m.closing(sources, slots, 100, 18).collect()))[18:]
+    assert found == [(19, 1, 8), (20, 2, 0), (23, 1, 9)]
