@@ -3,30 +3,36 @@
 A scenario is one row with its components in an array.  Shares are whole steps of ``1 / steps``, placed
 one component after the other; a partial blend goes on only while the steps left can still be placed and
 every limit can still be kept by some choice of the remaining components (their least and greatest
-values bound what can come).  No limit is ever dropped.  Two ways give the same result:
+values bound what can come).  No limit is ever dropped.  Two ways give the same result, and a scenario is
+searched where its row is:
 
-* small groups are spread by ``explode``.  Sums and limits are plain columns, so each level is generated
-  code; all of it is narrow work, and the one shuffle is the final minimum per scenario, combined map-side;
+* groups of few lattice points have all of them computed, for many scenarios of one size at a time;
 * groups of any size go level by level through the undominated partial blends of their scenario.  A partial
   blend is dominated by one with as many steps left that is not dearer and, at each limit that the
   other can still break, not nearer to it; sums of doubles keep that order whatever is added to both.
-  A first run over the cheapest partial blends only gives a cost that no better blend exceeds.
+  A first run over the cheapest partial blends only gives a cost that no better blend exceeds.  Of a large
+  group only components that can be part of the result are searched (see ``cheapest_shares``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from functools import cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.operators.blend import LIMITED_METRICS, stated_limits
 
 EPSILON = 1e-9
-SPREAD_COMPONENTS = 7  # up to which a group is spread
+SPREAD_COMPONENTS = 16  # up to which a group can have all its points computed
+POINTS = 20_000  # lattice points up to which it has
+POINTS_AT_ONCE = 100_000  # of several scenarios
+FIRST = 32  # cheapest components that are searched first
 CLOSE = 2e-6  # costs so close can be equal once they are rounded to six places
 RIVALS = 256  # cheapest partial blends that the others are compared with
 BEAM = 50  # cheapest partial blends per number of steps left in the first run
@@ -50,51 +56,50 @@ def scenario_rows(candidates: DataFrame, properties: DataFrame, limits: DataFram
     """
     asked = candidates.select("scenario_id", "limit_set", "component").distinct()
     joined = asked.join(properties.select("component", "price", *LIMITED_METRICS), "component", "left")
-    sizes = joined.groupBy("scenario_id", "limit_set").agg(
-        F.count("*").alias("n"), F.count("price").alias("n_known")
-    )
-    error = F.when(F.col("n_known") < F.col("n"), F.lit("unknown component"))
-    sizes = sizes.withColumn("error", error).drop("n_known")
-    values = F.array("price", *LIMITED_METRICS)
-    parts = (
-        joined.join(sizes.where("error IS NULL").select("scenario_id"), "scenario_id", "left_semi")
-        .groupBy("scenario_id")
-        .agg(F.array_sort(F.collect_list(F.struct("component", values.alias("v")))).alias("parts"))
-    )
+    # Small rows grow into many partial blends, so the tasks are set by number, not by input size: an
+    # explicit count keeps adaptive execution from merging them.  The groups need no other shuffle.
+    tasks = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.struct("component", F.array("price", *LIMITED_METRICS).alias("v"))
+    grouped = joined.repartition(tasks, "scenario_id").groupBy("scenario_id").agg(F.collect_list(F.struct("limit_set", part.alias("part"))).alias("_rows"))
+    sets = grouped.select("scenario_id", "_rows", F.explode(F.array_distinct(F.transform("_rows", lambda r: r["limit_set"]))).alias("limit_set"))
+    mine = F.filter("_rows", lambda r: r["limit_set"].eqNullSafe(F.col("limit_set")))
+    unknown = F.exists(mine, lambda r: F.get(r["part"]["v"], F.lit(0)).isNull())
+    parts = F.array_sort(F.transform("_rows", lambda r: r["part"]))
+    sizes = sets.select("scenario_id", "limit_set", F.size(mine).cast("long").alias("n"), F.when(unknown, F.lit("unknown component")).alias("error"), parts.alias("parts"))
+    rows = sizes.withColumn("parts", F.when(F.col("error").isNull() & F.col("scenario_id").isNotNull(), F.col("parts")))
     bounds = limit_columns(limits).withColumnRenamed("scenario_id", "limit_set")
-    rows = sizes.join(parts, "scenario_id", "left").join(bounds, "limit_set", "left")
+    rows = rows.join(bounds, "limit_set", "left")
     for metric in LIMITED_METRICS:
         rows = rows.withColumn(f"lo_{metric}", F.coalesce(f"lo_{metric}", F.lit(float("-inf"))))
         rows = rows.withColumn(f"hi_{metric}", F.coalesce(f"hi_{metric}", F.lit(float("inf"))))
     return rows
 
 
-def _tails(at: int, largest: bool) -> Column:
-    """Per level, the least or greatest value of metric ``at`` among the components still to come."""
-    pick = F.array_max if largest else F.array_min
-
-    def rest(level: Column) -> Column:
-        tail = F.slice("parts", level + 1, F.size("parts") - level)
-        return pick(F.transform(tail, lambda p: F.get(p["v"], F.lit(at))))
-
-    return F.transform(F.sequence(F.lit(0), F.size("parts") - 1), rest)
-
-
 def cheapest_on_lattice(scenarios: DataFrame, steps: int = 20, max_share_steps: int = 12, spread_components: int = SPREAD_COMPONENTS) -> DataFrame:
     """The cheapest feasible lattice point per scenario, or a row that says there is none.
 
     Of equal costs (to six places) the least shares in the order of names count.
     """
-    most = min(spread_components, 63 // max_share_steps.bit_length())
-    few, many = scenarios.where(F.col("n") <= most), scenarios.where(F.col("n") > most)
-    found = _spread_search(few, most, steps, max_share_steps).unionByName(_level_search(many, steps, max_share_steps))
-    return scenarios.select("scenario_id", "error", "n", "parts").join(found, "scenario_id", "left").select(
+    names = F.transform("parts", lambda p: p["component"])
+    rows = scenarios.select("scenario_id", "n", "error", names.alias("components"), F.flatten(F.transform("parts", lambda p: p["v"])).alias("values"), *_bounds())
+    passed = ("scenario_id", "n", "error", "components")
+    kinds = dict(rows.dtypes)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, found in _search(batch, steps, max_share_steps, spread_components):
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in passed), found], [*passed, "found"])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in passed) + ", found array<struct<cost: double, shares: array<int>>>"
+    found = rows.mapInArrow(search, schema)
+    rounded = F.transform("found", lambda f: F.struct(F.round(f["cost"], 6).alias("cost"), f["shares"].alias("shares")))
+    return found.withColumn("best", F.array_min(rounded)).select(
         "scenario_id",
         "n",
-        "cost",
-        "shares",
-        F.transform("parts", lambda p: p["component"]).alias("components"),
-        F.coalesce("error", F.when(F.col("cost").isNull(), F.lit("no feasible blend"))).alias("error"),
+        F.col("best.cost").alias("cost"),
+        F.col("best.shares").alias("shares"),
+        "components",
+        F.coalesce("error", F.when(F.col("best.cost").isNull(), F.lit("no feasible blend"))).alias("error"),
         F.lit("lattice").alias("optimizer"),
     )
 
@@ -103,55 +108,70 @@ def _bounds() -> list[str]:
     return [f"{end}_{m}" for m in LIMITED_METRICS for end in ("lo", "hi")]
 
 
-def _spread_search(scenarios: DataFrame, most: int, steps: int, max_share_steps: int) -> DataFrame:
-    """scenario_id, cost and shares by spreading; shares are packed into one long, each in as many bits as ``max_share_steps`` needs."""
-    bits = max_share_steps.bit_length()
-    names = ("price", *LIMITED_METRICS)
-    bounds = _bounds()
-    tails = [f"{end}_tail_{m}" for m in LIMITED_METRICS for end in ("lo", "hi")]
-    fixed = ["scenario_id", "values", "n_parts", *bounds, *tails]
-    # A few bytes per scenario grow into thousands of points, so the tasks are set by number, not by
-    # input size: an explicit count keeps adaptive execution from merging them.
-    tasks = int(scenarios.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frontier = scenarios.where("error IS NULL").repartition(tasks, "scenario_id").select(
-        "scenario_id",
-        F.transform("parts", lambda p: p["v"]).alias("values"),
-        F.size("parts").alias("n_parts"),
-        *bounds,
-        *[
-            _tails(at, end == "hi").alias(f"{end}_tail_{m}")
-            for at, m in enumerate(LIMITED_METRICS, start=1)
-            for end in ("lo", "hi")
-        ],
-        F.lit(steps).alias("left"),
-        F.lit(0).cast("long").alias("packed"),
-        *[F.lit(0.0).alias(f"sum_{m}") for m in names],
-    )
-    for level in range(most):
-        low = F.greatest(F.lit(0), F.col("left") - (F.col("n_parts") - (level + 1)) * max_share_steps)
-        high = F.least(F.lit(max_share_steps), F.col("left"))
-        live = F.col("n_parts") > level
-        choices = F.when(~live, F.array(F.lit(0))).when(low <= high, F.sequence(low, high))
-        share = F.col("_s") / F.lit(float(steps))
-        value = F.get("values", F.lit(level))
-        frontier = (
-            frontier.withColumn("_s", F.explode_outer(choices))
-            .where("_s IS NOT NULL")
-            .select(
-                *fixed,
-                (F.col("left") - F.col("_s")).alias("left"),
-                F.when(live, F.shiftleft("packed", bits) + F.col("_s")).otherwise(F.col("packed")).alias("packed"),
-                *[
-                    F.when(live, F.col(f"sum_{m}") + F.get(value, F.lit(at)) * share).otherwise(F.col(f"sum_{m}")).alias(f"sum_{m}")
-                    for at, m in enumerate(names)
-                ],
-            )
-            .where(_reachable(level + 1, steps))
-        )
-    best = frontier.where("left = 0").groupBy("scenario_id", "n_parts").agg(F.min(F.struct(F.round("sum_price", 6).alias("cost"), "packed")).alias("best"))
-    last = F.col("n_parts") - 1
-    shares = F.transform(F.sequence(F.lit(0), last), lambda i: _share_at(i, last, bits))
-    return best.select("scenario_id", F.col("best.cost").alias("cost"), shares.alias("shares"))
+def _n_points(n: int, steps: int, most: int) -> int:
+    """How many ways there are to place the steps on ``n`` components."""
+    ways = [1] + [0] * steps
+    for _ in range(n):
+        ways = [sum(ways[left - s] for s in range(min(most, left) + 1)) for left in range(steps + 1)]
+    return ways[steps]
+
+
+@cache
+def _points(n: int, steps: int, most: int) -> np.ndarray:
+    """All ways to place the steps on ``n`` components, one per row, in the order of shares."""
+    shares, left = np.zeros((1, 0), "i4"), np.array([steps])
+    for level in range(n):
+        parent, choice = np.divmod(np.arange(len(left) * (most + 1)), most + 1)
+        fits = (choice <= left[parent]) & (left[parent] - choice <= (n - level - 1) * most)
+        parent, choice = parent[fits], choice[fits].astype("i4")
+        shares, left = np.column_stack([shares[parent], choice]), left[parent] - choice
+    return shares[left == 0]
+
+
+def _near_cheapest(values: np.ndarray, low: np.ndarray, high: np.ndarray, points: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of scenarios of one size: place of the scenario, cost and place of the point, for all points that can be the cheapest."""
+    sums = np.zeros((len(values), len(points), values.shape[2]))
+    for level in range(points.shape[1]):
+        sums += values[:, level, None, :] * (points[:, level] / float(steps))[None, :, None]
+    price, have = sums[..., 0], sums[..., 1:]
+    ok = ((have <= high[:, None, :] + EPSILON) & (have >= low[:, None, :] - EPSILON)).all(axis=2)
+    known = np.where(ok & ~np.isnan(price), price, np.inf)
+    scenario, point = np.nonzero(ok & (known <= known.min(axis=1, initial=np.inf)[:, None] + CLOSE))
+    return scenario, price[scenario, point], point
+
+
+def _found(n_rows: int, row: np.ndarray, cost: np.ndarray, shares: list[np.ndarray] | np.ndarray) -> pa.Array:
+    """Costs and shares as a list per row; ``row`` is sorted."""
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in shares])]).astype("i4")
+    flat = np.concatenate([*shares, []]).astype("i4") if len(shares) else np.zeros(0, "i4")
+    entries = pa.StructArray.from_arrays([pa.array(cost, pa.float64()), pa.ListArray.from_arrays(ends, pa.array(flat))], ["cost", "shares"])
+    return pa.ListArray.from_arrays(np.searchsorted(row, np.arange(n_rows + 1)).astype("i4"), entries)
+
+
+def _search(batch: pa.RecordBatch, steps: int, most: int, spread_components: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The rows of a batch by number of components, with the points that can be their cheapest."""
+    width = 1 + len(LIMITED_METRICS)
+    values = batch.column("values")
+    count = pc.list_value_length(values).fill_null(0).to_numpy(zero_copy_only=False) // width
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype("f8")
+    starts = (np.cumsum(count) - count) * width
+    ends = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _bounds()])
+    for n in np.unique(count).tolist():
+        rows = np.flatnonzero(count == n)
+        dense = 0 < n <= spread_components and _n_points(n, steps, most) <= POINTS
+        points = _points(n, steps, most) if dense else None
+        at_once = max(1, POINTS_AT_ONCE // max(1, len(points))) if dense else 1
+        for some in (rows[i : i + at_once] for i in range(0, len(rows), at_once)) if n else (rows,):
+            low, high = ends[some, ::2], ends[some, 1::2]
+            if dense:
+                own = flat[starts[some][:, None] + np.arange(n * width)].reshape(len(some), n, width)
+                row, cost, point = _near_cheapest(own, low, high, points, steps)
+                shares = points[point]
+            else:
+                own = flat[starts[some[0]] :][: n * width].reshape(n, width) if n else None
+                best = cheapest_shares(own, low[0], high[0], steps, most) if n else None
+                row, cost, shares = (np.zeros(0, "i8"), [], []) if best is None else (np.zeros(1, "i8"), [best[0]], [best[1]])
+            yield batch.take(pa.array(some)), _found(len(some), row, cost, shares)
 
 
 def _undominated(sums: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -183,6 +203,8 @@ def _follow_levels(values: np.ndarray, low: np.ndarray, high: np.ndarray, steps:
     shares, left, sums = np.zeros((1, 0), "i8"), np.array([steps]), np.zeros((1, values.shape[1]))
     watched = np.flatnonzero(np.isfinite(low) | np.isfinite(high)) + 1
     for level in range(n):
+        if not len(left):
+            return None
         parent, choice = np.divmod(np.arange(len(left) * (most + 1)), most + 1)
         fits = (choice <= left[parent]) & (left[parent] - choice <= (n - level - 1) * most)
         parent, choice = parent[fits], choice[fits]
@@ -211,44 +233,60 @@ def _follow_levels(values: np.ndarray, low: np.ndarray, high: np.ndarray, steps:
     return float(sums[best, 0]), shares[best]
 
 
+def _useful(values: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int, most: int) -> np.ndarray:
+    """Places of the components that can be part of the cheapest blend; rows are in the order of names, price first.
+
+    A component is left out for as many others as can take all steps, each of them cheaper, or as cheap and
+    later in the order of names, and at each limit that any component breaks not nearer to it: its steps
+    can move to them, which makes a cheaper blend, or one that comes first among equals.
+    """
+    others = -(-steps // most)
+    upper = values[:, 1:][:, (values[:, 1:] > high).any(axis=0)]
+    lower = values[:, 1:][:, (values[:, 1:] < low).any(axis=0)]
+    watched = np.column_stack([upper, -lower])
+    order = np.lexsort((-np.arange(len(values)), values[:, 0]))
+    kept = np.zeros(0, "i8")
+    for start in range(0, len(order), 64):
+        some = order[start : start + 64]
+        rivals = np.concatenate([kept, some])
+        dearer = values[some, 0][:, None] - values[rivals, 0][None, :]
+        beaten = (dearer > 2 * CLOSE * steps) | (dearer == 0) & (rivals[None, :] > some[:, None])
+        for at in range(watched.shape[1]):
+            beaten &= watched[rivals, at][None, :] <= watched[some, at][:, None]
+        kept = np.concatenate([kept, some[beaten.sum(axis=1) < others]])
+    return np.sort(kept)
+
+
 def cheapest_shares(values: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int, most: int) -> tuple[float, np.ndarray] | None:
-    """Cost and shares of the cheapest blend of components (rows; price and metrics) within the limits, or None."""
+    """Cost and shares of the cheapest blend of components (rows; price and metrics) within the limits, or None.
+
+    The cheapest components are searched first.  A blend with one step of a dearer one costs at least that
+    step and the cheapest price for the rest; what costs more than the blend found is not searched.
+    """
     if np.isnan(values).any():
         return None
+    if not np.isfinite(values).all():
+        return _search_levels(values, low, high, steps, most)
+    price = values[:, 0]
+    order, size = np.argsort(price, kind="stable"), min(FIRST, len(values))
+    while True:
+        some = np.sort(order[:size])
+        some = some[_useful(values[some], low, high, steps, most)]
+        found = _search_levels(values[some], low, high, steps, most)
+        if found is not None:
+            least = price / steps + price[order[0]] * ((steps - 1) / steps)
+            needed = int((least <= found[0] + CLOSE + abs(found[0]) * EPSILON).sum())
+            if needed <= size:
+                shares = np.zeros(len(values), "i8")
+                shares[some] = found[1]
+                return found[0], shares
+            size = needed
+        elif size == len(values):
+            return None
+        else:
+            size = min(size * 4, len(values))
+
+
+def _search_levels(values: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int, most: int) -> tuple[float, np.ndarray] | None:
     some = _follow_levels(values, low, high, steps, most, np.inf, BEAM)
     return _follow_levels(values, low, high, steps, most, np.inf if some is None else some[0], None)
-
-
-def _level_search(scenarios: DataFrame, steps: int, max_share_steps: int) -> DataFrame:
-    """scenario_id, cost and shares level by level; a scenario is searched where its row is."""
-    kind = dict(scenarios.dtypes)["scenario_id"]
-    tasks = int(scenarios.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = scenarios.where("error IS NULL").repartition(tasks, "scenario_id").select("scenario_id", F.transform("parts", lambda p: p["v"]).alias("values"), *_bounds())
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                values = np.array([[np.nan if v is None else v for v in part] for part in row.values], "f8")
-                ends = np.array([getattr(row, name) for name in _bounds()], "f8")
-                if (best := cheapest_shares(values, ends[::2], ends[1::2], steps, max_share_steps)) is not None:
-                    yield pd.DataFrame({"scenario_id": [row.scenario_id], "cost": [best[0]], "shares": [best[1].astype("i4")]})
-
-    found = rows.mapInPandas(search, f"scenario_id {kind}, cost double, shares array<int>")
-    return found.withColumn("cost", F.round("cost", 6))
-
-
-def _share_at(position: Column, last: Column, bits: int) -> Column:
-    shifted = F.call_function("shiftright", F.col("best.packed"), (last - position) * bits)
-    return shifted.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
-
-
-def _reachable(level: int, steps: int) -> Column:
-    """Every limit can still be kept with the steps that are left."""
-    ok = F.lit(True)
-    part = F.col("left") / F.lit(float(steps))
-    for metric in LIMITED_METRICS:
-        have = F.col(f"sum_{metric}")
-        least = have + part * F.coalesce(F.get(f"lo_tail_{metric}", F.lit(level)), F.lit(0.0))
-        most = have + part * F.coalesce(F.get(f"hi_tail_{metric}", F.lit(level)), F.lit(0.0))
-        ok = ok & (least <= F.col(f"hi_{metric}") + EPSILON) & (most >= F.col(f"lo_{metric}") - EPSILON)
-    return ok

@@ -138,3 +138,39 @@ def test_half_open_limits(spark):
     mixed = spark.createDataFrame([("s", 1, 31.0), ("s", 2, 30.0), ("t", 3, 99.0)], "scenario_id string, blend_id int, cri double")
     got = bl.check_limits(mixed, limits).orderBy("blend_id").select("feasible").collect()
     assert [r[0] for r in got] == [False, True, True]
+
+
+def test_large_groups_are_searched_among_useful_components():
+    rng = random.Random(8)
+    columns = 1 + len(bl.LIMITED_METRICS)
+    calls = []
+    follow = lattice._follow_levels
+    for case in range(12):
+        grid = case % 2  # few values make many equal costs
+        values = np.array([[float(rng.randint(1, 4) * 10) if grid else rng.uniform(10, 90) for _ in range(columns)] for _ in range(60)])
+        low, high = np.full(columns - 1, -np.inf), np.full(columns - 1, np.inf)
+        low[0], high[0], low[2] = [(40, 45, -np.inf), (-np.inf, 30, 60), (20, np.inf, 25)][case % 3]
+        some = follow(values, low, high, 4, 3, np.inf, lattice.BEAM)
+        whole = follow(values, low, high, 4, 3, np.inf if some is None else some[0], None)
+        got = lattice.cheapest_shares(values, low, high, 4, 3)
+        assert (got and (round(got[0], 6), got[1].tolist())) == (whole and (round(whole[0], 6), whole[1].tolist())), case
+    try:
+        lattice._follow_levels = lambda values, *rest: calls.append(len(values)) or follow(values, *rest)
+        values = np.array([[rng.uniform(10, 90) for _ in range(columns)] for _ in range(3000)])
+        assert lattice.cheapest_shares(values, low, high, 4, 3) is not None
+    finally:
+        lattice._follow_levels = follow
+    assert max(calls) <= 300  # not all 3000
+
+
+def test_scenario_rows_keep_what_cannot_be_searched(spark):
+    names = ("price", *bl.LIMITED_METRICS)
+    properties = spark.createDataFrame([("a", *[1.0] * 8), ("b", 2.0, *[None] * 7)], "component string, " + ", ".join(f"{m} double" for m in names))
+    limits = spark.createDataFrame([], "scenario_id string, metric string, lo double, hi double")
+    wanted = [(1, "x", "a"), (1, "x", "a"), (2, None, "a"), (2, None, "b"), (3, "x", "ghost"), (3, "x", "a"), (None, "x", "a")]
+    rows = scenario_rows(spark.createDataFrame(wanted, "scenario_id int, limit_set string, component string"), properties, limits)
+    got = {r["scenario_id"]: (r["n"], r["cost"], r["shares"], r["components"], r["error"]) for r in cheapest_on_lattice(rows, 4, 4).collect()}
+    assert got == {
+        1: (1, 1.0, [4], ["a"], None), 2: (2, None, None, ["a", "b"], "no feasible blend"),
+        3: (2, None, None, None, "unknown component"), None: (1, None, None, None, "no feasible blend"),
+    }
