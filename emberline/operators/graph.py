@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.text import contains_ignoring_case, strip
-from emberline.session import rows_within
+from emberline.session import rows_within, written
 
 # Node labels, relationships, and how many authors, results and hops are kept.
 LABELS = ("Paper", "Author", "Concept", "Method", "Material", "Property")
@@ -62,7 +62,12 @@ def edge_id(src_label: Column, src: Column, rel: Column, dst_label: Column, dst:
 
 
 def build_edges(entities: DataFrame) -> DataFrame:
-    """All relationships of all papers, each once."""
+    """All relationships of all papers, each once.
+
+    All but those between concepts have their paper at one end, so that a paper in one row has no copies
+    in others: its relationships are made distinct where it is.  Only those of papers in several rows, and
+    those between concepts, which combine map-side, are shuffled.  ``entities`` are read twice.
+    """
 
     def edge(sl: str, s: Column, rel: str, dl: str, t: Column) -> Column:
         return F.struct(
@@ -76,9 +81,22 @@ def build_edges(entities: DataFrame) -> DataFrame:
         F.transform("methods", lambda x: edge("Paper", paper, "USES_METHOD", "Method", x)),
         F.transform("materials", lambda x: edge("Paper", paper, "ANALYZES_MATERIAL", "Material", x)),
         F.transform("properties", lambda p: edge("Paper", paper, "MEASURES_PROPERTY", "Property", p["name"])),
-        F.transform("relations", lambda p: edge("Concept", p["a"], "RELATED_TO", "Concept", p["b"])),
     )
-    rows = entities.select(F.explode_outer(every).alias("e")).where("e IS NOT NULL").select("e.*").distinct()
+    related = F.transform("relations", lambda p: edge("Concept", p["a"], "RELATED_TO", "Concept", p["b"]))
+    # a paper without one of its lists has no relationship at all
+    every, related = F.when(F.col("relations").isNotNull(), every), F.when(every.isNotNull(), related)
+
+    def listed(rows: DataFrame, edges: Column) -> DataFrame:
+        return rows.select(F.explode_outer(edges).alias("e")).where("e IS NOT NULL").select("e.*")
+
+    repeated = written(entities.groupBy("paper").agg(F.count("*").alias("n")).where("n > 1").select("paper"), "repeated")
+    rows = listed(entities, F.array_distinct(every))
+    if not repeated.isEmpty():
+        again = repeated.withColumnRenamed("paper", "_paper")
+        same = F.col("paper").eqNullSafe(F.col("_paper"))
+        rows = listed(entities.join(again, same, "left_anti"), F.array_distinct(every))
+        rows = rows.unionByName(listed(entities.join(again, same, "left_semi"), every).distinct())
+    rows = rows.unionByName(listed(entities, related).distinct())
     return rows.withColumn("edge_id", edge_id(*[F.col(c) for c in ("src_label", "src", "rel", "dst_label", "dst")]))
 
 
@@ -174,6 +192,9 @@ def concept_connections(nodes: DataFrame, edges: DataFrame, first: str, second:
     relationships to either end set.  Any path through a larger one is beaten by ``limit`` others that
     differ only there, since at most two of those relationships can already be on the path.  So the
     number of paths built is bounded by the number of edges, however large a hub is.
+
+    Shorter paths come first, so those of a length are only looked for while ``limit`` is not reached; the
+    few that are kept are written.
     """
     node_name = F.concat_ws("|", "label", "key")
     concepts = nodes.where("label = 'Concept'").withColumn("node", node_name)
@@ -211,14 +232,20 @@ def concept_connections(nodes: DataFrame, edges: DataFrame, first: str, second:
             F.array("n0", "n1", "m", "last").alias("path"), F.array("r1", "r2", "rz").alias("rels"),
         )
     )
-    paths = one.unionByName(two).unionByName(three).orderBy("length", "ids", "path").limit(limit)
+    paths, n = None, 0
+    for longer in (one, two, three):
+        found = written(longer.orderBy("ids", "path").limit(limit - n), "paths")
+        paths, n = found if paths is None else paths.unionByName(found), n + found.count()
+        if n >= limit:
+            break
     return _named_paths(paths, nodes)
 
 
 def _named_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Path nodes as ``label: name``; papers, which have no name, are looked up by title."""
+    """Path nodes as ``label: name``; papers, which have no name, are looked up by title.  There are few paths."""
     titles = nodes.where("label = 'Paper'").select(F.concat_ws("|", "label", "key").alias("node"), "title")
     steps = paths.select("length", "ids", "rels", "path", F.posexplode("path").alias("at", "node"))
+    titles = titles.join(F.broadcast(steps.select("node").distinct()), "node", "left_semi")
     label = F.substring_index("node", "|", 1)
     shown = F.when(label == "Paper", F.coalesce("title", F.lit(""))).otherwise(F.expr("substring(node, length(substring_index(node, '|', 1)) + 2)"))
     text = F.concat(label, F.lit(": "), shown)

@@ -15,11 +15,7 @@ from emberline.sources.tables import chunks, question_vectors, table
 
 
 def _graph(spark, d):
-    return build_graph(order_entities(spark, d))
-
-
-def _graph_twice(spark, d):
-    """For queries on both tables: the entity rows are computed once and written."""
+    """The entity rows are read more than once; they are computed once and written."""
     return build_graph(written(order_entities(spark, d), "entities"))
 
 
@@ -44,7 +40,8 @@ def entity_resume(spark, d):
 
 
 def graph_nodes(spark, d):
-    return _graph(spark, d).nodes.select("label", "key", "name", "title", F.col("year").cast("long").alias("year"), "unit")
+    nodes = gr.build_nodes(gr.clean_entities(order_entities(spark, d)))
+    return nodes.select("label", "key", "name", "title", F.col("year").cast("long").alias("year"), "unit")
 
 
 def graph_edges(spark, d):
@@ -52,13 +49,13 @@ def graph_edges(spark, d):
 
 
 def graph_counts(spark, d):
-    return gr.graph_counts(*_graph_twice(spark, d))
+    return gr.graph_counts(*_graph(spark, d))
 
 
 def graph_written_counts(spark, d):
     """The graph sink: written partitioned, read back, counted."""
     path = fresh_path(spark, "graph")
-    write_graph(_graph_twice(spark, d), path)
+    write_graph(_graph(spark, d), path)
     return gr.graph_counts(*read_graph(spark, path))
 
 
@@ -71,7 +68,7 @@ def graph_key_check(spark, d):
 
 
 def related_papers(spark, d):
-    return gr.related_papers(*_graph_twice(spark, d), "promo", 10).withColumn("year", F.col("year").cast("long"))
+    return gr.related_papers(*_graph(spark, d), "promo", 10).withColumn("year", F.col("year").cast("long"))
 
 
 def paper_methods(spark, d):
@@ -80,7 +77,7 @@ def paper_methods(spark, d):
 
 
 def materials_with_property(spark, d):
-    graph = _graph_twice(spark, d)
+    graph = _graph(spark, d)
     return gr.materials_with_property(graph.nodes, gr.material_properties(graph.edges), "Flag r")
 
 
@@ -113,12 +110,12 @@ def _key_concepts(spark, d):
 
 
 def concept_fan_in(spark, d):
-    rows = gr.concept_fan_in(_key_concepts(spark, d), *_graph_twice(spark, d))
+    rows = gr.concept_fan_in(_key_concepts(spark, d), *_graph(spark, d))
     return rows.withColumn("year", F.col("year").cast("long"))
 
 
 def graph_context(spark, d):
-    return gr.graph_context(gr.concept_fan_in(_key_concepts(spark, d), *_graph_twice(spark, d)))
+    return gr.graph_context(gr.concept_fan_in(_key_concepts(spark, d), *_graph(spark, d)))
 
 
 def knowledge_requests(spark, d):
@@ -135,7 +132,7 @@ def knowledge_requests(spark, d):
         F.concat(F.lit("chunk "), F.col("paper_id").cast("string"), F.lit("_"), F.col("chunk_index").cast("string")).alias("text"),
     )
     requests = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("question_id")).distinct().select(asked.alias("request"))
-    return gr.knowledge_extract(requests, *_graph_twice(spark, d), hits)
+    return gr.knowledge_extract(requests, *_graph(spark, d), hits)
 
 
 QUERIES = {

@@ -84,3 +84,30 @@ def test_a_blank_word_is_in_every_name(spark):
     want = {("Coal", ""), ("", ""), ("a b", ""), ("a b", " "), ("Coal", "O")}
     for limit in (2000, 1):
         assert {tuple(r) for r in gr.contained_words(names, words, limit=limit).collect()} == want
+
+
+def test_papers_of_one_row_are_not_shuffled_for_their_edges(spark):
+    many = [(i, f"T{i}", 2000, ["A"], ["c", "c", "d"], [], [], [("p", "u"), ("p", "v")], [["c", "d"]]) for i in range(3, 40)]
+    rows = spark.createDataFrame(ROWS + many + many[:5], ENTITY_SCHEMA)
+    edges = build_graph(rows).edges
+    found = [tuple(r) for r in edges.collect()]
+    assert len(found) == len(set(found)) and sum(e[2] == "RELATED_TO" for e in found) == 2
+    assert sum(e[2] == "STUDIES_CONCEPT" for e in found) == 2 * len(many) + 2
+    alone = build_graph(spark.createDataFrame(ROWS + many, ENTITY_SCHEMA)).edges
+    assert sorted(map(tuple, alone.collect())) == sorted(found)
+    # only relationships between concepts go through a shuffle
+    assert alone._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    lost = spark.createDataFrame([(9, "T", 2000, None, ["c"], [], [], [], [["c", "d"]]), (8, "T", 2000, [], ["c"], [], [], [], None)], ENTITY_SCHEMA)
+    assert build_graph(lost).edges.count() == 0
+
+
+def test_longer_paths_are_not_built_once_the_limit_is_reached(spark, monkeypatch):
+    rows = [(i, f"T{i}", 2000, [], ["c one", f"d {i}"], [], [], [], [["c one", f"d {i}"]]) for i in range(8)]
+    graph, kept = build_graph(spark.createDataFrame(rows, ENTITY_SCHEMA)), []
+    write = gr.written
+    monkeypatch.setattr(gr, "written", lambda df, label, *by: kept.append(label) or write(df, label, *by))
+    edges = graph.edges.collect()
+    for limit, lengths in ((8, 1), (5, 1), (12, 2), (30, 3)):
+        kept.clear()
+        got = [(r["length"], r["ids"]) for r in gr.concept_connections(graph.nodes, graph.edges, "one", "d", limit).collect()]
+        assert sorted(got) == sorted(trails(edges, "one", "d", limit)) and len(kept) == lengths, limit
