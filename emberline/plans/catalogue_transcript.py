@@ -60,9 +60,13 @@ def chinese_numeral(number):
     return F.concat(F.when(high > 0, F.concat(group(high), F.lit("万"))).otherwise(F.lit("")), group(low))
 
 
+#: Short rows, whose cleaning takes long for their size.
+ROWS_PER_TASK = 20_000
+
+
 def _events(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
-    return spread(table(spark, d, "events")).select("event_id", "event_type", "user_id", "value", k.alias("k"))
+    return spread(table(spark, d, "events"), ROWS_PER_TASK).select("event_id", "event_type", "user_id", "value", k.alias("k"))
 
 
 def _spoken(spark, d):

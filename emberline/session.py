@@ -101,10 +101,14 @@ def rows_within(df: DataFrame, limit: int) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Spread an input of few splits over all cores before heavy row-wise work.
 
-    Large inputs have more splits than cores and pass unchanged, without a shuffle.
+    Large inputs have more splits than cores and pass unchanged, without a shuffle.  Where a row is short and
+    its work long, splits hold too many of them: with ``rows`` there is a task for so many, about, and the
+    rows of a file are counted first, which reads its footers.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if rows is not None:
+        tasks = max(tasks, -(-df.count() // rows))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df

@@ -162,3 +162,15 @@ def test_harvest_at_any_depth():
     assert [harvest(x) for x in (None, "", "{", "3", '"text"', "[" * 100_000)] == [""] * 6
     deep = '{"data": ' * 400 + '{"text": "deep"}' + "}" * 400
     assert harvest(deep) == "deep"
+
+
+def test_tasks_of_short_rows_are_set_by_their_number(spark, tmp_path):
+    from emberline.session import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(rows).rdd.getNumPartitions() == cores == spread(rows, 10_000).rdd.getNumPartitions()
+    assert spread(rows, 50).rdd.getNumPartitions() == 20 and spread(rows, 50).count() == 1000
+    assert spread(spark.range(0, 100, 1, 30), 50).rdd.getNumPartitions() == 30
+    assert spread(rows.where("id < 0"), 50).count() == 0
