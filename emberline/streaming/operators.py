@@ -13,10 +13,11 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from emberline.operators.dialogue import IDLE_US, joined_segments, reply_text
 from emberline.session import fresh_path
-from emberline.streaming.processors import BargeIns, Changes, ClauseAssembly, EnergySegments, IdleTranscripts, RecentTexts, SpeechPartials, StableText, Throttle
+from emberline.streaming.processors import BargeIns, Changes, ClauseAssembly, EnergySegments, IdleTranscripts, Ordered, RecentTexts, SpeechPartials, StableText, Throttle
 
 LATE = "10 seconds"
 TURN_US, TURNS_LATE = 60_000_000, "1 hour"  # messages without a time: a minute per turn, sixty turns late at most
+LANES = 1024  # keys of a stream, each for many sessions: its cost in time is per key, so their number must not grow with the sessions
 END_US = 9_000_000_000_000_000  # the time of the mark, beyond all others, in the year 2255 (pandas counts nanoseconds)
 
 
@@ -42,6 +43,9 @@ def second_diagnostics(frames: DataFrame) -> DataFrame:
 
 
 def _keyed(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """By lanes of sessions for an ``Ordered`` processor, else by the key itself; rows without a key have a lane of their own."""
+    if isinstance(processor, Ordered):
+        rows, key = rows.withColumn("lane", F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(LANES)))), "lane"
     return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 

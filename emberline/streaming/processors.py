@@ -1,8 +1,8 @@
 """Keyed state for streams of frames and messages.
 
 Rows arrive in any order within the watermark.  ``Ordered`` keeps them until the watermark has passed
-them and then hands them on in order, once each; what stays in the state of a key is the rows that can
-still be overtaken and a small summary of those that cannot.
+them and then hands them on in order, once each; what stays in the state of a lane of sessions is the rows that can
+still be overtaken and per session a small summary of those that cannot.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberline.functions.text import CLAUSE_BREAK, CLAUSE_CHARS
@@ -20,6 +21,8 @@ from emberline.operators.speech import (
 )
 
 NEVER = -(2**62)
+LAYOUT = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+BLOCK_ROWS = 50_000
 
 
 def _ordered(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -27,11 +30,13 @@ def _ordered(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 class Ordered(StatefulProcessor):
-    """Rows of a key in the order of ``order``, whose first column is the event time in microseconds.
+    """Rows of the sessions of a lane, each session's in the order of ``order``, whose first column is the event time in microseconds.
 
-    A subclass names its columns (all of them, with types), its summary state and default, and turns the
-    rows that are released together into output in ``step``.  With ``forget_us`` the summary of a key
-    is dropped once the watermark is so far beyond its last row; its next row then is like a first one.
+    A task pays for each key of a stream, far more than for a row; so many sessions share one key, their lane,
+    and its rows wait in blocks.  A subclass names its columns (all of them, with types, the session first), the summary
+    that it keeps per session and its default, and turns the rows that are released together into output in
+    ``step``.  With ``forget_us`` the summary of a session is dropped once the watermark is so far beyond its last row;
+    its next row then is like a first one.
     """
 
     columns: dict[str, str]
@@ -43,59 +48,76 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ", ".join(f"{name} {kind}" for name, kind in self.columns.items()))
-        self.state = handle.getValueState("state", self.schema)
-        self.last = handle.getValueState("last", "t_us bigint")
-
-    def load(self) -> tuple:
-        return tuple(self.state.get()) if self.state.exists() else self.default
-
-    def step(self, key: tuple, rows: pd.DataFrame, watermark_us: int) -> pd.DataFrame | None:
-        """Output for rows in order, which may be none when a timer of the subclass has fired."""
+        self.session = next(iter(self.columns))
+        self.layout = pa.schema([(name, LAYOUT[kind]) for name, kind in self.columns.items()])
+        self.waiting = handle.getListState("waiting", "block binary")
+        self.state = handle.getMapState("state", f"{self.session} bigint", self.schema)
+        self.last = handle.getMapState("last", f"{self.session} bigint", "t_us bigint")
+
+    def load(self, session: int) -> tuple:
+        found = self.state.getValue((session,))
+        return self.default if found is None else tuple(found)
+
+    def step(self, rows: pd.DataFrame, watermark_us: int) -> pd.DataFrame | None:
+        """Output for rows in order, session by session; there may be none when a timer of the subclass has fired."""
         raise NotImplementedError
 
+    def spans(self, rows: pd.DataFrame) -> Iterator[tuple[int, int, int]]:
+        """Each session with the places where its rows begin and end."""
+        keys = rows[self.session].to_numpy()
+        begins = [*np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)]).tolist(), len(keys)]
+        return zip(keys[begins[:-1]].tolist(), begins, begins[1:])
+
+    def _keep(self, rows: pd.DataFrame) -> None:
+        for begin in range(0, len(rows), BLOCK_ROWS):
+            block = pa.RecordBatch.from_pandas(rows.iloc[begin : begin + BLOCK_ROWS], self.layout, preserve_index=False)
+            self.waiting.appendValue((block.serialize().to_pybytes(),))
+
+    def _kept(self) -> pd.DataFrame:
+        blocks = [pa.ipc.read_record_batch(pa.py_buffer(bytes(row[0])), self.layout) for row in self.waiting.get()] if self.waiting.exists() else []
+        rows = pa.Table.from_batches(blocks, self.layout).to_pandas()
+        for name, kind in self.columns.items():
+            if kind in ("string", "boolean"):
+                rows[name] = rows[name].astype(object).where(rows[name].notna(), None)
+        return rows
+
     def handleInputRows(self, key, rows, timerValues):
-        first = None
-        for batch in rows:
-            whole = {name: "Int64" for name, kind in self.columns.items() if kind == "bigint"}
-            kept = batch[list(self.columns)].astype(whole).astype(object)
-            self.waiting.appendList([tuple(row) for row in kept.where(kept.notna(), None).itertuples(index=False)])
-            least = int(batch[self.order[0]].min())
-            first = least if first is None else min(first, least)
-        if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
+        batch = pd.concat(list(rows), ignore_index=True)[list(self.columns)]
+        if pd.isna(key[0]):  # the lane of the rows without a session
+            batch[self.session] = 0
+        self._keep(batch)
+        self.handle.registerTimer(int(batch[self.order[0]].min()) // 1000 + 1)
         yield pd.DataFrame(columns=self.output)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         through = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=list(self.columns))
+        rows = self._kept()
         ready = rows[self.order[0]].astype("int64") <= through
-        later = rows[~ready]
         if ready.any():
+            later = rows[~ready]
+            self.waiting.clear()
             if len(later):
-                self.waiting.put([tuple(row) for row in later.itertuples(index=False)])
+                self._keep(later)
                 self.handle.registerTimer(int(later[self.order[0]].min()) // 1000 + 1)
-            else:
-                self.waiting.clear()
-        released = rows[ready].sort_values(self.order, ignore_index=True).astype({c: "int64" for c in self.order})
-        out = self.step(key, released, through)
+        released = rows[ready].astype({c: "int64" for c in self.order}).sort_values([self.session, *self.order], ignore_index=True)
+        out = self.step(released, through)
         if self.forget_us is not None:
             self._forget(released, through)
-        yield pd.DataFrame(columns=self.output) if out is None else out
+        if out is None or not len(out):  # columns without rows have lost their types
+            out = pd.DataFrame(columns=self.output)
+        yield out.assign(**{self.session: None}) if pd.isna(key[0]) else out
 
     def _forget(self, released: pd.DataFrame, through: int) -> None:
-        if len(released):
-            last = int(released[self.order[0]].iloc[-1])
-            self.last.update((last,))
-        elif self.last.exists():
-            last = int(self.last.get()[0])
-        else:
-            return
-        if last + self.forget_us <= through:
-            self.state.clear()
-            self.last.clear()
-        else:
-            self.handle.registerTimer((last + self.forget_us) // 1000 + 1)
+        times = released[self.order[0]].to_numpy()
+        for session, _, end in self.spans(released):
+            self.last.updateValue((session,), (int(times[end - 1]),))
+        seen = [(session[0], last[0] + self.forget_us) for session, last in self.last.iterator()]
+        for session, until in seen:
+            if until <= through:
+                self.state.removeKey((session,))
+                self.last.removeKey((session,))
+        if waiting := [until for _, until in seen if until > through]:
+            self.handle.registerTimer(min(waiting) // 1000 + 1)
 
     def close(self) -> None:
         pass
@@ -111,18 +133,14 @@ class Changes(Ordered):
         self.columns = {"session": "bigint", "frame_id": "bigint", "t_us": "bigint", column: "string"}
         self.output = list(self.columns)
 
-    def step(self, key, rows, watermark_us):
-        if not len(rows):
-            return None
-        seen, last = self.load()
-        values = rows[self.column]
-        before = values.shift(1)
-        before.iloc[0] = last
-        differs = (values != before) & ~(values.isna() & before.isna())
-        if not seen:
-            differs.iloc[0] = True
-        self.state.update((True, values.iloc[-1]))
-        return rows[differs]
+    def step(self, rows, watermark_us):
+        values = rows[self.column].to_numpy(object)
+        before, first = np.r_[np.array([None], object), values[:-1]][: len(values)], np.zeros(len(values), bool)
+        for session, begin, end in self.spans(rows):
+            seen, before[begin] = self.load(session)
+            first[begin] = not seen
+            self.state.updateValue((session,), (True, values[end - 1]))
+        return rows[(values != before) | first]
 
 
 def spaced(times: np.ndarray, ready: int, step_us: int) -> tuple[list[int], int]:
@@ -145,12 +163,13 @@ class Throttle(Ordered):
     def __init__(self, every_ms: int = EMIT_EVERY_MS, forget_us: int | None = None):
         self.step_us, self.forget_us = max(EMIT_FLOOR_MS, every_ms) * 1000, forget_us
 
-    def step(self, key, rows, watermark_us):
-        if not len(rows):
-            return None
-        picked, ready = spaced(rows["t_us"].to_numpy(), self.load()[0], self.step_us)
-        self.state.update((ready,))
-        return rows.iloc[picked]
+    def step(self, rows, watermark_us):
+        times, every = rows["t_us"].to_numpy(), []
+        for session, begin, end in self.spans(rows):
+            picked, ready = spaced(times[begin:end], self.load(session)[0], self.step_us)
+            self.state.updateValue((session,), (ready,))
+            every += [begin + place for place in picked]
+        return rows.iloc[every]
 
 
 def follow_segments(state: tuple[int, int, int, int], loud: np.ndarray, loud_frames: int, quiet_frames: int):
@@ -199,15 +218,14 @@ class EnergySegments(Ordered):
     def __init__(self, loud_above: float = LOUD_ABOVE, loud_frames: int = LOUD_FRAMES, quiet_frames: int = QUIET_FRAMES, forget_us: int | None = None):
         self.loud_above, self.loud_frames, self.quiet_frames, self.forget_us = loud_above, loud_frames, quiet_frames, forget_us
 
-    def step(self, key, rows, watermark_us):
-        if not len(rows):
-            return None
-        loud = rows["rms"].astype("float64").to_numpy() > self.loud_above
-        state, opens, fresh, closes = follow_segments(self.load(), loud, self.loud_frames, self.quiet_frames)
-        self.state.update(state)
-        starts = pd.DataFrame({"open_pos": opens[fresh], "event": "speech_start", "pos": opens[fresh]})
-        ends = pd.DataFrame({"open_pos": opens[closes >= 0], "event": "speech_end", "pos": closes[closes >= 0]})
-        return pd.concat([starts, ends], ignore_index=True).assign(session=key[0])[self.output]
+    def step(self, rows, watermark_us):
+        loud, out = rows["rms"].astype("float64").to_numpy() > self.loud_above, []
+        for session, begin, end in self.spans(rows):
+            state, opens, fresh, closes = follow_segments(self.load(session), loud[begin:end], self.loud_frames, self.quiet_frames)
+            self.state.updateValue((session,), state)
+            out += [(session, opened, "speech_start", opened) for opened in opens[fresh].tolist()]
+            out += [(session, opened, "speech_end", closed) for opened, closed in zip(opens.tolist(), closes.tolist()) if closed >= 0]
+        return pd.DataFrame(out, columns=self.output)
 
 
 class SpeechPartials(Ordered):
@@ -224,30 +242,32 @@ class SpeechPartials(Ordered):
         self.step_us, self.after = max(EMIT_FLOOR_MS, every_ms) * 1000, -(-max(0, after_ms) // frame_ms)
         self.loud_above, self.loud_frames, self.quiet_frames, self.forget_us = loud_above, loud_frames, quiet_frames, forget_us
 
-    def step(self, key, rows, watermark_us):
-        if not len(rows):
-            return None
-        *machine, ready = self.load()
-        loud = rows["rms"].astype("float64").to_numpy() > self.loud_above
-        state, opens, fresh, closes = follow_segments(tuple(machine), loud, self.loud_frames, self.quiet_frames)
-        times, begin, parts = rows["t_us"].to_numpy(), machine[0], []
-        for opened, is_new, closed in zip(opens.tolist(), fresh.tolist(), closes.tolist()):
-            first = max(opened + max(0, self.after - 1) - begin, 0)
-            stop = closed - begin if closed >= 0 else len(rows)
-            picked, ready = spaced(times[first:stop], NEVER if is_new else ready, self.step_us)
-            parts.append(rows.iloc[[first + i for i in picked]].assign(open_pos=opened))
-        self.state.update((*state, ready))
-        return pd.concat(parts, ignore_index=True)[self.output] if parts else None
+    def step(self, rows, watermark_us):
+        loud, times = rows["rms"].astype("float64").to_numpy() > self.loud_above, rows["t_us"].to_numpy()
+        places, opened_at = [], []
+        for session, begin, end in self.spans(rows):
+            *machine, ready = self.load(session)
+            state, opens, fresh, closes = follow_segments(tuple(machine), loud[begin:end], self.loud_frames, self.quiet_frames)
+            at = begin - machine[0]  # the place of the session's frame 0, were it among the rows
+            for opened, is_new, closed in zip(opens.tolist(), fresh.tolist(), closes.tolist()):
+                first = max(opened + max(0, self.after - 1) + at, begin)
+                stop = closed + at if closed >= 0 else end
+                picked, ready = spaced(times[first:stop], NEVER if is_new else ready, self.step_us)
+                places += [first + place for place in picked]
+                opened_at += [opened] * len(picked)
+            self.state.updateValue((session,), (*state, ready))
+        return rows.iloc[places].assign(open_pos=opened_at)[self.output]
 
 
 class IdleTranscripts(Ordered):
     """Sessions that end after a pause, each with the latest text of its segments.
 
-    The state of an open session is its span and, per segment, the first arrival and the latest text that is not empty.
+    The state of an open session is its span, the names of its segments by number, and per segment the first arrival and
+    the latest text that is not empty.  A session that begins and ends in rows released together leaves none.
     """
 
     columns = {"session": "bigint", "t_us": "bigint", "frame_id": "bigint", "seg_id": "string", "text": "string"}
-    schema, default = "start_us bigint, last_us bigint", (None, None)
+    schema, default = "start_us bigint, last_us bigint, named bigint", (None, None, 0)
     output = ["session", "start_us", "end_us", "pieces"]
 
     def __init__(self, idle_us: int):
@@ -256,43 +276,56 @@ class IdleTranscripts(Ordered):
     def init(self, handle):
         super().init(handle)
         # a missing segment id is a segment of its own
-        self.segments = handle.getMapState("segments", "named boolean, seg_id string", "t_us bigint, frame_id bigint, text string")
-
-    def _merge(self, rows: pd.DataFrame) -> None:
-        told = rows[rows["text"].notna() & (rows["text"] != "")]
-        for seg_id, some in told.groupby("seg_id", dropna=False, sort=False):
-            name = (not pd.isna(seg_id), "" if pd.isna(seg_id) else seg_id)
-            first = self.segments.getValue(name)[:2] if self.segments.containsKey(name) else (int(some["t_us"].iloc[0]), int(some["frame_id"].iloc[0]))
-            self.segments.updateValue(name, (*first, some["text"].iloc[-1]))
-
-    def _end(self, key: tuple, start: int, last: int) -> tuple:
-        pieces = [
-            {"seg_id": name[1] if name[0] else None, "t_us": value[0], "frame_id": value[1], "text": value[2]} for name, value in self.segments.iterator()
-        ]
-        self.segments.clear()
-        return (key[0], start, last + self.idle_us, pieces)
-
-    def step(self, key, rows, watermark_us):
-        start, last = self.load()
-        out = []
-        if len(rows):
-            times = rows["t_us"].to_numpy()
-            before = np.r_[times[0] if last is None else last, times[:-1]]
-            for number, some in rows.groupby(np.cumsum(times - before >= self.idle_us)):
-                if start is not None and int(some["t_us"].iloc[0]) - last >= self.idle_us:
-                    out.append(self._end(key, start, last))
-                    start = None
-                start = int(some["t_us"].iloc[0]) if start is None else start
-                last = int(some["t_us"].iloc[-1])
-                self._merge(some)
-        if start is not None and last + self.idle_us <= watermark_us:
-            out.append(self._end(key, start, last))
-            start = last = None
-        if start is None:
-            self.state.clear()
-        else:
-            self.state.update((start, last))
-            self.handle.registerTimer(-(-(last + self.idle_us) // 1000))
+        self.names = handle.getMapState("names", "session bigint, number bigint", "named boolean, seg_id string")
+        self.segments = handle.getMapState("segments", "session bigint, named boolean, seg_id string", "t_us bigint, frame_id bigint, text string")
+
+    def _store(self, session: int, named: int, told: dict) -> int:
+        """Add what was told since to the state of an open session; returns how many segments it has."""
+        for name, (first, text) in told.items():
+            known = self.segments.getValue((session, *name))
+            if known is None:
+                self.names.updateValue((session, named), name)
+                named += 1
+            self.segments.updateValue((session, *name), (*(first if known is None else known[:2]), text))
+        return named
+
+    def _end(self, session: int, start: int, last: int, named: int, told: dict) -> tuple:
+        pieces = dict(told)
+        for number in range(named):
+            name = tuple(self.names.getValue((session, number)))
+            *first, text = self.segments.getValue((session, *name))
+            pieces[name] = first, told[name][1] if name in told else text
+            self.names.removeKey((session, number))
+            self.segments.removeKey((session, *name))
+        found = [{"seg_id": name[1] if name[0] else None, "t_us": first[0], "frame_id": first[1], "text": text} for name, (first, text) in pieces.items()]
+        return (session, start, last + self.idle_us, found)
+
+    def step(self, rows, watermark_us):
+        known = {session[0]: tuple(value) for session, value in self.state.iterator()}
+        spans = {session: (begin, end) for session, begin, end in self.spans(rows)}
+        times, frames, seg_ids, texts = (rows[name].tolist() for name in ("t_us", "frame_id", "seg_id", "text"))
+        out, due = [], []
+        for session in known | spans:
+            start, last, named = known.get(session, self.default)
+            told = {}
+            for i in range(*spans.get(session, (0, 0))):
+                if start is not None and times[i] - last >= self.idle_us:
+                    out.append(self._end(session, start, last, named, told))
+                    start, named, told = None, 0, {}
+                start, last = times[i] if start is None else start, times[i]
+                if texts[i]:
+                    name = (seg_ids[i] is not None, seg_ids[i] or "")
+                    told[name] = told[name][0] if name in told else (times[i], frames[i]), texts[i]
+            if last + self.idle_us <= watermark_us:
+                out.append(self._end(session, start, last, named, told))
+                if session in known:
+                    self.state.removeKey((session,))
+                continue
+            if session in spans:
+                self.state.updateValue((session,), (start, last, self._store(session, named, told)))
+            due.append(last + self.idle_us)
+        if due:
+            self.handle.registerTimer(-(-min(due) // 1000))
         return pd.DataFrame(out, columns=self.output)
 
 
@@ -307,26 +340,32 @@ class BargeIns(Ordered):
     schema, default, order = "runs array<struct<output_id: bigint, start_us: bigint, end_us: bigint>>", ([],), ["t_us"]
     output = ["session", "output_id", "start_us", "end_us", "cut_us"]
 
-    def step(self, key, rows, watermark_us):
-        runs = pd.DataFrame([tuple(r) for r in self.load()[0]], columns=["output_id", "start_us", "end_us"])
-        new = rows[rows["is_output"].astype(bool)].rename(columns={"t_us": "start_us"})[list(runs.columns)]
-        runs = pd.concat([runs, new], ignore_index=True) if len(runs) else new.reset_index(drop=True)
-        if not len(runs):
-            return None
-        said = rows.loc[~rows["is_output"].astype(bool), "t_us"].to_numpy("int64")
-        starts, ends = runs["start_us"].to_numpy("int64"), runs["end_us"].to_numpy("int64")
-        at = said.searchsorted(starts)
-        first = np.r_[said, 2**62][at]
-        cut = first < ends
-        over = cut | (ends <= watermark_us)
-        stay = runs[~over]
-        if len(stay):
-            self.state.update(([tuple(map(int, row)) for row in stay.itertuples(index=False)],))
-            self.handle.registerTimer(-(-int(stay["end_us"].min()) // 1000))
-        else:
-            self.state.clear()
-        cuts = pd.Series(first, dtype="Int64").mask(~cut)
-        return runs.assign(session=key[0], cut_us=cuts)[over][self.output]
+    def step(self, rows, watermark_us):
+        known = {session[0]: [tuple(run) for run in value[0]] for session, value in self.state.iterator()}
+        spans = {session: (begin, end) for session, begin, end in self.spans(rows)}
+        is_output, times = rows["is_output"].to_numpy(bool), rows["t_us"].to_numpy()
+        ids, ends = rows["output_id"].tolist(), rows["end_us"].tolist()
+        out, due = [], []
+        for session in known | spans:
+            begin, end = spans.get(session, (0, 0))
+            new = (begin + np.flatnonzero(is_output[begin:end])).tolist()
+            runs = known.get(session, []) + [(ids[i], int(times[i]), ends[i]) for i in new]
+            if not runs:
+                continue
+            said = times[begin:end][~is_output[begin:end]]
+            first = np.r_[said, 2**62][said.searchsorted([start for _, start, _ in runs])].tolist()
+            over = [cut < stop or stop <= watermark_us for cut, (_, _, stop) in zip(first, runs)]
+            out += [(session, *run, cut if cut < run[2] else None) for run, cut, done in zip(runs, first, over) if done]
+            stay = [tuple(map(int, run)) for run, done in zip(runs, over) if not done]
+            due += [stop for _, _, stop in stay]
+            if stay and (new or len(stay) < len(runs)):
+                self.state.updateValue((session,), (stay,))
+            elif not stay and session in known:
+                self.state.removeKey((session,))
+        if due:
+            self.handle.registerTimer(-(-min(due) // 1000))
+        found = pd.DataFrame(out, columns=self.output)
+        return found.assign(cut_us=found["cut_us"].astype("Int64"))
 
 
 class StableText(StatefulProcessor):
@@ -401,23 +440,27 @@ class ClauseAssembly(Ordered):
     def __init__(self, min_len: int = CLAUSE_CHARS, forget_us: int | None = None):
         self.min_len, self.forget_us = min_len, forget_us
 
-    def step(self, key, rows, watermark_us):
-        if not len(rows):
-            return None
-        rest, number = self.load()
-        whole = rows["is_last"].astype(bool)
-        reply = whole.shift(1, fill_value=False).cumsum()
-        texts = rows["text"].fillna("").groupby(reply).agg("".join).tolist()
-        found = []
-        for text, is_whole in zip([rest + texts[0], *texts[1:]], whole.groupby(reply).last()):
-            ends = cut_places(text, self.min_len)
-            found += [text[a:b].strip() for a, b in zip([0, *ends], ends)]
-            rest = text[ends[-1] if ends else 0 :]
-            if is_whole:
-                found += [rest.strip()] if rest.strip() else []
-                rest = ""
-        self.state.update((rest, number + len(found)))
-        return pd.DataFrame({"session_id": key[0], "sentence_id": number + 1 + np.arange(len(found)), "clause": found})[self.output]
+    def step(self, rows, watermark_us):
+        texts, whole = rows["text"].tolist(), rows["is_last"].tolist()
+        out = []
+        for session, begin, end in self.spans(rows):
+            rest, number = self.load(session)
+            found, parts = [], [rest]
+            for i in range(begin, end):
+                parts.append(texts[i] or "")
+                if not (whole[i] or i == end - 1):
+                    continue
+                text = "".join(parts)
+                ends = cut_places(text, self.min_len)
+                found += [text[a:b].strip() for a, b in zip([0, *ends], ends)]
+                rest = text[ends[-1] if ends else 0 :]
+                if whole[i]:
+                    found += [rest.strip()] if rest.strip() else []
+                    rest = ""
+                parts = [rest]
+            self.state.updateValue((session,), (rest, number + len(found)))
+            out += [(session, number + 1 + n, clause) for n, clause in enumerate(found)]
+        return pd.DataFrame(out, columns=self.output)
 
 
 class RecentTexts(Ordered):
@@ -430,12 +473,12 @@ class RecentTexts(Ordered):
     def __init__(self, size: int, forget_us: int | None = None):
         self.size, self.forget_us = size, forget_us
 
-    def step(self, key, rows, watermark_us):
-        if not len(rows):
-            return None
-        known = list(self.load()[0])
-        texts = [*known, *rows["text"].fillna("")]
-        short = [t.strip() for t in texts]
-        contexts = [" ".join(filter(None, short[max(0, i - self.size) : i])) for i in range(len(known), len(texts))]
-        self.state.update((texts[-self.size :] if self.size else [],))
+    def step(self, rows, watermark_us):
+        texts, contexts = [text or "" for text in rows["text"].tolist()], []
+        for session, begin, end in self.spans(rows):
+            known = list(self.load(session)[0])
+            every = [*known, *texts[begin:end]]
+            short = [text.strip() for text in every]
+            contexts += [" ".join(filter(None, short[max(0, i - self.size) : i])) for i in range(len(known), len(every))]
+            self.state.updateValue((session,), (every[-self.size :] if self.size else [],))
         return rows.assign(context=contexts)[self.output]

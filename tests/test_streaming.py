@@ -226,3 +226,20 @@ def test_clauses_and_history_in_reverse_order(spark, tmp_path):
     assert [r["clause"] for r in got] == ["今天天气好，", "明天呢", "好的。再说一句话吧！", "好"]
     got = st.run_once(st.recent_texts(stream.drop("is_last"), 2), "h").orderBy("turn").collect()
     assert [r["context"] for r in got] == ["", "今天", "今天 天气好，明", "天气好，明 天呢", "天呢 好的。再说一句话吧！好"]
+
+
+def test_sessions_share_a_lane(spark, tmp_path, monkeypatch):
+    """Many sessions in one key of the stream stay apart, also over releases; rows without a session stay out."""
+    monkeypatch.setattr(st, "LANES", 1)
+    rows = later(random_frames(41, sessions=9, n=30, step=900_000))
+    batch = spark.createDataFrame(rows, SCHEMA)
+    stream = fed(spark, in_parts([*rows, (None, 10_000, 5_000_000, 0.5, "a")], 3), SCHEMA, tmp_path / "lanes")
+    assert same(st.run_once(st.changed_rows(stream), "c").collect(), sp.changes(batch).select("session", "frame_id", "t_us", "text").collect())
+    want = sp.throttled(batch.select("session", "frame_id", "t_us")).select("session", "frame_id", "t_us").collect()
+    assert same(st.run_once(st.throttled(stream), "t").collect(), want)
+    got = st.run_once(st.speech_partials(stream, every_ms=600, after_ms=96, loud_frames=2, quiet_frames=3), "p").collect()
+    assert got and same(got, partials_by_hand(rows, 600, 96, loud_frames=2, quiet_frames=3))
+    segments = [(s, f, t * 7, str(f % 4) if f % 5 else None, text) for s, f, t, _, text in rows]
+    end = [(9_999, 1, 9_000_000_000_000, "x", "end")]
+    got = st.run_once(st.idle_transcripts(fed(spark, [*in_parts(segments, 3), end], SEGMENTS, tmp_path / "idle")), "i").collect()
+    assert same(got, idle_by_hand(segments))
