@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.binding import let
 from emberline.functions.text import strip
 from emberline.session import rows_within
 
@@ -38,21 +40,24 @@ def vocabulary(terms: DataFrame) -> list[str]:
     return sorted(r[0] for r in rows if r[0])
 
 
-def occurrences(text: Column, term: Column) -> Column:
-    """Non-overlapping occurrences of a term."""
-    return F.floor((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("int")
+def _found(text: Column, terms: list[str] | tuple[str, ...], rank: Callable[[str, str], int], most: int | None = None) -> Column:
+    """The terms in the text in lower case, by the number that ``rank`` gives each and then in alphabetical order.
 
+    Every term is looked for in every text, which Python's strings do much faster than Spark's.
+    """
+    given = [(t.lower(), t) for t in terms]
 
-def tags(text: Column, terms: list[str] | tuple[str, ...], most: int = MOST_TAGS) -> Column:
-    """The terms found most often, ties in alphabetical order."""
-    given = F.array(*[F.struct(F.lit(t.lower()).alias("low"), F.lit(t).alias("term")) for t in terms])
+    @F.pandas_udf("array<string>")
+    def found(lows: pd.Series) -> pd.Series:
+        held = ([(low, term) for low, term in given if low in text] if isinstance(text, str) else [] for text in lows)
+        return pd.Series([[term for _, term in sorted((rank(text, low), term) for low, term in some)[:most]] for text, some in zip(lows, held)], dtype=object)
 
-    def in_text(low: Column) -> Column:
-        held = F.filter(given, lambda t: F.contains(low, t["low"]))
-        counted = F.transform(held, lambda t: F.struct((-occurrences(low, t["low"])).alias("n"), t["term"].alias("term")))
-        return F.slice(F.array_sort(counted), 1, most)
+    return found(F.lower(text))
 
-    return F.transform(let(F.lower(text), in_text), lambda x: x["term"])
+
+def tags(text: Column, terms: list[str] | tuple[str, ...], most: int = MOST_TAGS) -> Column:
+    """The terms found most often (occurrences do not overlap), ties in alphabetical order."""
+    return _found(text, terms, lambda low, term: -low.count(term), most)
 
 
 def merge_tags(chosen: Column, new: Column) -> Column:
@@ -63,13 +68,7 @@ def merge_tags(chosen: Column, new: Column) -> Column:
 
 def mentioned(text: Column, terms: list[str]) -> Column:
     """Terms in the text by first position."""
-    given = F.array(*[F.struct(F.lit(t.lower()).alias("low"), F.lit(t).alias("term")) for t in terms])
-
-    def in_text(low: Column) -> Column:
-        placed = F.transform(given, lambda t: F.struct(F.call_function("locate", t["low"], low).alias("at"), t["term"].alias("term")))
-        return F.array_sort(F.filter(placed, lambda x: x["at"] > 0))
-
-    return F.transform(let(F.lower(text), in_text), lambda x: x["term"])
+    return _found(text, terms, lambda low, term: low.find(term))
 
 
 def dictionary_entities(papers: DataFrame, text: str, families: dict[str, list[str]]) -> DataFrame:

@@ -174,3 +174,27 @@ def test_tasks_of_short_rows_are_set_by_their_number(spark, tmp_path):
     assert spread(rows, 50).rdd.getNumPartitions() == 20 and spread(rows, 50).count() == 1000
     assert spread(spark.range(0, 100, 1, 30), 50).rdd.getNumPartitions() == 30
     assert spread(rows.where("id < 0"), 50).count() == 0
+
+
+def test_strip_knows_all_unicode_space(spark):
+    """As the pattern did that it replaces: every Basic Multilingual Plane character that Unicode calls space, and four controls."""
+    odd = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    rows = [(c + "a" + c + "b" + c,) for c in chars] + [(t,) for t in ("", " ", " \n", "a \n", "a\r\n ", "　\x85 a b  \n\n", None)]
+    df = spark.createDataFrame(rows, "t string").select(tx.strip(F.col("t")).alias("got"), F.regexp_replace("t", odd, "").alias("want"))
+    assert df.where("NOT got <=> want").count() == 0
+    assert "regexp" not in df.select("got")._jdf.queryExecution().optimizedPlan().toString().split("want")[0]
+
+
+def test_terms_are_looked_for_in_one_call_per_text(spark):
+    from emberline.operators import tagging as tg
+
+    rows = spark.createDataFrame([(1, "Über the CSR, csr; the zz"), (2, None), (3, ""), (4, "THE the über")], "doc_id long, text string")
+    terms = ["the", "CSR", "über", "zz", "no"]
+    found = tg.dictionary_entities(rows, "text", {"concepts": terms, "methods": ["the"]}).orderBy("doc_id")
+    got = found.collect()
+    assert [r["concepts"] for r in got] == [["über", "the", "CSR", "zz"], [], [], ["the", "über"]]
+    assert got[0]["concept_relations"] == [["über", "the"], ["the", "CSR"], ["CSR", "zz"]] and got[1]["methods"] == []
+    assert [r["t"] for r in rows.select("doc_id", tg.tags(F.col("text"), terms, 2).alias("t")).orderBy("doc_id").collect()] == [["CSR", "the"], [], [], ["the", "über"]]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "locate" not in plan and "ArrowEvalPython" in plan
