@@ -15,12 +15,13 @@ SENTENCE_BREAK = r"(?<=[。！？.!?])\s+"
 SENTENCE_END = r"[。！？.!?]\s*$"
 CLAUSE_BREAK = r"(?<=[。！？.!?；;，,])"
 CLAUSE_CHARS = 6
-#: Whitespace as Unicode sees it, at both ends.
-OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: Whitespace as Unicode sees it.
+SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, OUTER_SPACE, "")
+    """Without whitespace at both ends; a pattern would try every run of it inside, too."""
+    return F.btrim(text, F.lit(SPACE))
 
 
 def contains_ignoring_case(text: Column, part: Column) -> Column:
