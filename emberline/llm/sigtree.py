@@ -35,7 +35,6 @@ from emberline.llm.common import text_of
 from emberline.session import written
 
 WORDS = 5
-MEMO = 400_000
 HEAVY_LOCAL, HEAVY_LIMIT = 8, 1_000_000  # documents of one flush that make a shingle heavy; shingles in the order's list
 FLUSH = 3_000_000
 LONG_RUN = 65_536  # members of a bucket that a task holds
@@ -50,29 +49,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
+def shingles(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-
-    def __init__(self):
-        self.memo: dict[bytes, bytes] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()  # bytes: only A-Z change, and only ASCII white space cuts
-        if not words:
-            return np.empty(0, "u8")
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        for word in words:
-            if word not in self.memo:
-                self.memo[word] = xxhash.xxh3_64_digest(word)
-        codes = np.frombuffer(b"".join(map(self.memo.__getitem__, words)), "<u8")
-        if len(codes) < WORDS:
-            return mixed((codes * ODD[: len(codes)]).sum(keepdims=True) + np.uint64(len(codes)))
-        n = len(codes) - WORDS + 1
-        total = np.zeros(n, "u8")
-        for k in range(WORDS):
-            total += codes[k : k + n] * ODD[k]
-        return np.unique(mixed(total))
+    words = text.encode().lower().split()  # bytes: only A-Z change, and only ASCII white space cuts
+    if not words:
+        return np.empty(0, "u8")
+    # most distinct words of a corpus are rare: to hash a word anew costs less than to remember it
+    codes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), "<u8")
+    if len(codes) < WORDS:
+        return mixed((codes * ODD[: len(codes)]).sum(keepdims=True) + np.uint64(len(codes)))
+    n = len(codes) - WORDS + 1
+    total = np.zeros(n, "u8")
+    for k in range(WORDS):
+        total += codes[k : k + n] * ODD[k]
+    found = np.sort(mixed(total))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def prefix_length(n: int) -> int:
@@ -101,11 +92,14 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many documents have, sorted, and their counts: at most ``HEAVY_LIMIT``, which bounds what goes to the tasks."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, waiting, held = Shingler(), [], 0
+        waiting, held = [], 0
 
         def often() -> pd.DataFrame:
-            key, n = np.unique(np.concatenate(waiting), return_counts=True)
-            return pd.DataFrame({"key": key[n >= HEAVY_LOCAL].view("i8"), "n": n[n >= HEAVY_LOCAL].astype("i8")})
+            every = np.sort(np.concatenate(waiting))
+            ends = every[HEAVY_LOCAL - 1 :]
+            key = np.unique(ends[ends == every[: len(ends)]])
+            n = np.searchsorted(every, key, "right") - np.searchsorted(every, key)
+            return pd.DataFrame({"key": key.view("i8"), "n": n.astype("i8")})
 
         for batch in batches:
             for text in batch["text"]:
@@ -131,7 +125,7 @@ def marks(docs: DataFrame) -> DataFrame:
     heavy, often = heavy_shingles(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, seen = Shingler(), set()
+        seen = set()
         for batch in batches:
             rows = []
             for text in batch["text"]:
@@ -145,7 +139,7 @@ def marks(docs: DataFrame) -> DataFrame:
                     if len(heavy):
                         at = np.minimum(np.searchsorted(heavy, found), len(heavy) - 1)
                         weight = np.where(heavy[at] == found, often[at], 0)
-                    keys = found[np.lexsort((found, weight))[: prefix_length(len(found))]].view("i8")
+                    keys = found[np.argsort(weight, kind="stable")[: prefix_length(len(found))]].view("i8")
                     bits = bitmap(found).tobytes()
                 rows.append((len(found), digest[0], digest[1], keys, bits))
             yield pd.concat([batch[["doc_id", "text_hash"]], pd.DataFrame(rows, columns=["n", "class", "check", "keys", "bits"])], axis=1)
@@ -348,7 +342,7 @@ def tree_pairs(rows: DataFrame, shape: DataFrame, exact: bool) -> DataFrame:
 
         for batch in batches:
             columns = {name: batch.column(batch.schema.get_field_index(name)) for name in ("bucket", "i", "j", *names)}
-            columns = {name: [x.values.to_numpy() for x in c] if name == "shingles" else c.to_pylist() for name, c in columns.items()}
+            columns = {name: [x.values.to_numpy() for x in c] if name == "shingles" else c.to_numpy(zero_copy_only=False).tolist() for name, c in columns.items()}
             groups = list(zip(columns["bucket"], columns["i"], columns["j"]))
             start = 0
             for stop in [*(k for k in range(1, len(groups)) if groups[k] != groups[k - 1]), len(groups)]:
@@ -368,34 +362,46 @@ def tree_pairs(rows: DataFrame, shape: DataFrame, exact: bool) -> DataFrame:
     return written(dealt.mapInArrow(run, "bucket long, a long, b long"), "tree-pairs")
 
 
+def bloom(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``text_hash``, of at most 16 MB, that goes to the tasks."""
+    n = hashes.count()
+    size = 1 << min(27, max(10, (16 * n).bit_length()))
+    at = F.pmod("text_hash", F.lit(size))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(text_hash, {size}) % 64 as int))")
+    words = hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    wanted = np.zeros(size // 64, "u8")
+    wanted[words["word"].to_numpy("i8")] = words["bits"].to_numpy("i8").view("u8")
+    return wanted
+
+
+def in_bloom(wanted: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """False for hashes that the filter was not made of, but for a few."""
+    at = hashes.view("u8") & np.uint64(64 * len(wanted) - 1)
+    return (wanted[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Written: class and its shingles, for the given classes.
+    """Written: class and its shingles, for the given classes, each with the hash of one of its texts.
 
-    A Bloom filter of at most 16 MB goes to the tasks, so that only the sets of these classes, and of few others, are shuffled.
+    Only texts whose hashes pass a Bloom filter of these, which few others do, are cut in shingles.
     """
-    n = classes.count()
-    size = 1 << min(27, max(10, (16 * n).bit_length()))
-    at = F.pmod("class", F.lit(size))
-    words = classes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(class, {size}) % 64 as int))")).alias("bits")).collect()
-    wanted = np.zeros(size // 64, "u8")
-    for r in words:
-        wanted[r["word"]] = np.uint64(r["bits"] & (2**64 - 1))
+    wanted = bloom(classes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, seen = Shingler(), set()
+        seen = set()
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for text in batch["text"][in_bloom(wanted, batch["text_hash"].to_numpy("i8"))]:
                 found = shingles(text)
                 name = int(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), "<i8")[0])
-                place = name % size
-                if len(found) and name not in seen and int(wanted[place >> 6]) >> (place & 63) & 1:
+                if len(found) and name not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(name)
                     rows.append((name, found.view("i8")))
             yield pd.DataFrame(rows, columns=["class", "shingles"])
 
-    found = docs.select(text_of().alias("text")).mapInPandas(run, "class long, shingles array<long>").join(classes, "class", "left_semi")
+    texts = docs.select(F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+    found = texts.mapInPandas(run, "class long, shingles array<long>").join(classes, "class", "left_semi")
     return written(found.dropDuplicates(["class"]), "sets")
 
 
@@ -436,8 +442,9 @@ def linked_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     sizes = found.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"))
     shape = found.filter("bits is not null").select("class", "bits").dropDuplicates(["class"])
     pairs = tree_pairs(written(members(found).join(sizes, "class"), "members"), shape, exact=False).select("a", "b").distinct()
-    candidates = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "candidates")
-    sets = sets_of(docs, candidates)
+    candidates = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    texts = found.filter("n > 0").join(candidates, "class", "left_semi").groupBy("class").agg(F.min("text_hash").alias("text_hash"))
+    sets = sets_of(docs, written(texts, "candidates"))
     links = verified(pairs, sets)
     labels = components(links.filter("links"))
     refuted = links.filter("not links").select(F.col("a").alias("class"))

@@ -103,3 +103,19 @@ def test_query_equals_brute_force(spark):
     folder = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in entry_module.queries()["op7_similar"](spark, folder).collect()), key=str) == brute(rows)
+
+
+def test_only_texts_of_wanted_classes_are_cut(spark, documents, monkeypatch):
+    calls, real = spark.sparkContext.accumulator(0), st.shingles
+
+    def counted(text):
+        calls.add(1)
+        return real(text)
+
+    docs = documents([f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(400)])
+    found = st.marks(docs)
+    monkeypatch.setattr(st, "shingles", counted)
+    wanted = found.filter("doc_id in (3, 5)").select("class", "text_hash")
+    got = {r["class"]: r["shingles"] for r in st.sets_of(docs, wanted).collect()}
+    assert set(got) == {r["class"] for r in wanted.collect()} and all(len(x) == 2 for x in got.values())
+    assert 2 <= calls.value < 100
