@@ -492,12 +492,23 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     repeats = rows.filter(stays).groupBy("doc_id", "text_hash").count().filter("count > 1")
     repeats = written(repeats.select(*(c.alias(n) for n, c in key.items())), "repeats")
 
+    hashes = goes.unionByName(repeats).select(F.col("_text_hash").alias("text_hash"))
+    wanted = bloom(hashes)
+
+    @F.pandas_udf("boolean")
+    def perhaps(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(wanted, hashes.to_numpy("i8")))
+
+    def text_hash(df: DataFrame):
+        return F.xxhash64(F.coalesce(df["text"].cast("string"), F.lit("")))
+
     def same(df: DataFrame, other: DataFrame):
-        text = F.xxhash64(F.coalesce(df["text"].cast("string"), F.lit("")))
-        return df["doc_id"].cast("long").eqNullSafe(other["_doc_id"]) & (text == other["_text_hash"])
-
-    kept = docs.join(goes, same(docs, goes), "left_anti")
-    if repeats.isEmpty():
-        return kept
-    whole = kept.join(repeats, same(kept, repeats), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeats, same(kept, repeats), "left_anti").unionByName(whole)
+        return df["doc_id"].cast("long").eqNullSafe(other["_doc_id"]) & (text_hash(df) == other["_text_hash"])
+
+    # most rows pass by their text's hash alone and are not moved; the others are looked up
+    stay, others = docs.filter(~perhaps(text_hash(docs))), docs.filter(perhaps(text_hash(docs)))
+    kept = others.join(goes, same(others, goes), "left_anti")
+    if not repeats.isEmpty():
+        whole = kept.join(repeats, same(kept, repeats), "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(repeats, same(kept, repeats), "left_anti").unionByName(whole)
+    return stay.unionByName(kept)

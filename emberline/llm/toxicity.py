@@ -156,8 +156,18 @@ def fit_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     each = known.dropDuplicates(["doc_id", "toxic"])
     ids = [each.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(sample) for y in (0, 1)]
     counts = {r["toxic"]: r["count"] for r in each.filter(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").collect()
-    return fit(sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows), tuple(max(counts.get(y, 0) / sample, 1.0) for y in (0, 1)))
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    stands_for = tuple(max(counts.get(y, 0) / sample, 1.0) for y in (0, 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [row for batch in batches for row in zip(*(batch[name].tolist() for name in ("doc_id", "text", "toxic")))]
+        if found:
+            model = fit(sorted(found), stands_for)
+            yield pd.DataFrame({"toxic": [model.toxic], "ordinary": [model.ordinary], "weights": [model.weights]})
+
+    # a task holds the sample and its words, not the driver
+    one = rows.repartition(1).mapInPandas(run, "toxic binary, ordinary binary, weights array<double>").first()
+    return Model(bytes(one["toxic"]), bytes(one["ordinary"]), np.array(one["weights"])) if one else fit([], stands_for)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from conftest import AWKWARD
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry_module
 from emberline.llm import sigtree as st
 
@@ -105,6 +107,21 @@ def test_query_equals_brute_force(spark):
     assert sorted((tuple(r) for r in entry_module.queries()["op7_similar"](spark, folder).collect()), key=str) == brute(rows)
 
 
+def test_texts_that_stay_are_not_moved(spark, documents):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(300)]
+    docs = documents([*texts, *texts[:9], texts[0]], ids=[*range(309), 0])
+    kept = st.deduplicated(docs)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == list(enumerate(texts))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Join") and plan.count("perhaps(xxhash64") == plan.count("ArrowEvalPython") > 1
+    hashes = docs.select(F.xxhash64("text").alias("text_hash"))
+    every = np.array([r["text_hash"] for r in hashes.collect()])
+    wanted = st.bloom(hashes.limit(20))
+    assert st.in_bloom(wanted, every[:20]).all() and st.in_bloom(wanted, every).sum() < 100
+    assert not st.in_bloom(st.bloom(hashes.filter("false")), every).any()
+
+
 def test_only_texts_of_wanted_classes_are_cut(spark, documents, monkeypatch):
     calls, real = spark.sparkContext.accumulator(0), st.shingles
 

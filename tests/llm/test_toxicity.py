@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 from conftest import AWKWARD
 
@@ -47,3 +49,13 @@ def test_weights_of_rows_are_repetitions():
     x, y = rng.normal(size=(90, 2)), rng.integers(0, 2, 90)
     n = np.where(y == 0, 7, 1)
     assert np.allclose(t.logistic(x, y, weigh=n.astype(float)), t.logistic(np.repeat(x, n, 0), np.repeat(y, n)))
+
+
+def test_the_driver_does_not_fit(spark, documents, monkeypatch):
+    def where(sample, stands_for=None):
+        return t.Model(str(os.getpid()).encode(), str(len(sample)).encode(), np.zeros(5))
+
+    monkeypatch.setattr(t, "fit", where)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    model = t.fit_labels(documents([f"word{i}" for i in range(30)]), labels)
+    assert int(model.toxic) != os.getpid() and 0 < int(model.ordinary) < 30
