@@ -132,7 +132,7 @@ class Encoder:
         places = np.minimum(np.searchsorted(at, ends), max(len(at) - 1, 0))
         if joined and len(at) and at[-1] == ends[-1] and (at[places] == ends).all():
             self.keep(joined, ids, places + 1)
-            new = [piece for piece in new if not CUT.match(piece)]
+            new = [] if len(joined) == len(new) else [piece for piece in new if not CUT.match(piece)]
         if new:
             found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             self.keep(new, np.concatenate(found), np.cumsum(list(map(len, found))))
@@ -155,7 +155,7 @@ class Encoder:
         cut = pc.split_pattern(texts, " ")
         first = np.asarray(cut.offsets)[:-1] - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
         # texts with a space that no word follows are cut by the rule itself
         loose = np.fromiter((not word or word[0].isspace() for word in words), bool, len(words))[codes]
         loose[first] = False

@@ -74,6 +74,36 @@ def test_encoder_gathers_what_the_tokenizer_gives(monkeypatch):
         assert found == expected * 2
 
 
+def test_words_leave_arrow_at_once(monkeypatch):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    class Words:  # ``to_pylist`` makes an object of Arrow's for every word
+        def __init__(self, coded):
+            self.indices, self.dictionary = coded.indices, self
+            self.to_numpy = coded.dictionary.to_numpy
+
+    class Cut:
+        def __init__(self, cut):
+            self.offsets, self.cut = cut.offsets, cut
+
+        def flatten(self):
+            return self
+
+        def dictionary_encode(self):
+            return Words(self.cut.flatten().dictionary_encode())
+
+    class Compute:
+        def split_pattern(self, texts, pattern):
+            return Cut(pc.split_pattern(texts, pattern))
+
+    monkeypatch.setattr(r, "pc", Compute())
+    texts = ["one two one", "", "a  b é"]
+    ids, stops = r.Encoder(PATH).encode(pa.array(texts))
+    expected = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip([0, *stops], stops)] == expected
+
+
 def test_large_ids_take_four_bytes(spark, documents):
     docs = documents(["a b", None])
     wide = r.write_records(docs, PATH, end_id=70_000)
