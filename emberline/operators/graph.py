@@ -6,6 +6,10 @@ edge_id).  Building is a distinct union, so that running it twice changes nothin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +65,25 @@ def edge_id(src_label: Column, src: Column, rel: Column, dst_label: Column, dst:
     return F.concat_ws("|", src_label, src, rel, dst_label, dst)
 
 
-def build_edges(entities: DataFrame) -> DataFrame:
+def with_edge_id(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("edge_id", edge_id(*[F.col(c) for c in ("src_label", "src", "rel", "dst_label", "dst")]))
+
+
+def repeated_papers(entities: DataFrame) -> DataFrame:
+    """Papers in several rows."""
+    return written(entities.groupBy("paper").agg(F.count("*").alias("n")).where("n > 1").select("paper"), "repeated")
+
+
+def _by_repeats(entities: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of papers in one row, and rows of papers in several, if there are any."""
+    if repeated.isEmpty():
+        return entities, None
+    again = repeated.withColumnRenamed("paper", "_paper")
+    same = F.col("paper").eqNullSafe(F.col("_paper"))
+    return entities.join(again, same, "left_anti"), entities.join(again, same, "left_semi")
+
+
+def build_edges(entities: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """All relationships of all papers, each once.
 
     All but those between concepts have their paper at one end, so that a paper in one row has no copies
@@ -75,36 +97,40 @@ def build_edges(entities: DataFrame) -> DataFrame:
         )
 
     paper = F.col("paper")
+
+    # names are made distinct before they are relationships: strings are hashed, structs would be compared in pairs
+    def names(c: str) -> Column:
+        return F.array_distinct(F.transform(c, lambda p: p["name"]) if c == "properties" else F.col(c))
+
     every = F.concat(
-        F.transform("authors", lambda x: edge("Author", x, "WROTE", "Paper", paper)),
-        F.transform("concepts", lambda x: edge("Paper", paper, "STUDIES_CONCEPT", "Concept", x)),
-        F.transform("methods", lambda x: edge("Paper", paper, "USES_METHOD", "Method", x)),
-        F.transform("materials", lambda x: edge("Paper", paper, "ANALYZES_MATERIAL", "Material", x)),
-        F.transform("properties", lambda p: edge("Paper", paper, "MEASURES_PROPERTY", "Property", p["name"])),
+        F.transform(names("authors"), lambda x: edge("Author", x, "WROTE", "Paper", paper)),
+        F.transform(names("concepts"), lambda x: edge("Paper", paper, "STUDIES_CONCEPT", "Concept", x)),
+        F.transform(names("methods"), lambda x: edge("Paper", paper, "USES_METHOD", "Method", x)),
+        F.transform(names("materials"), lambda x: edge("Paper", paper, "ANALYZES_MATERIAL", "Material", x)),
+        F.transform(names("properties"), lambda x: edge("Paper", paper, "MEASURES_PROPERTY", "Property", x)),
     )
     related = F.transform("relations", lambda p: edge("Concept", p["a"], "RELATED_TO", "Concept", p["b"]))
     # a paper without one of its lists has no relationship at all
-    every, related = F.when(F.col("relations").isNotNull(), every), F.when(every.isNotNull(), related)
+    whole = reduce(and_, [F.col(c).isNotNull() for c in ("authors", "concepts", "methods", "materials", "properties", "relations")])
+    every, related = F.when(whole, every), F.when(whole, related)
 
     def listed(rows: DataFrame, edges: Column) -> DataFrame:
         return rows.select(F.explode_outer(edges).alias("e")).where("e IS NOT NULL").select("e.*")
 
-    repeated = written(entities.groupBy("paper").agg(F.count("*").alias("n")).where("n > 1").select("paper"), "repeated")
-    rows = listed(entities, F.array_distinct(every))
-    if not repeated.isEmpty():
-        again = repeated.withColumnRenamed("paper", "_paper")
-        same = F.col("paper").eqNullSafe(F.col("_paper"))
-        rows = listed(entities.join(again, same, "left_anti"), F.array_distinct(every))
-        rows = rows.unionByName(listed(entities.join(again, same, "left_semi"), every).distinct())
+    once, several = _by_repeats(entities, repeated_papers(entities) if repeated is None else repeated)
+    rows = listed(once, every)
+    if several is not None:
+        rows = rows.unionByName(listed(several, every).distinct())
     rows = rows.unionByName(listed(entities, related).distinct())
-    return rows.withColumn("edge_id", edge_id(*[F.col(c) for c in ("src_label", "src", "rel", "dst_label", "dst")]))
+    return with_edge_id(rows)
 
 
-def build_nodes(entities: DataFrame) -> DataFrame:
+def build_nodes(entities: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """One node per (label, key); the last paper that set a property wins.
 
     Most nodes have no properties and are plain distinct pairs, which hash and combine map-side; only
-    papers and measured properties need the ordered maximum.
+    papers and measured properties need the ordered maximum.  Where ``repeated`` is given, papers in one row
+    are nodes as they are and only the others are shuffled.
     """
 
     def named(label: str, names: Column) -> Column:
@@ -117,9 +143,12 @@ def build_nodes(entities: DataFrame) -> DataFrame:
     )
     plain = entities.select(F.explode_outer(every).alias("n")).where("n IS NOT NULL").select("n.*").distinct()
     order = F.struct(F.length("paper"), F.col("paper"))
-    papers = entities.groupBy("paper").agg(F.max_by(F.struct("title", "year"), order).alias("p")).select(
-        F.lit("Paper").alias("label"), F.col("paper").alias("key"), "p.title", F.col("p.year").cast("int").alias("year")
-    )
+    once, several = (None, entities) if repeated is None else _by_repeats(entities, repeated)
+    papers = None if once is None else once.select("paper", "title", "year")
+    if several is not None:
+        last = several.groupBy("paper").agg(F.max_by(F.struct("title", "year"), order).alias("p")).select("paper", "p.title", "p.year")
+        papers = last if papers is None else papers.unionByName(last)
+    papers = papers.select(F.lit("Paper").alias("label"), F.col("paper").alias("key"), "title", F.col("year").cast("int").alias("year"))
     measured = entities.select("paper", F.explode_outer("properties").alias("m")).where("m IS NOT NULL")
     properties = measured.groupBy(F.col("m.name").alias("key")).agg(F.max_by("m.unit", order).alias("unit")).select(
         F.lit("Property").alias("label"), "key", "unit"
@@ -184,6 +213,28 @@ def materials_with_property(nodes: DataFrame, edges: DataFrame, name: str, limit
     )
 
 
+#: Most nodes at an end of paths that are held as a list.
+NODE_LIMIT = 2000
+
+
+def _ending(side: DataFrame, at: str) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the steps that have one of the concepts of ``side`` at their end ``at`` (``a`` or ``b``).
+
+    A checked number of concepts goes along as a list, so that no step is moved to meet them; the label is
+    compared first, which skips files and leaves the other steps without names.  Only for more concepts than
+    that are steps at a concept joined with them.
+    """
+    rows = rows_within(side, NODE_LIMIT)
+
+    def kept(steps: DataFrame) -> DataFrame:
+        steps = steps.where(F.col(f"{at}_label") == "Concept")
+        if rows is None:
+            return steps.join(side.withColumnRenamed("node", at), at, "left_semi")
+        return steps.where(F.col(at).isin([r["node"] for r in rows]))
+
+    return kept
+
+
 def concept_connections(nodes: DataFrame, edges: DataFrame, first: str, second: str, limit: int = PATH_LIMIT) -> DataFrame:
     """Undirected paths of one to three relationships between two sets of concepts, shortest first.
 
@@ -194,29 +245,30 @@ def concept_connections(nodes: DataFrame, edges: DataFrame, first: str, second:
     number of paths built is bounded by the number of edges, however large a hub is.
 
     Shorter paths come first, so those of a length are only looked for while ``limit`` is not reached; the
-    few that are kept are written.
+    few that are kept are written.  Relationships at an end set are found where they lie, see ``_ending``.
     """
     node_name = F.concat_ws("|", "label", "key")
     concepts = nodes.where("label = 'Concept'").withColumn("node", node_name)
     starts = concepts.where(contains_ignoring_case(F.col("name"), F.lit(first))).select("node")
     ends = concepts.where(contains_ignoring_case(F.col("name"), F.lit(second))).select("node")
     there = edges.select(
-        "edge_id", "rel", F.concat_ws("|", "src_label", "src").alias("a"), F.concat_ws("|", "dst_label", "dst").alias("b")
+        "edge_id", "rel", F.concat_ws("|", "src_label", "src").alias("a"), F.concat_ws("|", "dst_label", "dst").alias("b"),
+        F.col("src_label").alias("a_label"), F.col("dst_label").alias("b_label"),
     )
     # a relationship from a node to itself is walked once, all others both ways
-    back = there.where("a <> b").select("edge_id", "rel", F.col("b").alias("a"), F.col("a").alias("b"))
+    turned = {"a": "b", "b": "a", "a_label": "b_label", "b_label": "a_label"}
+    back = there.where("a <> b").select(*[F.col(turned.get(c, c)).alias(c) for c in there.columns])
     both = there.unionByName(back)
     keep = limit + 2
+    from_start, to_end = _ending(starts, "a"), _ending(ends, "b")
 
-    def nearest(side: DataFrame, step: DataFrame, outer: str, inner: str) -> DataFrame:
-        touching = step.join(side.withColumnRenamed("node", outer), outer, "left_semi")
+    def nearest(touching: DataFrame, outer: str, inner: str) -> DataFrame:
         rank = Window.partitionBy(inner).orderBy("edge_id", outer)
         return touching.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= keep).drop("_n")
 
-    into = nearest(starts, both, "a", "b").select(F.col("a").alias("n0"), F.col("b").alias("n1"), F.col("edge_id").alias("e1"), F.col("rel").alias("r1"))
-    out_of = nearest(ends, both, "b", "a").select(F.col("a").alias("m"), F.col("b").alias("last"), F.col("edge_id").alias("ez"), F.col("rel").alias("rz"))
-    one = both.join(starts.withColumnRenamed("node", "a"), "a", "left_semi").join(ends.withColumnRenamed("node", "b"), "b", "left_semi")
-    one = one.select(
+    into = nearest(from_start(both), "a", "b").select(F.col("a").alias("n0"), F.col("b").alias("n1"), F.col("edge_id").alias("e1"), F.col("rel").alias("r1"))
+    out_of = nearest(to_end(both), "b", "a").select(F.col("a").alias("m"), F.col("b").alias("last"), F.col("edge_id").alias("ez"), F.col("rel").alias("rz"))
+    one = to_end(from_start(both)).select(
         F.lit(1).alias("length"), F.array("edge_id").alias("ids"), F.array("a", "b").alias("path"), F.array("rel").alias("rels")
     ).orderBy("ids", "path").limit(limit)
     two = into.join(out_of, (F.col("n1") == F.col("m")) & (F.col("e1") != F.col("ez"))).select(

@@ -10,6 +10,10 @@ from emberline.operators import graph as gr
 from emberline.session import written
 
 
+#: The graph is several times as many rows as its papers.
+SMALL = {"compression": "zstd"}
+
+
 class Graph(NamedTuple):
     nodes: DataFrame
     edges: DataFrame
@@ -18,16 +22,19 @@ class Graph(NamedTuple):
 def build_graph(entities: DataFrame) -> Graph:
     """Nodes and edges as plans over the entity rows."""
     clean = gr.clean_entities(entities)
-    return Graph(gr.build_nodes(clean), gr.build_edges(clean))
+    repeated = gr.repeated_papers(clean)
+    return Graph(gr.build_nodes(clean, repeated), gr.build_edges(clean, repeated))
 
 
 def stored_graph(entities: DataFrame) -> Graph:
     """Nodes and edges written once, by label and by relationship, and read back.
 
     Pattern queries then prune to the relationship they need, and self-joins do not rebuild the graph.
+    The id of a relationship, which repeats all its columns, is put together when it is read.
     """
-    plan = build_graph(written(entities, "entities"))
-    return Graph(written(plan.nodes, "nodes", "label"), written(plan.edges, "edges", "rel"))
+    plan = build_graph(written(entities, "entities", **SMALL))
+    nodes = written(plan.nodes, "nodes", "label", **SMALL)
+    return Graph(nodes, gr.with_edge_id(written(plan.edges.drop("edge_id"), "edges", "rel", **SMALL)))
 
 
 def write_graph(graph: Graph, path: str) -> None:

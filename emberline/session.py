@@ -77,15 +77,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{RUN}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, label: str, *partition_by: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage at a table that outlives any executor, so that several consumers of one
-    expensive intermediate neither recompute it nor depend on cached blocks.
+    expensive intermediate neither recompute it nor depend on cached blocks.  ``options`` are the writer's.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    writer = df.write.mode("error")
+    writer = df.write.mode("error").options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

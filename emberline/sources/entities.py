@@ -31,10 +31,14 @@ def pending(papers: DataFrame, done: DataFrame) -> DataFrame:
 def order_entities(spark: SparkSession, folder: str) -> DataFrame:
     """Entities made from orders: an order is a paper, its parts give concepts, methods and materials.
 
-    The sets per order are bounded by the vocabulary of types, brands, names and flags, and are built
-    map-side.  Related concepts are neighbours in the sorted set.
+    The sets per order are bounded by the vocabulary of types, brands, names and flags.  Lines are moved
+    to their order one by one: an order has few, and sets of one line take more bytes than the line.
+    Related concepts are neighbours in the sorted set.
     """
-    lines = table(spark, folder, "lineitem").join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    # a line without an order is in none
+    lines = table(spark, folder, "lineitem").where("l_orderkey IS NOT NULL")
+    lines = lines.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = lines.select("l_orderkey", "p_type", "p_brand", "p_name", "l_returnflag").repartition("l_orderkey")
     sets = lines.groupBy(F.col("l_orderkey").alias("paper_id")).agg(
         F.array_sort(F.collect_set("p_type")).alias("concepts"),
         F.array_sort(F.collect_set("p_brand")).alias("methods"),

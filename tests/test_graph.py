@@ -1,10 +1,11 @@
 """Graph building and path search against brute force."""
 
 import random
+from datetime import date
 
 from emberline.operators import graph as gr
-from emberline.plans.graph_build import build_graph
-from emberline.sources.entities import ENTITY_SCHEMA, append_entities, read_entities
+from emberline.plans.graph_build import build_graph, stored_graph
+from emberline.sources.entities import ENTITY_SCHEMA, append_entities, order_entities, read_entities
 
 ROWS = [
     (1, "T1", 2001, [" A ", "", "B"], ["CSR", " "], ["FTIR"], ["coal"], [("CSR", "%"), (" ", "x")], [["CSR", "ash"], ["x"], ["", "y"]]),
@@ -111,3 +112,54 @@ def test_longer_paths_are_not_built_once_the_limit_is_reached(spark, monkeypatch
         kept.clear()
         got = [(r["length"], r["ids"]) for r in gr.concept_connections(graph.nodes, graph.edges, "one", "d", limit).collect()]
         assert sorted(got) == sorted(trails(edges, "one", "d", limit)) and len(kept) == lengths, limit
+
+
+def test_a_stored_graph_is_the_built_one_without_ids_on_disk(spark):
+    many = [(i, f"T{i}", 2000, ["A", "A"], ["c", "c", "d"], ["m", "m"], [], [("p", "u"), ("p", "v")], [["c", "d"]]) for i in range(3, 9)]
+    rows = spark.createDataFrame(ROWS + many + many[:2] + [(None, "T", 2001, [], ["c"], [], [], [], [])], ENTITY_SCHEMA)
+    built, stored = build_graph(rows), stored_graph(rows)
+    for a, b in zip(built, stored):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect()))
+    files = stored.edges.inputFiles()
+    assert files and "edge_id" not in spark.read.parquet(*files).columns
+    # papers in one row are nodes without a shuffle: only other nodes and properties are grouped
+    alone = build_graph(spark.createDataFrame(ROWS + many, ENTITY_SCHEMA)).nodes
+    assert alone._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+    assert alone.where("label = 'Paper'").count() == len(ROWS + many)
+
+
+def test_lines_are_moved_to_their_order_one_by_one(spark, tmp_path):
+    tables = {
+        "lineitem": ("l_orderkey long, l_partkey long, l_returnflag string", [(1, 1, "A"), (1, 1, "A"), (1, 2, None), (None, 1, "N"), (2, None, "R"), (3, 9, "R")]),
+        "part": ("p_partkey long, p_type string, p_brand string, p_name string", [(1, "T2", "B", "n"), (2, "T1", None, "n"), (None, "T3", "B", "n")]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate date, o_orderpriority string", [(1, 1, date(2001, 1, 1), "5-LOW"), (2, 7, None, None), (None, 1, None, "x")]),
+        "customer": ("c_custkey long, c_name string", [(1, "Ann"), (None, "Bob")]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = order_entities(spark, str(tmp_path))
+    got = {r["paper_id"]: r for r in found.collect()}
+    assert set(got) == {1, 2, None} and got[2]["concepts"] == got[None]["concepts"] == []
+    assert got[1]["concepts"] == ["T1", "T2"] and got[1]["methods"] == ["B"] and got[1]["materials"] == ["n"]
+    assert got[1]["concept_relations"] == [["T1", "T2"]] and [p["name"] for p in got[1]["properties"]] == ["flag A"]
+    # both halves of the sets are built after the shuffle
+    plan = found.select("*")._jdf.queryExecution().executedPlan().toString().splitlines()
+    sets = [i for i, line in enumerate(plan) if "ObjectHashAggregate" in line]
+    assert len(sets) == 2 and not any("Exchange" in line for line in plan[sets[0] : sets[1]])
+
+
+def test_relationships_at_few_concepts_are_not_joined_with_them(spark, monkeypatch):
+    rows = [(i, f"T{i}", 2000, ["one", "d 1"], ["c one", f"d {i}"], ["d 2"], [], [], [["c one", f"d {i}"]] if i % 2 else []) for i in range(8)]
+    graph, plans = build_graph(spark.createDataFrame(rows, ENTITY_SCHEMA)), []
+    write = gr.written
+    monkeypatch.setattr(gr, "written", lambda df, *x: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *x))
+    edges = graph.edges.collect()
+    for most in (2000, 1):
+        monkeypatch.setattr(gr, "NODE_LIMIT", most)
+        plans.clear()
+        got = [(r["length"], r["ids"]) for r in gr.concept_connections(graph.nodes, graph.edges, "one", "d", 8).collect()]
+        assert sorted(got) == sorted(trails(edges, "one", "d", 8))
+        assert [plan.count("LeftSemi") > 0 for plan in plans] == [most == 1] * 2
+        assert most == 1 or [plan.count("Join") for plan in plans] == [0, 1]
+        found = gr.concept_connections(graph.nodes, graph.edges, "one", "nothing", 3)
+        assert found.count() == 0 and found.columns == ["length", "ids", "path_nodes", "path_rels"]
