@@ -235,6 +235,20 @@ def _ending(side: DataFrame, at: str) -> Callable[[DataFrame], DataFrame]:
     return kept
 
 
+def _between(middle: DataFrame, steps: DataFrame, near: str, at: str) -> DataFrame:
+    """Keeps the ``middle`` steps whose end ``at`` is the end ``near`` of one of ``steps``.
+
+    The labels of those ends, which are few kinds, leave most relationships where they are; a checked number of
+    ends goes along as a list, and only for more are the steps that are left joined with them.
+    """
+    labels = [r[0] for r in steps.select(f"{near}_label").distinct().collect()]
+    middle = middle.where(F.col(f"{at}_label").isin(labels))
+    rows = rows_within(steps.select(near), NODE_LIMIT)
+    if rows is None:
+        return middle.join(steps.select(F.col(near).alias(at)).distinct(), at, "left_semi")
+    return middle.where(F.col(at).isin(list({r[near] for r in rows})))
+
+
 def concept_connections(nodes: DataFrame, edges: DataFrame, first: str, second: str, limit: int = PATH_LIMIT) -> DataFrame:
     """Undirected paths of one to three relationships between two sets of concepts, shortest first.
 
@@ -274,19 +288,24 @@ def concept_connections(nodes: DataFrame, edges: DataFrame, first: str, second:
     two = into.join(out_of, (F.col("n1") == F.col("m")) & (F.col("e1") != F.col("ez"))).select(
         F.lit(2).alias("length"), F.array("e1", "ez").alias("ids"), F.array("n0", "n1", "last").alias("path"), F.array("r1", "rz").alias("rels")
     )
-    middle = both.select(F.col("a").alias("n1"), F.col("b").alias("m"), F.col("edge_id").alias("e2"), F.col("rel").alias("r2"))
-    three = (
-        middle.join(out_of.select("m").distinct(), "m", "left_semi")
-        .join(into, "n1").where("e1 <> e2")
-        .join(out_of, "m").where("ez <> e2 AND ez <> e1")
-        .select(
-            F.lit(3).alias("length"), F.array("e1", "e2", "ez").alias("ids"),
-            F.array("n0", "n1", "m", "last").alias("path"), F.array("r1", "r2", "rz").alias("rels"),
+
+    def three() -> DataFrame:
+        middle = both
+        for steps, near, at in ((from_start(both), "b", "a"), (to_end(both), "a", "b")):
+            middle = _between(middle, steps, near, at)
+        middle = middle.select(F.col("a").alias("n1"), F.col("b").alias("m"), F.col("edge_id").alias("e2"), F.col("rel").alias("r2"))
+        return (
+            middle.join(into, "n1").where("e1 <> e2")
+            .join(out_of, "m").where("ez <> e2 AND ez <> e1")
+            .select(
+                F.lit(3).alias("length"), F.array("e1", "e2", "ez").alias("ids"),
+                F.array("n0", "n1", "m", "last").alias("path"), F.array("r1", "r2", "rz").alias("rels"),
+            )
         )
-    )
+
     paths, n = None, 0
-    for longer in (one, two, three):
-        found = written(longer.orderBy("ids", "path").limit(limit - n), "paths")
+    for longer in (lambda: one, lambda: two, three):
+        found = written(longer().orderBy("ids", "path").limit(limit - n), "paths")
         paths, n = found if paths is None else paths.unionByName(found), n + found.count()
         if n >= limit:
             break

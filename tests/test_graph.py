@@ -150,7 +150,7 @@ def test_lines_are_moved_to_their_order_one_by_one(spark, tmp_path):
 
 def test_relationships_at_few_concepts_are_not_joined_with_them(spark, monkeypatch):
     rows = [(i, f"T{i}", 2000, ["one", "d 1"], ["c one", f"d {i}"], ["d 2"], [], [], [["c one", f"d {i}"]] if i % 2 else []) for i in range(8)]
-    graph, plans = build_graph(spark.createDataFrame(rows, ENTITY_SCHEMA)), []
+    graph, plans = stored_graph(spark.createDataFrame(rows, ENTITY_SCHEMA).coalesce(1)), []
     write = gr.written
     monkeypatch.setattr(gr, "written", lambda df, *x: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *x))
     edges = graph.edges.collect()
@@ -163,3 +163,19 @@ def test_relationships_at_few_concepts_are_not_joined_with_them(spark, monkeypat
         assert most == 1 or [plan.count("Join") for plan in plans] == [0, 1]
         found = gr.concept_connections(graph.nodes, graph.edges, "one", "nothing", 3)
         assert found.count() == 0 and found.columns == ["length", "ids", "path_nodes", "path_rels"]
+
+
+def test_three_steps_move_only_relationships_that_fit_between_the_ends(spark, monkeypatch):
+    rows = [(i, f"T{i}", 2000, ["A"], ["c one", f"x {i}"], ["M"], ["S"], [("p", "u")], [[f"x {i}", f"y {i}"]]) for i in range(3)]
+    rows += [(10 + i, f"T{i}", 2000, ["A"], ["d two", f"y {i}"], ["M"], ["S"], [("p", "u")], []) for i in range(3)]
+    graph, plans = stored_graph(spark.createDataFrame(rows, ENTITY_SCHEMA).coalesce(1)), []
+    write = gr.written
+    monkeypatch.setattr(gr, "written", lambda df, *x: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *x))
+    edges = graph.edges.collect()
+    for most, first, second, left in ((2000, "x", "two", ""), (2, "x", "two", ""), (2, "c one", "x 2", "RELATED_TO")):
+        monkeypatch.setattr(gr, "NODE_LIMIT", most)
+        plans.clear()
+        found = gr.concept_connections(graph.nodes, graph.edges.where(f"rel <> '{left}'"), first, second, 30)
+        ways = [e for e in edges if e["rel"] != left]
+        assert sorted((r["length"], r["ids"]) for r in found.collect()) == sorted(trails(ways, first, second, 30))
+        assert len(plans) == 3 and (most == 2 or "LeftSemi" not in plans[2])
