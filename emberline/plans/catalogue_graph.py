@@ -91,9 +91,12 @@ def concept_connections(spark, d):
 
 
 def concept_connections_far(spark, d):
-    """Without RELATED_TO there is no direct path, so two- and three-step paths must be found."""
+    """Without RELATED_TO there is no direct path, so two- and three-step paths must be found.
+
+    Leaving RELATED_TO out is what is asked; all other relationships of all papers may be walked.
+    """
     graph = stored_graph(order_entities(spark, d))
-    rows = gr.concept_connections(graph.nodes, graph.edges.where("rel <> 'RELATED_TO' AND rel <> 'STUDIES_CONCEPT' OR src < '2'"), "economy", "medium", 12)
+    rows = gr.concept_connections(graph.nodes, graph.edges.where("rel <> 'RELATED_TO'"), "economy", "medium", 12)
     return rows.select(
         F.col("length").cast("long").alias("length"), F.array_join("ids", " / ").alias("ids"),
         F.array_join("path_nodes", " > ").alias("path_nodes"), F.array_join("path_rels", " > ").alias("path_rels"),
@@ -236,7 +239,7 @@ SELECT src::BIGINT AS paper_id, dst AS method FROM e JOIN paper ON paper.key = s
 SELECT DISTINCT m.dst AS material, p.dst AS property, unit FROM e m JOIN e p ON p.src = m.src AND p.rel = 'MEASURES_PROPERTY' JOIN unit ON unit.key = p.dst
 WHERE m.rel = 'ANALYZES_MATERIAL' AND contains(lower(p.dst), 'flag r') ORDER BY material, property LIMIT 20""",
     "concept_connections": _paths("true", "promo", "small", 5),
-    "concept_connections_far": _paths("rel <> 'RELATED_TO' AND rel <> 'STUDIES_CONCEPT' OR src < '2'", "economy", "medium", 12),
+    "concept_connections_far": _paths("rel <> 'RELATED_TO'", "economy", "medium", 12),
     "concept_fan_in": f"WITH {_FAN} SELECT question_id, place, total, paper_id, title, year, concept FROM fan",
     "graph_context": f"""WITH {_FAN}
 SELECT question_id, max(total) AS total, string_agg('- ' || title || ' (' || year || '): studies ' || concept, chr(10) ORDER BY place) AS kg_context

@@ -3,7 +3,10 @@
 import random
 from datetime import date
 
+import duckdb
+
 from emberline.operators import graph as gr
+from emberline.plans import catalogue_graph
 from emberline.plans.graph_build import build_graph, stored_graph
 from emberline.sources.entities import ENTITY_SCHEMA, append_entities, order_entities, read_entities
 
@@ -179,3 +182,20 @@ def test_three_steps_move_only_relationships_that_fit_between_the_ends(spark, mo
         ways = [e for e in edges if e["rel"] != left]
         assert sorted((r["length"], r["ids"]) for r in found.collect()) == sorted(trails(ways, first, second, 30))
         assert len(plans) == 3 and (most == 2 or "LeftSemi" not in plans[2])
+
+
+def test_far_connections_lead_over_papers_of_any_id(spark, tmp_path):
+    lines = [(25, 1), (25, 2), (37, 1), (37, 2), (37, 3), (4, 1), (4, 3), (900, 2)]
+    tables = {
+        "lineitem": ("l_orderkey long, l_partkey long, l_returnflag string", [(o, p, "N") for o, p in lines]),
+        "part": ("p_partkey long, p_type string, p_brand string, p_name string", [(1, "ECONOMY", "B1", "n1"), (2, "MEDIUM", "B2", "n2"), (3, "LARGE", "B1", "n3")]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate date, o_orderpriority string", [(o, 1, date(2001, 1, 1), "5-LOW") for o in (4, 25, 37, 900)]),
+        "customer": ("c_custkey long, c_name string", [(1, "Ann")]),
+    }
+    db = duckdb.connect()
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        db.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [tuple(r) for r in catalogue_graph.concept_connections_far(spark, str(tmp_path)).collect()]
+    assert sorted(r[2] for r in got) == [f"Concept: ECONOMY > Paper: Order {o} > Concept: MEDIUM" for o in (25, 37)]
+    assert sorted(got) == sorted(db.sql(catalogue_graph.ORACLES["concept_connections_far"]).fetchall())
